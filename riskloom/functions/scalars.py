@@ -6,7 +6,7 @@ import math
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 KEY_BITS = 60  # fifteen hex digits: the most that fit a signed long
 
@@ -66,7 +66,7 @@ def _upper_tail(score: float, dof: int) -> float:
     return min(q, 1.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_upper_tail(score: pd.Series, dof: pd.Series) -> pd.Series:
     """Runs on one row per feature: no SQL function gives erfc for odd degrees of freedom."""
     return pd.Series([_upper_tail(s, int(d)) for s, d in zip(score, dof)])

@@ -92,6 +92,11 @@ def load_dataset(spark: SparkSession, path: str, **options) -> DataFrame:
     return read_csv(spark, path, **options)
 
 
-def write_csv(df: DataFrame, path: str) -> str:
-    df.write.option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, encoding: str = ENCODINGS[0]) -> str:
+    """Header row, quotes doubled, spaces kept."""
+    options = {
+        "header": True, "escape": '"', "encoding": encoding,
+        "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+    }
+    df.write.options(**options).csv(path)
     return path
