@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 ORACLES: dict[str, str] = {}
 
 LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -354,3 +356,91 @@ UNION ALL SELECT 'weighted avg', round(sum(p * support) / sum(support), 6), roun
   round(sum(f * support) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM s"""
 ORACLES["m_smote_counts"] = f"""WITH {DOCUMENTS}, n AS (SELECT toxic, count(*) AS c FROM docs GROUP BY 1)
 SELECT toxic AS value, max(c) OVER () AS n FROM n"""
+
+
+def smote_rows(features: list[str], target: str) -> str:
+    """Synthetic rows by comparing all pairs of the smaller class."""
+    moved = ", ".join(
+        f"round(a.{c} + {{along}} * (near[1 + CAST({{which}} % k AS BIGINT)].{c} - a.{c}), 6) AS {c}" for c in features
+    ).format(along=unit("a.doc_id || '|' || draw", "42|along"), which=key("a.doc_id || '|' || draw", "42|neighbour"))
+    far = " + ".join(f"power(a.{c} - b.{c}, 2)" for c in features)
+    packed = ", ".join(f"{c} := b.{c}" for c in features)
+    return f"""WITH {DOCUMENTS},
+n AS (SELECT {target} AS y, count(*) AS c, max(count(*)) OVER () AS most, least(5, min(count(*)) OVER () - 1) AS k FROM docs GROUP BY 1),
+s AS (SELECT docs.*, c, most, k, row_number() OVER (PARTITION BY {target} ORDER BY doc_id) AS turn
+      FROM docs JOIN n ON y = {target} WHERE c < most),
+d AS (SELECT a.doc_id, list(struct_pack({packed}) ORDER BY {far}, b.doc_id) AS near
+      FROM s a JOIN s b ON a.{target} = b.{target} AND a.doc_id <> b.doc_id GROUP BY 1),
+w AS (SELECT y, i AS draw, i % c + 1 AS turn FROM n, LATERAL (SELECT unnest(range(most - c)) AS i) WHERE c < most)
+SELECT doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in features)}, {target} FROM docs
+UNION ALL SELECT NULL, {moved}, a.{target} FROM w JOIN s a ON a.{target} = w.y AND a.turn = w.turn JOIN d ON d.doc_id = a.doc_id"""
+
+
+ORACLES["m_smote"] = smote_rows(["n_chars", "words", "digits"], "quality")
+
+
+def sample_rows() -> str:
+    """The synthetic samples for every event."""
+    core = ["MP_Count_per_L", "Risk_Score", "Microplastic_Size_mm_midpoint", "Density_midpoint"]
+
+    def draw(name: str, use: str = "value") -> str:
+        return unit("event_id", f"42|{name}|{use}")
+
+    def normal(name: str, mean: float, std: float) -> str:
+        return f"{mean} + {std} * sqrt(-2 * ln(1 - {draw(name, 'radius')})) * cos(2 * pi() * {draw(name, 'angle')})"
+
+    def uniform(name: str, lo: float, hi: float, use: str = "value") -> str:
+        return f"{lo} + ({hi} - {lo}) * {draw(name, use)}"
+
+    def poisson(name: str, mean: int, use: str) -> str:
+        # Smallest k whose cumulative probability exceeds the draw.
+        total, steps = 0.0, []
+        for k in range(mean + 40 * int(math.sqrt(mean))):
+            total += math.exp(-mean + k * math.log(mean) - math.lgamma(k + 1))
+            steps.append(total)
+            if total >= 1 - 1e-12:
+                break
+        return f"CAST(len(list_filter({[f'{s!r}' for s in steps]}::DOUBLE[], lambda s: s <= {draw(name, use)})) AS DOUBLE)"
+
+    def choice(name: str, values: list[str], shares: list[float] | None = None) -> str:
+        shares, total, cases = shares or [1 / len(values)] * len(values), 0.0, []
+        for v, s in zip(values[:-1], shares):
+            total += s
+            cases.append(f"WHEN {draw(name)} < {total!r}::DOUBLE THEN '{v}'")
+        return f"CASE {' '.join(cases)} ELSE '{values[-1]}' END"
+
+    plain = {
+        "MP_Count_per_L": poisson("MP_Count_per_L", 50, "value"), "Particle_Size_um": normal("Particle_Size_um", 100, 30),
+        "Microplastic_Size_mm_midpoint": normal("Microplastic_Size_mm_midpoint", 2.5, 1.5),
+        "Density_midpoint": normal("Density_midpoint", 1.0, 0.1), "pH": normal("pH", 7, 0.5),
+        "Temperature_C": normal("Temperature_C", 20, 5), "Risk_Score": uniform("Risk_Score", 0, 100),
+    }
+    far = {
+        "Risk_Score": uniform("Risk_Score", 150, 200, "outlier"), "MP_Count_per_L": poisson("MP_Count_per_L", 200, "outlier"),
+        "Microplastic_Size_mm_midpoint": uniform("Microplastic_Size_mm_midpoint", 10, 20, "outlier"),
+        "Density_midpoint": uniform("Density_midpoint", 1.5, 2.0, "outlier"),
+    }
+    texts = {
+        "Polymer_Type": choice("Polymer_Type", ["PE", "PP", "PS", "PET", "PVC", "Nylon"]),
+        "Water_Source": choice("Water_Source", ["River", "Lake", "Ocean", "Groundwater", "Tap"]),
+        "Risk_Level": choice("Risk_Level", ["Low", "Medium", "High", "Critical"], [0.3, 0.35, 0.25, 0.1]),
+        "Risk_Type": choice("Risk_Type", ["Type_A", "Type_B", "Type_C"], [0.5, 0.3, 0.2]),
+        "Location": choice("Location", ["Urban", "Rural", "Industrial", "Coastal"]),
+        "Season": choice("Season", ["Winter", "Spring", "Summer", "Fall"]),
+        "Author": choice("Author", ["Author_A", "Author_B", "Author_C"]),
+        "Source": choice("Source", ["Source_1", "Source_2", "Source_3"]),
+    }
+    picks = ", ".join(
+        f"row_number() OVER (ORDER BY {key('event_id', f'42|{c}|pick')}, event_id) <= floor((count(*) OVER ()) * 0.05) AS far_{c}" for c in core
+    )
+    numbers = ", ".join(
+        f"CASE WHEN {draw(c, 'missing')} >= 0.05 THEN round("
+        + (f"CASE WHEN far_{c} THEN {far[c]} ELSE {x} END" if c in core else x) + f", 4) END AS \"{c}\""
+        for c, x in plain.items()
+    )
+    return f"""WITH f AS (SELECT event_id, {picks} FROM events)
+SELECT 'MP_' || CASE WHEN event_id > 9999 THEN CAST(event_id AS VARCHAR) ELSE lpad(CAST(event_id AS VARCHAR), 4, '0') END AS "Sample_ID",
+  {numbers}, {", ".join(f'{x} AS "{c}"' for c, x in texts.items())} FROM f"""
+
+
+ORACLES["s_sample_source"] = sample_rows()

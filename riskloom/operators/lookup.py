@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..session import write_out
 
@@ -13,8 +15,17 @@ PIN_ROWS = 100_000
 HOT_SHARE = 1_000  # a key above 1/1000 of all rows is joined by broadcast; at most 1000 such keys exist
 
 
-def pin(table: DataFrame, limit: int = PIN_ROWS) -> DataFrame | None:
+def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType) -> DataFrame:
+    """A few Python rows as a local relation: its size is known and reading it takes no job."""
+    columns = [list(c) for c in zip(*rows)] if rows else [[] for _ in schema]
+    kinds = to_arrow_schema(schema)
+    arrays = [pa.array(c, type=kinds.field(i).type) for i, c in enumerate(columns)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
+
+
+def pin(table: DataFrame, limit: int | None = None) -> DataFrame | None:
     """``table`` as a local relation if it has at most ``limit`` rows, else None."""
+    limit = PIN_ROWS if limit is None else limit
     head = table.limit(limit + 1).toArrow()
     if head.num_rows > limit:
         return None
@@ -34,6 +45,11 @@ def _joined(df: DataFrame, table: DataFrame, on: Sequence[str], how: str) -> Dat
     return df.join(right, same_keys(df, right, on, mark), how).drop(*[k + mark for k in on])
 
 
+def attach_local(df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
+    """Join a table already known to be small."""
+    return _joined(df, F.broadcast(table), on, how)
+
+
 def attach(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", weight: str | None = None
 ) -> DataFrame:
@@ -46,7 +62,7 @@ def attach(
     """
     small = pin(table)
     if small is not None:
-        return _joined(df, F.broadcast(small), on, how)
+        return attach_local(df, small, on, how)
     table = write_out(table, "lookup")
     if weight is None:
         return _joined(df, table, on, how)

@@ -13,12 +13,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import numbers
 from ..functions.scalars import KEY_BITS
 from ..session import write_out
-from .lookup import attach, pin
+from .lookup import attach, attach_local, local_table, pin
 from .ordering import WINDOW_ROWS, rank_rows, running_total
 
 GROUP_CELLS = 1 << 22  # values (rows x columns) of one group that one task may hold
@@ -203,43 +203,69 @@ def quantile_values(df: DataFrame, columns: Sequence[str], probs: Sequence[float
     return {r["column_name"]: list(r["q"]) if r["q"] is not None else [None] * len(probs) for r in rows}
 
 
-def rank_cuts(df: DataFrame, by: Sequence[str], key: str, tie: str, cuts: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Where the rows of given rank lie: one row per row of ``cuts`` with ``_key`` and ``_tie``.
+def rank_cuts(
+    df: DataFrame, by: str | None, key: str, tie: str, ranks: dict, sizes: dict, window_rows: int | None = None
+) -> dict[object, list[tuple]]:
+    """The (key, tie) of the rows that hold given ranks, per group.
 
-    ``key`` is a uniform 60-bit hash, ``cuts`` holds (by, cut, rank) and ``sizes`` holds
-    (by, n). Because the key is uniform, rank r of n lies near r/n of its range, so the
-    bracket needs no sample: sixteen standard deviations hold about 16 sqrt(n) rows,
-    which are the only ones ranked. The count below proves the bracket.
+    ``key`` is a uniform 60-bit hash and ``sizes`` the rows per group. Because the key is
+    uniform, rank r of n lies near r/n of its range, so the bracket needs no sample:
+    sixteen standard deviations hold about 16 sqrt(n) rows, which are the only ones
+    ranked, and the count below proves the bracket. Groups that fit a window are taken
+    whole. The answer is as small as the question: one pair per rank.
     """
-    by = list(by)
-    wanted = attach(cuts, sizes, by) if by else cuts.crossJoin(F.broadcast(sizes))
-    share = F.col("rank") / F.col("n")
-    middle, top = share * 2.0**KEY_BITS, F.lit(2.0**KEY_BITS)
-    width = 1.0
+    window_rows = window_rows or WINDOW_ROWS
+    spark, top = df.sparkSession, 2**KEY_BITS
+    asked = [(g, cut, r) for g, rs in ranks.items() for cut, r in enumerate(rs)]
+    if not asked:
+        return {g: [] for g in ranks}
+    on = [by] if by is not None else []
+    group = [df.schema[by]] if by is not None else []
+    bigint = T.LongType()
+    hung_schema = T.StructType(
+        [*group, T.StructField("_cuts", T.ArrayType(T.StructType([T.StructField(f, bigint) for f in ("cut", "_lo", "_hi")])))]
+    )
+    rows = df.select(*on, F.col(key).alias("_key"), F.col(tie).alias("_tie"))
+    width = 1
     while True:
-        sigma = F.sqrt(F.greatest(share * (1 - share), 1 / F.col("n")) / F.col("n")) * 2.0**KEY_BITS
-        reach = (8 * sigma + 64 * 2.0**KEY_BITS / F.col("n")) * width
-        brackets = wanted.select(
-            *by, "cut", "rank",
-            F.greatest(middle - reach, F.lit(0.0)).cast("bigint").alias("_lo"),
-            F.least(middle + reach, top).cast("bigint").alias("_hi"),
-        )
-        brackets = pin(brackets)
-        per_group = brackets.groupBy(*by).agg(F.collect_list(F.struct("cut", "rank", "_lo", "_hi")).alias("_cuts"))
-        rows = df.select(*by, F.col(key).alias("_key"), F.col(tie).alias("_tie"))
-        rows = attach(rows, per_group, by, how="inner") if by else rows.crossJoin(F.broadcast(per_group))
-        near = rows.select(*by, "_key", "_tie", F.inline("_cuts")).filter(F.col("_key") <= F.col("_hi"))
-        below = near.groupBy(*by, "cut", "rank").agg(
-            F.count_if(F.col("_key") < F.col("_lo")).alias("_below"), F.count("*").alias("_upto")
+        brackets = {}
+        for g, cut, r in asked:
+            n = sizes[g]
+            if n <= window_rows:
+                brackets[g, cut] = (0, top)
+                continue
+            share = r / n
+            sigma = math.sqrt(max(share * (1 - share), 1 / n) / n)
+            reach = (8 * sigma + 64 / n) * width
+            brackets[g, cut] = (int(max(share - reach, 0.0) * top), int(min(share + reach, 1.0) * top))
+        hung = {g: [(cut, *brackets[g, cut]) for h, cut, _ in asked if h == g] for g in ranks}
+        table = local_table(spark, [((g,) if on else ()) + (cuts,) for g, cuts in hung.items() if cuts], hung_schema)
+        held = attach_local(rows, table, on, how="inner") if on else rows.crossJoin(F.broadcast(table))
+        near = held.select(*on, "_key", "_tie", F.inline("_cuts")).filter(F.col("_key") <= F.col("_hi"))
+        if max(sizes[g] for g, _, _ in asked) <= window_rows:
+            below = {place: 0 for place in brackets}
+            inside = sum(sizes[g] for g, _, _ in asked)
+            break
+        counted = near.groupBy(*on, "cut").agg(
+            F.count_if(F.col("_key") < F.col("_lo")).alias("below"), F.count("*").alias("upto")
         )
-        below = pin(below)
-        if below.filter((F.col("rank") <= F.col("_below")) | (F.col("rank") > F.col("_upto"))).isEmpty():
+        counts = {((c[by] if on else None), c["cut"]): (c["below"], c["upto"]) for c in counted.collect()}
+        if all(counts.get((g, cut), (0, 0))[0] < r <= counts.get((g, cut), (0, 0))[1] for g, cut, r in asked):
+            below = {place: b for place, (b, _) in counts.items()}
+            inside = sum(u - b for b, u in counts.values())
             break
-        if width > 2**20:
+        if width > 2**40:
             raise ValueError("some rank lies beyond its group")
         width *= 8
-    held = below.agg(F.sum(F.col("_upto") - F.col("_below"))).first()[0] or 0
-    inside = near.filter(F.col("_key") >= F.col("_lo")).select(*by, "cut", "_key", "_tie")
-    ranked = rank_rows(inside, [*by, "cut"], ["_key", "_tie"], "_rank", held)
-    found = attach(ranked, below, [*by, "cut"], how="inner")
-    return found.filter(F.col("_rank") + F.col("_below") == F.col("rank")).select(*by, "cut", "_key", "_tie")
+    places = local_table(
+        spark,
+        [((g,) if on else ()) + (cut, r - below[g, cut]) for g, cut, r in asked],
+        T.StructType([*group, T.StructField("cut", bigint), T.StructField("_wanted", bigint)]),
+    )
+    inner = near.filter(F.col("_key") >= F.col("_lo")).select(*on, "cut", "_key", "_tie")
+    ranked = rank_rows(inner, [*on, "cut"], ["_key", "_tie"], "_rank", inside, window_rows)
+    found = attach_local(ranked, places, [*on, "cut"], how="inner").filter(F.col("_rank") == F.col("_wanted"))
+    edges: dict[object, list] = {g: [] for g in ranks}
+    for row in found.orderBy(*on, "cut").collect():
+        edges[row[by] if on else None].append((row["_key"], row["_tie"]))
+    return edges

@@ -42,11 +42,12 @@ def _nearest(ids, points, other_ids, others, k, limits=None) -> list[list[dict]]
         d = ((block[:, None, :] - others[None, :, :]) ** 2).sum(axis=2)
         d[ids[at : at + 256, None] == other_ids[None, :]] = np.inf
         take = min(k, d.shape[1])
-        best = np.argpartition(d, take - 1, axis=1)[:, :take]
-        for i, row in enumerate(best):
+        farthest = np.partition(d, take - 1, axis=1)[:, take - 1]
+        for i, reach in enumerate(farthest):
             limit = np.inf if limits is None else limits[at + i]
-            row = sorted((j for j in row if d[i, j] < limit), key=lambda j: (d[i, j], other_ids[j]))
-            out.append([{"d": float(d[i, j]), "id": int(other_ids[j]), "v": others[j].tolist()} for j in row])
+            close = np.flatnonzero((d[i] <= reach) & (d[i] < limit))
+            close = sorted(close, key=lambda j: (d[i, j], other_ids[j]))[:k]
+            out.append([{"d": float(d[i, j]), "id": int(other_ids[j]), "v": others[j].tolist()} for j in close])
     return out
 
 

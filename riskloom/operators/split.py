@@ -10,11 +10,11 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
 from ..functions.scalars import hash_key
-from .lookup import attach, pin
+from .lookup import attach, attach_local, local_table, pin
 from .quantiles import rank_cuts
 
 # Seed, share of the test set, folds.
@@ -36,29 +36,22 @@ def _deal(df: DataFrame, id_col: str, by: str | None, ranks: dict, sizes: dict,
 
     ``ranks[group]`` lists the last rank of every part but the final one.
     """
-    spark = df.sparkSession
     keyed = df.withColumn("_key", hash_key(quoted(id_col), seed)).withColumn("_tie", quoted(id_col))
-    cuts = [(g, i, r) for g, rs in ranks.items() for i, r in enumerate(rs) if 0 < r <= sizes[g]]
+    real = {g: [r for r in rs if r > 0] for g, rs in ranks.items()}
+    edges = rank_cuts(keyed, by, "_key", "_tie", real, sizes)
+    pair = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_tie", df.schema[id_col].dataType)])
+    # A cut at rank 0 has no row: every row lies beyond it.
+    rows = [(g, edges[g], len(rs) - len(real[g])) for g, rs in ranks.items()]
+    columns = [T.StructField("_edges", T.ArrayType(pair)), T.StructField("_skipped", T.IntegerType())]
     if by is None:
-        keys, kind = [], None
-        table = spark.createDataFrame([(i, r) for _, i, r in cuts], "cut int, rank bigint")
-        count = spark.createDataFrame([(sizes[None],)], "n bigint")
+        table = local_table(df.sparkSession, [r[1:] for r in rows], T.StructType(columns))
+        dealt = keyed.crossJoin(F.broadcast(table))
     else:
-        keys, kind = [by], df.schema[by].dataType.simpleString()
-        table = spark.createDataFrame(cuts, f"`{by}` {kind}, cut int, rank bigint")
-        count = spark.createDataFrame(list(sizes.items()), f"`{by}` {kind}, n bigint")
-    found = rank_cuts(keyed, keys, "_key", "_tie", table, count)
-    edges = found.groupBy(*keys).agg(F.collect_list(F.struct("_key", "_tie")).alias("_edges"))
-    dealt = attach(keyed, edges, keys) if keys else keyed.crossJoin(F.broadcast(edges))
+        table = local_table(df.sparkSession, rows, T.StructType([df.schema[by], *columns]))
+        dealt = attach_local(keyed, table, [by])
     me = F.struct("_key", "_tie")
-    beyond = F.size(F.filter("_edges", lambda e: me > e))
-    empty = {g: sum(1 for r in rs if r <= 0) for g, rs in ranks.items()}
-    part = F.coalesce(F.when(F.col("_edges").isNotNull(), beyond), F.lit(0))
-    for g, skipped in empty.items():
-        if skipped:
-            here = F.lit(True) if by is None else quoted(by).eqNullSafe(F.lit(g))
-            part = F.when(here, part + skipped).otherwise(part)
-    return dealt.withColumn(name, part.cast("int")).drop("_key", "_tie", "_edges")
+    part = F.size(F.filter("_edges", lambda e: me > e)) + F.col("_skipped")
+    return dealt.withColumn(name, part.cast("int")).drop("_key", "_tie", "_edges", "_skipped")
 
 
 def random_split(

@@ -81,8 +81,7 @@ def sample_for(ids: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     rows = ids.select(F.col(id_col).cast("bigint").alias("_id"))
     n = rows.count()
     spread = int(n * OUTLIER_SHARE)
-    for c in CORE_NUMERIC:
-        rows = _with_outlier_flag(rows, c, spread, n, seed)
+    rows = _with_outlier_flags(rows, spread, n, seed)
     value: dict[str, Column] = {"Sample_ID": F.concat(F.lit("MP_"), F.lpad(F.col("_id").cast("string"), 4, "0"))}
     value["Sample_ID"] = F.when(F.col("_id") > 9999, F.concat(F.lit("MP_"), F.col("_id").cast("string"))).otherwise(value["Sample_ID"])
     value["MP_Count_per_L"] = _poisson(_draw("MP_Count_per_L", seed), COUNT_MEAN)
@@ -98,17 +97,26 @@ def sample_for(ids: DataFrame, id_col: str, seed: int = SEED) -> DataFrame:
     return rows.select(*[value[c].alias(c) for c in ORDER])
 
 
-def _with_outlier_flag(rows: DataFrame, column: str, count: int, n: int, seed: int) -> DataFrame:
-    key = hash_key(F.col("_id"), f"{seed}|{column}|pick")
+def _with_outlier_flags(rows: DataFrame, count: int, n: int, seed: int) -> DataFrame:
+    """A flag per core column on exactly ``count`` rows, those of the lowest hash."""
     if count == 0:
-        return rows.withColumn(f"_far_{column}", F.lit(False))
-    spark = rows.sparkSession
-    cut = rank_cuts(
-        rows.select("_id", key.alias("_pick")), [], "_pick", "_id",
-        spark.createDataFrame([(0, count)], "cut int, rank bigint"), spark.createDataFrame([(n,)], "n bigint"),
-    ).first()
-    edge = F.struct(F.lit(cut["_key"]).alias("k"), F.lit(cut["_tie"]).alias("t"))
-    return rows.withColumn(f"_far_{column}", F.struct(key.alias("k"), F.col("_id").alias("t")) <= edge)
+        return rows.withColumns({f"_far_{c}": F.lit(False) for c in CORE_NUMERIC})
+
+    def pick(c: str) -> Column:
+        return hash_key(F.col("_id"), f"{seed}|{c}|pick")
+
+    picks = [F.struct(F.lit(c).alias("_column"), pick(c).alias("_pick")) for c in CORE_NUMERIC]
+    edges = rank_cuts(
+        rows.select("_id", F.inline(F.array(*picks))), "_column", "_pick", "_id",
+        {c: [count] for c in CORE_NUMERIC}, {c: n for c in CORE_NUMERIC},
+    )
+    return rows.withColumns(
+        {
+            f"_far_{c}": F.struct(pick(c).alias("k"), F.col("_id").alias("t"))
+            <= F.struct(F.lit(edges[c][0][0]).alias("k"), F.lit(edges[c][0][1]).alias("t"))
+            for c in CORE_NUMERIC
+        }
+    )
 
 
 def generate_sample(spark: SparkSession, rows: int = ROWS, seed: int = SEED) -> DataFrame:
