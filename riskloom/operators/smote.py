@@ -159,7 +159,7 @@ def _other_cells(local: DataFrame, packed: DataFrame, levels: list[str], width:
 
         reached = F.filter("_boxes", lambda b: gap(b) < F.col("_limit"))
         paths = attach(paths, hung, above, how="inner").withColumn(
-            slab, F.explode(F.transform(reached, lambda b, s=slab: b[s]))
+            slab, F.explode(F.transform(reached, lambda b: b[slab]))
         ).drop("_boxes")
     own = F.lit(True)
     for s in levels:
