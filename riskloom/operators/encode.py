@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import CATEGORICAL, nan_to_null, present, quoted, string_columns, without_identifiers
-from .lookup import attach
+from ..session import write_out
+from .lookup import attach, pin
 from .ordering import WINDOW_ROWS, rank_rows
 
 MAX_CATEGORIES = 5_000  # columns one plan can carry; more raises, nothing is dropped
@@ -74,6 +75,7 @@ def label_codes(df: DataFrame, column: str, missing: str | None = None, window_r
     have no code.
     """
     counts = _source(df, column, missing).groupBy("value").agg(F.count("*").alias("n"))
+    counts = pin(counts) or write_out(counts, "values")  # the table itself is read once
     ranked = rank_rows(counts, [], ["value"], "_rank", counts.count(), window_rows)
     return ranked.select("value", (F.col("_rank") - 1).cast("int").alias("code"), "n")
 

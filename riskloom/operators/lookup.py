@@ -50,6 +50,23 @@ def attach_local(df: DataFrame, table: DataFrame, on: Sequence[str], how: str =
     return _joined(df, F.broadcast(table), on, how)
 
 
+def constant(value, kind: T.DataType) -> Column:
+    """A Python value, nested or not, as a literal of the given type."""
+    if value is None:
+        return F.lit(None).cast(kind)
+    if isinstance(kind, T.ArrayType):
+        return F.array(*[constant(v, kind.elementType) for v in value]).cast(kind)
+    if isinstance(kind, T.StructType):
+        return F.struct(*[constant(v, f.dataType).alias(f.name) for v, f in zip(value, kind)])
+    return F.lit(value).cast(kind)
+
+
+def beside(df: DataFrame, table: DataFrame) -> DataFrame:
+    """Add the values of a one-row table as constants, so that nothing is joined."""
+    values = table.first()
+    return df.withColumns({f.name: constant(values[f.name], f.dataType) for f in table.schema})
+
+
 def attach(
     df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", weight: str | None = None
 ) -> DataFrame:

@@ -16,6 +16,7 @@ from ..functions.columns import number, numeric_columns, quoted, with_target
 from .encode import label_codes, label_encode
 from .evaluate import metrics
 from .impute import fit_median
+from .ordering import spread
 from .split import SEED, with_class_weight
 
 # Names, iterations, trees and boosting settings of the compared models.
@@ -128,6 +129,7 @@ def fit_all(
 ) -> dict[str, PipelineModel | Exception]:
     """Fit every model on the training rows; a model that fails gives its exception."""
     rows = train.count()
+    train = spread(train, rows, ["id"])
     if settings.balanced:
         train = with_class_weight(train, "label")
     train = hold(train)

@@ -11,6 +11,19 @@ from ..session import write_out
 from .lookup import attach
 
 WINDOW_ROWS = 1 << 20
+SPREAD_ROWS = 20_000  # rows of an iterative fit worth a task of their own
+
+
+def spread(df: DataFrame, rows: int, order: Sequence[str], per_task: int = SPREAD_ROWS) -> DataFrame:
+    """Use the cores on a table of few files. Larger tables, already in many parts, stay put.
+
+    The deal is round-robin, so no value can make one part heavy, and each part is
+    sorted, so a seeded fit sees the same rows in the same order again.
+    """
+    wanted = min(df.sparkSession.sparkContext.defaultParallelism, rows // per_task)
+    if wanted <= df.rdd.getNumPartitions():
+        return df
+    return df.repartition(wanted).sortWithinPartitions(*order)
 
 
 def running_total(

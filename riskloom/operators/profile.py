@@ -167,9 +167,8 @@ def target_profile(df: DataFrame, target: str) -> DataFrame:
     text = dict(df.dtypes)[target] == "string"
     counts = present_values(df, target).groupBy(F.col("value").alias("_v")).count()
     few = text or counts.limit(CATEGORICAL_BELOW).count() < CATEGORICAL_BELOW
-    head = counts.agg(F.count("*").alias("n_unique"))
     if few:
-        rows = counts.select(F.col("_v").cast("string").alias("category")).crossJoin(F.broadcast(head))
+        rows = counts.select(F.col("_v").cast("string").alias("category"), F.lit(counts.count()).alias("n_unique"))
         shown = ("Categorical", "Classification", F.col("category"), F.lit(None), F.lit(None))
     else:
         rows = counts.select(number(counts, "_v").alias("_x")).agg(

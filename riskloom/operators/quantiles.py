@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions.columns import numbers
 from ..functions.scalars import KEY_BITS
 from ..session import write_out
-from .lookup import attach, attach_local, local_table, pin
+from .lookup import attach, attach_local, beside, local_table, pin
 from .ordering import WINDOW_ROWS, rank_rows, running_total
 
 GROUP_CELLS = 1 << 22  # values (rows x columns) of one group that one task may hold
@@ -81,8 +81,11 @@ def _bracketed(work, columns, probs, by, sizes, sample_rows, window_rows) -> Dat
     targets = [(i, j, float(p)) for i in range(len(columns)) for j, p in enumerate(probs)]
     value = {i: F.col(f"`{c}`") for i, c in enumerate(columns)}
 
+    def with_params(df: DataFrame, params: DataFrame) -> DataFrame:
+        return attach(df, params, by) if by else beside(df, params)
+
     # 1. Bracket every target by quantiles of a sample of each group.
-    sized = attach(work, sizes, by) if by else work.crossJoin(F.broadcast(sizes))
+    sized = with_params(work, sizes)
     sample = sized.filter(F.rand(SAMPLE_SEED) < sample_rows / F.col("_rows"))
 
     def edges(i: int) -> list[float]:
@@ -104,13 +107,13 @@ def _bracketed(work, columns, probs, by, sizes, sample_rows, window_rows) -> Dat
         brackets = sample.groupBy(*by).agg(
             *[F.percentile(value[i], F.array(*map(F.lit, edges(i)))).alias(f"_s{i}") for i in value]
         )
-        brackets = attach(sizes, brackets, by) if by else sizes.crossJoin(brackets)
+        brackets = with_params(sizes, brackets)
         brackets = brackets.select(
             *sizes.columns,
             *[bracket(i, j, side).alias(f"_{tag}{i}_{j}") for i, j, _ in targets for tag, side in (("lo", -1), ("hi", 1))],
         )
         brackets = pin(brackets) or write_out(brackets, "brackets")
-        placed = attach(work, brackets, by) if by else work.crossJoin(F.broadcast(brackets))
+        placed = with_params(work, brackets)
         # 2. Count what lies below and inside, and prove the bracket.
         counted = placed.groupBy(*by).agg(
             *[F.count_if(value[i] < F.col(f"_lo{i}_{j}")).alias(f"_below{i}_{j}") for i, j, _ in targets],
@@ -119,7 +122,7 @@ def _bracketed(work, columns, probs, by, sizes, sample_rows, window_rows) -> Dat
                 for i, j, _ in targets
             ],
         )
-        counted = attach(brackets, counted, by) if by else brackets.crossJoin(counted)
+        counted = with_params(brackets, counted)
         counted = pin(counted) or write_out(counted, "counts")
         missed = F.lit(False)
         for i, j, p in targets:
@@ -240,7 +243,7 @@ def rank_cuts(
             brackets[g, cut] = (int(max(share - reach, 0.0) * top), int(min(share + reach, 1.0) * top))
         hung = {g: [(cut, *brackets[g, cut]) for h, cut, _ in asked if h == g] for g in ranks}
         table = local_table(spark, [((g,) if on else ()) + (cuts,) for g, cuts in hung.items() if cuts], hung_schema)
-        held = attach_local(rows, table, on, how="inner") if on else rows.crossJoin(F.broadcast(table))
+        held = attach_local(rows, table, on, how="inner") if on else beside(rows, table)
         near = held.select(*on, "_key", "_tie", F.inline("_cuts")).filter(F.col("_key") <= F.col("_hi"))
         if max(sizes[g] for g, _, _ in asked) <= window_rows:
             below = {place: 0 for place in brackets}

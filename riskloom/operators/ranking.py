@@ -8,11 +8,11 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.columns import number, numbers, quoted
+from ..functions.columns import numbers, quoted
 from ..functions.scalars import chi2_upper_tail, digamma, unit
 from .encode import label_encode
 from .lookup import attach
-from .ordering import WINDOW_ROWS, rank_rows, running_total
+from .ordering import WINDOW_ROWS, rank_rows, running_total, spread
 from .profile import long_form
 from .quantiles import quantile_values
 from .transform import column_stats
@@ -23,6 +23,7 @@ TREES = 100
 SHOWN_FEATURES = 20
 KEPT_FEATURES = 10
 SEED = 42
+FOREST_ROWS = 2_500  # rows worth a task: a level of a hundred trees is much work
 JITTER = 3e-10  # in standard deviations: breaks ties between equal values
 
 
@@ -68,15 +69,17 @@ def binned_mutual_info(df: DataFrame, features: Sequence[str], target: str, bins
             F.array(
                 *[
                     F.struct(
-                        F.lit(c).alias("feature"),
+                        F.lit(f).alias("_f"),
                         sum((F.when(quoted(c) > e, 1).otherwise(0) for e in sorted(set(edges[c][1:-1]))), F.lit(0)).alias("_bin"),
                     )
-                    for c in features
+                    for f, c in enumerate(features)
                 ]
             )
         ),
     )
-    counts = pairs.groupBy("feature", "_bin", "_y").agg(F.count("*").alias("_n"))  # features x bins x classes rows
+    counts = pairs.groupBy("_f", "_bin", "_y").agg(F.count("*").alias("_n"))  # features x bins x classes rows
+    names = F.array(*[F.lit(c) for c in features])
+    counts = counts.withColumn("feature", F.element_at(names, F.col("_f") + 1))
     total, by_bin, by_class = (
         F.sum("_n").over(Window.partitionBy("feature", *extra)) for extra in ([], ["_bin"], ["_y"])
     )
@@ -203,7 +206,8 @@ def forest_importance(
     df: DataFrame, features: Sequence[str], target: str, trees: int = TREES, seed: int = SEED, max_depth: int = 10
 ) -> DataFrame:
     """(feature, importance): impurity importance of a random forest."""
-    rows = df.filter(quoted(target).isNotNull()).withColumns({c: number(df, c) for c in features})
+    rows = numbers(df, features, keep=[target]).filter(quoted(target).isNotNull())
+    rows = spread(rows, df.count(), [quoted(c) for c in (target, *features)], FOREST_ROWS)
     rows = label_encode(rows, target, name="_label").withColumn("_label", F.col("_label").cast("double"))
     # The assembler reads a dot as a struct field, so it is given plain names.
     plain = [f"_f{i}" for i in range(len(features))]

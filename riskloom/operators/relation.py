@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import numbers, quoted
 from ..functions.scalars import adjusted_skewness
-from .lookup import attach
+from .lookup import attach, beside
 from .profile import long_form
 from .quantiles import exact_quantiles
 
@@ -62,7 +62,7 @@ def _fenced(df: DataFrame, column: str, by: str | None, options: dict) -> tuple[
     q = exact_quantiles(rows, [column], [0.25, 0.5, 0.75], by=keys, **options).select(
         *keys, *[F.col("q")[i].alias(f"_q{i + 1}") for i in range(3)]
     )
-    fenced = attach(rows, q, keys) if keys else rows.crossJoin(F.broadcast(q))
+    fenced = attach(rows, q, keys) if keys else beside(rows, q)
     reach = FENCE_REACH * (F.col("_q3") - F.col("_q1"))
     value = quoted(column)
     return fenced.withColumn("_out", (value < F.col("_q1") - reach) | (value > F.col("_q3") + reach)), keys

@@ -30,6 +30,7 @@ CELL_ROWS = 2_000  # points one task compares at a time
 QUERY_ROWS = 20_000  # points from other cells one task compares with a cell
 BLOCK_ROWS = 4_096  # synthetic rows made from one input row of a stage
 PACKED_FEATURES = 3
+PIN_VALUES = 5_000_000  # numbers the broadcast of rows with their neighbours may hold
 
 FOUND = "array<struct<d: double, id: bigint, v: array<double>>>"
 
@@ -198,7 +199,9 @@ def smote(
     )
     near = nearest_in_class(points, short, len(features), k, cell_rows)
     need = {c: most - n for c, n in short.items()}
-    draws = _few_rows(near, short, need) if sum(short.values()) <= PIN_ROWS else _many_rows(near, short, need, seed)
+    small = sum(short.values())
+    few = small <= PIN_ROWS and small * (k + 1) * len(features) <= PIN_VALUES
+    draws = _few_rows(near, short, need) if few else _many_rows(near, short, need, seed)
     which = F.pmod(hash_key(F.concat_ws("|", "_id", "_draw"), f"{seed}|neighbour"), F.size("near")) + 1
     along = unit(F.concat_ws("|", "_id", "_draw"), f"{seed}|along")
     towards = F.element_at("near", which.cast("int"))["v"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
 from ..functions.scalars import hash_key
-from .lookup import attach, attach_local, local_table, pin
+from .lookup import attach_local, beside, local_table, pin
 from .quantiles import rank_cuts
 
 # Seed, share of the test set, folds.
@@ -45,7 +45,7 @@ def _deal(df: DataFrame, id_col: str, by: str | None, ranks: dict, sizes: dict,
     columns = [T.StructField("_edges", T.ArrayType(pair)), T.StructField("_skipped", T.IntegerType())]
     if by is None:
         table = local_table(df.sparkSession, [r[1:] for r in rows], T.StructType(columns))
-        dealt = keyed.crossJoin(F.broadcast(table))
+        dealt = beside(keyed, table)
     else:
         table = local_table(df.sparkSession, rows, T.StructType([df.schema[by], *columns]))
         dealt = attach_local(keyed, table, [by])
@@ -128,16 +128,15 @@ def assign_folds(
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """(class, n, weight) with weight = rows / (classes x rows of the class)."""
-    sizes = df.groupBy(quoted(target)).agg(F.count("*").alias("n"))
-    whole = sizes.agg(F.sum("n").alias("_rows"), F.count("*").alias("_classes"))
-    return sizes.crossJoin(F.broadcast(whole)).select(
-        quoted(target), "n", (F.col("_rows") / (F.col("_classes") * F.col("n"))).alias("weight")
-    )
+    sizes = class_sizes(df, target)
+    rows = [(c, n, sum(sizes.values()) / (len(sizes) * n)) for c, n in sizes.items()]
+    columns = [df.schema[target], T.StructField("n", T.LongType()), T.StructField("weight", T.DoubleType())]
+    return local_table(df.sparkSession, rows, T.StructType(columns))
 
 
 def with_class_weight(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     weights = class_weights(df, target).select(quoted(target), F.col("weight").alias(name))
-    return attach(df, weights, [target])
+    return attach_local(df, weights, [target])
 
 
 def parts(df: DataFrame, name: str = "is_test") -> tuple[DataFrame, DataFrame]:

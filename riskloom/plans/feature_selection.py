@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions.columns import quoted, string_columns, with_target
 from ..operators.impute import columns_with_nulls, fit_median, quantile_bin
 from ..operators.models import feature_names
+from ..session import write_out
 from ..operators.ranking import (
     KEPT_FEATURES, SHOWN_FEATURES, chi2_scores, forest_importance, mutual_info, top_features,
 )
@@ -27,7 +28,8 @@ def ranking_input(df: DataFrame, target: str, id_col: str, features: Sequence[st
         rows = quantile_bin(rows, target, name=target)
     gone = set(columns_with_nulls(rows, names))
     kept = [n for n in names if n not in gone]
-    return rows.select(quoted(id_col), quoted(target), *[quoted(n) for n in kept]), kept
+    rows = rows.select(quoted(id_col), quoted(target), *[quoted(n) for n in kept])
+    return write_out(rows, "ranking"), kept  # every method reads it several times
 
 
 def rank_features(

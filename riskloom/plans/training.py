@@ -17,6 +17,7 @@ from ..operators.models import (
     SHORT_NAMES, ModelSettings, estimators, feature_names, fit_all, hold, predict, prepare, score_all,
     side_by_side,
 )
+from ..operators.ordering import spread
 from ..operators.smote import smote
 from ..operators.split import FOLDS, TEST_SHARE, assign_folds, parts, random_split, stratified_split, with_class_weight
 from ..session import write_out
@@ -57,8 +58,7 @@ def train_and_evaluate(
         raise ValueError("select at least one numeric feature")
     rows, classes = prepare(df, target, names, id_col, fill=fit_on == "all")
     columns = [f"f{i}" for i in range(len(names))]
-    rows = write_out(random_split(rows, "id", test_share), "split")
-    train, test = parts(rows)
+    train, test = parts(random_split(write_out(rows, "prepared"), "id", test_share))
     if fit_on == "train":
         fill = fit_median(train, columns)
         train, test = fill.apply(train), fill.apply(test)
@@ -105,7 +105,8 @@ def cross_validate(
     """
     names = feature_names(df, target, features, id_col)
     rows, classes = prepare(df, target, names, id_col)
-    dealt = hold(write_out(assign_folds(rows, "id", "label", folds), "folds"))
+    rows = write_out(rows, "prepared")
+    dealt = hold(spread(assign_folds(rows, "id", "label", folds), rows.count(), ["id"]))
     spark = df.sparkSession
 
     def fold_scores(i: int, name: str) -> tuple:
@@ -174,8 +175,7 @@ def train_models(
         raise ValueError("the target needs at least two classes")
     features = [c for c in clean.columns if c not in (target, id_col)]
     rows, classes = prepare(clean, target, features, id_col, fill=False)
-    rows = write_out(stratified_split(rows, "id", "label", test_share), "split")
-    train, test = parts(rows)
+    train, test = parts(stratified_split(write_out(rows, "prepared"), "id", "label", test_share))
     fitted = fit_all(train, len(features), len(classes), settings)
     scores = score_all(fitted, test)
     good = {name: model for name, model in fitted.items() if not isinstance(model, Exception)}
