@@ -48,8 +48,23 @@ def digamma(n: Column) -> Column:
 
 
 def fixed(value: Column, places: int = 4) -> Column:
-    """Fixed-decimal text, as the display tables show it."""
-    return F.format_string(f"%.{places}f", value)
+    """Fixed-decimal text, as the display tables show it.
+
+    Java formats the shortest decimal form half up; Python and C round the binary value
+    itself. The difference shows on ties such as 0.00005, so the scaled value is taken
+    exactly (product plus its rounding error, by Dekker's splitting) and rounded first.
+    """
+    size, scale = F.abs(value), float(10**places)
+    product = size * scale
+    split = size * 134217729.0  # 2**27 + 1
+    high = split - (split - size)
+    error = (high * scale - product) + (size - high) * scale
+    whole = F.floor(product)
+    rest = product - whole
+    up = (rest > 0.5) | ((rest == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
+    rounded = (whole + F.when(up, 1).otherwise(0)) / F.lit(scale)
+    shown = F.when(product < 2.0**52, rounded).otherwise(size)
+    return F.when(value.isNotNull(), F.format_string(f"%.{places}f", F.when(value < 0, -shown).otherwise(shown)))
 
 
 def _upper_tail(score: float, dof: int) -> float:

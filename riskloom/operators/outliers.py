@@ -73,7 +73,7 @@ def outlier_table(detected: DataFrame) -> DataFrame:
     return detected.select(
         "column_name",
         F.col("outlier_count").alias("outliers"),
-        F.format_string("%.1f%%", F.col("outlier_percentage")).alias("pct"),
+        F.concat(fixed(F.col("outlier_percentage"), 1), F.lit("%")).alias("pct"),
         fixed(F.col("lower_bound")).alias("lower_bound"),
         fixed(F.col("upper_bound")).alias("upper_bound"),
     )

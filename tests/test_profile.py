@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskloom.functions import columns as C
-from riskloom.functions.scalars import chi2_upper_tail, digamma
+from riskloom.functions.scalars import chi2_upper_tail, digamma, fixed
 from riskloom.operators import profile, relation
 
 
@@ -124,5 +124,13 @@ def test_special_functions(spark):
     assert all(math.isclose(r[0], r[1], rel_tol=1e-6) for r in df.select(chi2_upper_tail("s", "d"), "want").collect())
 
 
+def test_fixed_text_equals_python(spark):
+    values = [0.00005, -70.45375, 157.13625, 2.5, 0.125, 1e16 + 2, -1e-9, 123456.00015, 0.0, 99.95, None, 1 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for places in (0, 1, 2, 4):
+        got = [r[0] for r in df.select(fixed(F.col("x"), places)).collect()]
+        assert got == [None if v is None else f"{v:.{places}f}" for v in values]
+
+
 def test_head_is_ordered(df):
     assert [r["Sample_ID"] for r in profile.head(df, ["Sample_ID"], 3).collect()] == ["s0", "s1", "s10"]
