@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.columns import nan_to_null, number, numbers, numeric_columns, quoted, string_columns
+from ..functions.columns import drop_missing, number, numbers, numeric_columns, quoted, string_columns
 from ..functions.scalars import adjusted_skewness
 from .lookup import attach
 from .quantiles import exact_quantiles
@@ -134,7 +134,7 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float], **q
 
 
 def present_values(df: DataFrame, column: str) -> DataFrame:
-    return nan_to_null(df.select(quoted(column).alias("value"))).dropna()
+    return drop_missing(df.select(quoted(column).alias("value")), ["value"])
 
 
 def distinct_values(df: DataFrame, column: str) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.columns import numbers, quoted
+from ..functions.columns import numbers, present_numbers, quoted
 from ..functions.scalars import adjusted_skewness
 from .lookup import attach, beside
 from .profile import long_form
@@ -27,7 +27,7 @@ def skewness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
     """Pearson correlation over the rows where both are present."""
-    return numbers(df, [x, y]).agg(F.corr(quoted(x), quoted(y)).alias("correlation"))
+    return present_numbers(df, [x, y]).agg(F.corr(quoted(x), quoted(y)).alias("correlation"))
 
 
 def trend_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFrame:
@@ -45,13 +45,13 @@ def trend_line(df: DataFrame, x: str, y: str, by: str | None = None) -> DataFram
 def scatter_pairs(df: DataFrame, x: str, y: str, colour: str | None = None) -> DataFrame:
     """(x, y, colour) over the rows with both coordinates."""
     keep = [colour] if colour is not None and colour in df.columns else []
-    return numbers(df, [x, y], keep=keep).dropna(how="any", subset=[x, y])
+    return present_numbers(df, [x, y], keep=keep)
 
 
 def _grouped(df: DataFrame, column: str, by: str | None) -> tuple[DataFrame, list[str]]:
     """Value and group as text; a missing group is a category of its own, named nan."""
     keys = [by] if by is not None else []
-    rows = numbers(df, [column], keep=keys).dropna(subset=[column])
+    rows = present_numbers(df, [column], keep=keys)
     if keys:
         rows = rows.withColumn(by, F.coalesce(quoted(by).cast("string"), F.lit("nan")))
     return rows, keys
@@ -89,7 +89,7 @@ def box_outliers(df: DataFrame, column: str, by: str | None = None, **quantile_o
 
 def histogram(df: DataFrame, column: str, bins: int = HISTOGRAM_BINS) -> DataFrame:
     """Counts of equal-width bins over the non-null range; the last bin is closed."""
-    values = numbers(df, [column]).dropna()
+    values = present_numbers(df, [column])
     v = quoted(column)
     low, high = values.agg(F.min(v), F.max(v)).first()
     if low is None:
