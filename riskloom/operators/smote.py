@@ -32,12 +32,13 @@ BLOCK_ROWS = 4_096  # synthetic rows made from one input row of a stage
 PACKED_FEATURES = 3
 PIN_VALUES = 5_000_000  # numbers the broadcast of rows with their neighbours may hold
 
-FOUND = "array<struct<d: double, id: bigint, v: array<double>>>"
+def _found(id_kind: str) -> str:
+    return f"array<struct<d: double, id: {id_kind}, v: array<double>>>"
 
 
 def _nearest(ids, points, other_ids, others, k, limits=None) -> list[list[dict]]:
     """For each point its k nearest others (never itself), nearest first."""
-    out = []
+    out, names = [], other_ids.tolist()
     for at in range(0, len(points), 256):
         block = points[at : at + 256]
         d = ((block[:, None, :] - others[None, :, :]) ** 2).sum(axis=2)
@@ -47,8 +48,8 @@ def _nearest(ids, points, other_ids, others, k, limits=None) -> list[list[dict]]
         for i, reach in enumerate(farthest):
             limit = np.inf if limits is None else limits[at + i]
             close = np.flatnonzero((d[i] <= reach) & (d[i] < limit))
-            close = sorted(close, key=lambda j: (d[i, j], other_ids[j]))[:k]
-            out.append([{"d": float(d[i, j]), "id": int(other_ids[j]), "v": others[j].tolist()} for j in close])
+            close = sorted(close, key=lambda j: (d[i, j], names[j]))[:k]
+            out.append([{"d": float(d[i, j]), "id": names[j], "v": others[j].tolist()} for j in close])
     return out
 
 
@@ -84,11 +85,12 @@ def nearest_in_class(
 ) -> DataFrame:
     """(_c, _id, _v, near): every point with its k nearest neighbours of the same class.
 
-    ``points`` holds class ``_c``, unique bigint ``_id`` and feature array ``_v``.
+    ``points`` holds class ``_c``, a unique ``_id`` (bigint or text) and feature array ``_v``.
     """
     packed, levels = _pack(points, sizes, width, cell_rows)
     cell = ["_c", *levels]
-    kind = packed.schema["_c"].dataType.simpleString()
+    kind, id_kind = (packed.schema[c].dataType.simpleString() for c in ("_c", "_id"))
+    found_kind = _found(id_kind)
     head = f"_c {kind}, {', '.join(f'{s} bigint' for s in levels)}"
 
     def in_cell(frame: pd.DataFrame) -> pd.DataFrame:
@@ -96,7 +98,7 @@ def nearest_in_class(
         return frame.assign(near=_nearest(ids, values, ids, values, k))
 
     local = packed.select(*cell, "_id", "_v").groupBy(*cell).applyInPandas(
-        in_cell, f"{head}, _id bigint, _v array<double>, near {FOUND}"
+        in_cell, f"{head}, _id {id_kind}, _v array<double>, near {found_kind}"
     )
     if len(levels) == 1:
         return local.drop(*levels)
@@ -121,7 +123,7 @@ def nearest_in_class(
     more = (
         asked.groupBy(*cell, "_part")
         .cogroup(held.groupBy(*cell, "_part"))
-        .applyInPandas(across, f"_c {kind}, _id bigint, more {FOUND}")
+        .applyInPandas(across, f"_c {kind}, _id {id_kind}, more {found_kind}")
     )
     both = local.select("_c", "_id", "_v", "near").unionByName(
         more.select("_c", "_id", F.lit(None).cast("array<double>").alias("_v"), F.col("more").alias("near"))
@@ -193,8 +195,9 @@ def smote(
     if not short or min(sizes.values()) < 2:
         return rows
     k = min(neighbours, min(sizes.values()) - 1)
+    whole = dict(df.dtypes)[id_col] in ("tinyint", "smallint", "int", "bigint")
     points = rows.filter(quoted(target).isin(list(short))).select(
-        quoted(target).alias("_c"), quoted(id_col).cast("bigint").alias("_id"),
+        quoted(target).alias("_c"), quoted(id_col).cast("bigint" if whole else "string").alias("_id"),
         F.array(*[quoted(c) for c in features]).alias("_v"),
     )
     near = nearest_in_class(points, short, len(features), k, cell_rows)

@@ -8,7 +8,6 @@ comparison. Sizes are exact, whatever share of the rows one class holds.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F, types as T
 
