@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from .decontaminate import mark_leaks
 from .minhash import near_duplicates
+from .quality import fit_quality, in_fold, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +26,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    gam = fit_quality(docs, table(spark, sf_dir, "labels"))
+    scored = score_quality(docs, gam)
+    return scored.select("doc_id", in_fold(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    marked = mark_leaks(docs, table(spark, sf_dir, "benchmark"))
+    return marked.select("doc_id", "leaked", "leak_item", "leak_share", "leak_answer", "leak_cosine")
