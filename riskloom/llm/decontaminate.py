@@ -1,12 +1,12 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-1. Benchmark items and a bounded sample of documents are cut into windows of words.
-   Document frequencies of the windows' terms are counted over all documents.
-2. The TF-IDF matrix of those windows is factorised by a randomised SVD: products with
-   the matrix and its transpose are joins and grouped sums over its (row, term, weight)
-   cells, and only square matrices of the sketch's width reach the driver.
+1. Benchmark items are cut into overlapping windows of words. Document frequencies of
+   their terms are counted over all documents.
+2. The TF-IDF matrix of a block of items is factorised by a randomised SVD: tasks multiply
+   their rows by the sketch and sum by term; only matrices as wide as the sketch and no
+   longer than the block's vocabulary reach the driver.
 3. Every window of every document is folded into the latent space and compared by cosine
-   with every benchmark window, a block of benchmark items at a time.
+   with every benchmark window, blocks of items at a time.
 4. Around each window over the cosine bound, the longest common subsequence with the item
    is measured on words, and the same for the item's answer, its last sentence. A document
    is contaminated if nearly all of an item is there in order, or most of it and the answer.
@@ -21,7 +21,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..session import write_out
 
@@ -32,18 +33,17 @@ _DROPPED = b".,;:!?\"'()[]{}*#$%&|<>"
 
 @dataclass(frozen=True)
 class Leaks:
-    """``block_items`` benchmark items are compared in one pass over the documents, and at
-    most ``sample_docs`` documents, each of at most ``sample_chars``, help to fit the space. Items of fewer than ``least_words``
-    words cannot be told from ordinary text and are not looked for."""
+    """``block_items`` benchmark items share a latent space, so that ``rank`` dimensions tell
+    them apart, and ``pass_blocks`` such blocks are compared in one pass over the documents.
+    Items of fewer than ``least_words`` words cannot be told from ordinary text and are not
+    looked for."""
 
     step: int = 16
-    rank: int = 64
-    sample_docs: int = 200
-    sample_windows: int = 500
-    sample_chars: int = 20_000
-    block_items: int = 5_000
+    rank: int = 256
+    block_items: int = 200
+    pass_blocks: int = 16
     least_words: int = 8
-    cosine: float = 0.45
+    cosine: float = 0.3
     most: float = 0.8
     some: float = 0.65
     answer: float = 0.8
@@ -78,9 +78,9 @@ def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - row.bit_count()
 
 
-def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Documents that hold each term, over all documents; each task sends what it has counted."""
-    shared = docs.sparkSession.sparkContext.broadcast(frozenset(t.encode() for t in vocabulary))
+def _document_frequencies(docs: DataFrame, vocabulary: list[bytes]) -> tuple[Counter, int]:
+    """Documents that hold each term, and all documents; each task sends what it has counted."""
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, count, n = shared.value, Counter(), 0
@@ -94,132 +94,164 @@ def _document_frequencies(docs: DataFrame, vocabulary: list[str]) -> dict[str, i
         )
 
     rows = docs.select("text").mapInArrow(run, "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-    return {r["term"]: r["n"] for r in rows.collect()}  # at most a row for each known term
+    found = Counter({r["term"]: r["n"] for r in rows.collect()})  # at most a row for each known term
+    n = found.pop(None, 0)
+    return Counter({t.encode(): k for t, k in found.items()}), n
 
 
-def _times(cells: DataFrame, by: str, over: str, vectors: DataFrame, width: int) -> DataFrame:
-    """The matrix of ``cells`` times ``vectors``: for each ``by`` the weighted sum over ``over``."""
-    joined = cells.join(vectors, over)
-    sums = [F.sum(F.col("weight") * F.col("v")[k]).alias(f"s{k}") for k in range(width)]
-    return joined.groupBy(by).agg(*sums).select(by, F.array(*[f"s{k}" for k in range(width)]).alias("v"))
+def _signs(term: bytes, rank: int) -> np.ndarray:
+    words = [xxhash.xxh64_intdigest(term, seed=k) for k in range(-(-rank // 64))]
+    return np.unpackbits(np.array(words, np.uint64).view(np.uint8))[:rank] * 2.0 - 1.0
 
 
-def _gram(vectors: DataFrame, width: int) -> np.ndarray:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((width, width))
+SUMS = "k bigint, v binary"
+
+
+def _pass(rows: DataFrame, rank: int, vectors: np.ndarray | None, terms: list[bytes] | None) -> dict[int, np.ndarray]:
+    """One round with the matrix X of ``rows``: Y = X times the vectors (random signs at
+    first), then X^T Y by term number and, under -1 - k, row k of Y^T Y.
+
+    Tasks add up what their rows give; the sums of all tasks meet by key, so no task and
+    no message holds more than the terms of its rows.
+    """
+    shared = rows.sparkSession.sparkContext.broadcast((vectors, terms))
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, terms = shared.value
+        total: dict[int, np.ndarray] = {}
+        gram = np.zeros((rank, rank))
         for batch in batches:
-            m = np.array(batch.column(0).to_pylist(), float).reshape(-1, width)
-            total += m.T @ m
-        rows = pa.array(list(total), pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), rows], ["k", "g"])
-
-    parts = vectors.select("v").mapInArrow(run, "k int, g array<double>")
-    total = parts.groupBy("k").agg(*[F.sum(F.col("g")[i]).alias(f"g{i}") for i in range(width)]).orderBy("k").collect()
-    return np.array([[r[f"g{i}"] for i in range(width)] for r in total]).reshape(-1, width)
-
-
-def latent_terms(cells: DataFrame, rank: int) -> DataFrame:
-    """(term, v): right singular vectors of the (row, term, weight) matrix, by a sketch of
-    ``rank`` random signs and one power iteration. Directions without weight come out as 0."""
-    cells = write_out(cells, "cells")
-    sign: Column = F.array(*[F.when(F.xxhash64("term", F.lit(k)) % 2 == 0, 1.0).otherwise(-1.0) for k in range(rank)])
-    z = cells.select("term").distinct().select("term", sign.alias("v"))
-    y = write_out(_times(cells, "row", "term", z, rank), "sketch")
-    z = write_out(_times(cells, "term", "row", y, rank), "sketch")
-    y = write_out(_times(cells, "row", "term", z, rank), "sketch")
-    z = write_out(_times(cells, "term", "row", y, rank), "sketch")
-    gram_y, gram_z = _gram(y, rank), _gram(z, rank)
-    # y = q r with q orthonormal: z r^-1 holds q's product with the matrix
-    size, basis = np.linalg.eigh(gram_y)
-    inverse = basis * np.where(size > size.max() * 1e-10, 1 / np.sqrt(np.maximum(size, 1e-300)), 0)
-    size, turn = np.linalg.eigh(inverse.T @ gram_z @ inverse)
-    scale = np.where(size > size.max() * 1e-10, 1 / np.sqrt(np.maximum(size, 1e-300)), 0)
-    turn = (inverse @ turn * scale)[:, ::-1]
+            for ids, weights in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                w = np.array(weights)
+                y = w @ (vectors[ids] if terms is None else np.stack([_signs(terms[i], rank) for i in ids]))
+                gram += np.outer(y, y)
+                for i, x in zip(ids, weights):
+                    total[i] = total.get(i, 0.0) + x * y
+        total |= {-1 - k: row for k, row in enumerate(gram)}
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["k", "v"]
+        )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            m = np.array(batch.column(1).to_pylist(), float).reshape(-1, len(turn)) @ turn
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(m), pa.list_(pa.float64()))], ["term", "v"])
+            for k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                total[k] = total.get(k, 0.0) + np.frombuffer(v)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(list(total), pa.int64()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["k", "v"]
+        )
 
-    return z.select("term", "v").mapInArrow(run, "term string, v array<double>")
+    sums = rows.select("ids", "weights").mapInArrow(multiply, SUMS).repartition("k").mapInArrow(add, SUMS)
+    return {r["k"]: np.frombuffer(r["v"]) for r in sums.collect()}
+
+
+def latent_terms(rows: DataFrame, terms: list[bytes], rank: int) -> np.ndarray:
+    """Right singular vectors of the matrix whose rows are (ids, weights): for each term its
+    ``rank`` coordinates, from a sketch with random signs and one power iteration.
+
+    Directions without weight come out as 0. ``terms`` is the vocabulary of one block of
+    items, and with the sketch's square matrices all that reaches the driver.
+    """
+    sketch = np.zeros((len(terms), rank))
+    for k, v in _pass(rows, rank, None, terms).items():
+        if k >= 0:
+            sketch[k] = v
+    # Orthonormal columns keep the second round's sums well scaled.
+    second = _pass(rows, rank, np.linalg.qr(sketch)[0] if len(terms) >= rank else sketch, None)
+    gram, z = np.zeros((rank, rank)), np.zeros((len(terms), rank))
+    for k, v in second.items():
+        if k >= 0:
+            z[k] = v
+        else:
+            gram[-1 - k] = v
+    # With Y = Q R, z R^-1 is X^T Q; its left singular vectors are those of X^T.
+    size, basis = np.linalg.eigh(gram)
+    inverse = basis * np.where(size > size.max() * 1e-10, 1 / np.sqrt(np.maximum(size, 1e-300)), 0)
+    left, size, _ = np.linalg.svd(z @ inverse, full_matrices=False)
+    out = np.zeros((len(terms), rank))
+    out[:, : left.shape[1]] = left * (size > size.max() * 1e-8)
+    return out
 
 
 @dataclass
 class _Space:
     vocabulary: dict[bytes, int]
     table: np.ndarray  # a row of weighted latent coordinates for each term; row 0 for all others
+    squares: np.ndarray  # the squared weight of each term
     queries: np.ndarray
     owner: np.ndarray
     items: list[tuple[int, list[bytes], list[bytes]]]
 
 
-def _fit(docs: DataFrame, items: list[tuple[int, str]], leaks: Leaks) -> _Space | None:
-    kept = [(i, w, answer_of(t)) for i, t in items if len(w := words_of(t)) >= leaks.least_words]
-    if not kept:
-        return None
-    spark, step = docs.sparkSession, leaks.step
-    order = F.xxhash64("text")
-    sample = docs.where(F.length("text") <= leaks.sample_chars).select("text").orderBy(order, "text").limit(leaks.sample_docs).collect()
-    cuts = [(k, w) for k, (_, words, _) in enumerate(kept) for w in windows(words, step)]
-    own = {t for _, w in cuts for t in w}
-    # Sampled windows weigh in with the terms they share with the benchmark.
-    around = [w for r in sample for w in windows(words_of(r["text"]), step)][: leaks.sample_windows]
-    rows = [w for _, w in cuts] + [x for w in around if (x := [t for t in w if t in own])]
-    vocabulary = sorted(t.decode("utf-8", "replace") for t in own)
-    frequency = _document_frequencies(docs, vocabulary)
-    n = frequency.pop(None, 0)
-    idf = {t: float(np.log((n + 1) / (frequency.get(t, 0) + 1))) for t in vocabulary}
-    cells = []
-    for row, w in enumerate(rows):
-        weight = {t: c * idf.get(t.decode("utf-8", "replace"), 0.0) for t, c in Counter(w).items()}
-        length = np.sqrt(sum(x * x for x in weight.values()))
-        cells += [(row, t.decode("utf-8", "replace"), float(x / length)) for t, x in weight.items() if x > 0]
-    if not cells:
-        return None
-    table = spark.createDataFrame(cells, "row bigint, term string, weight double")
-    found = {r["term"]: r["v"] for r in latent_terms(table, leaks.rank).collect()}  # terms of one block of items
-    ids = {t.encode(): k for k, t in enumerate(vocabulary, 1)}
-    matrix = np.zeros((len(ids) + 1, leaks.rank), np.float32)
-    for t, k in zip(vocabulary, range(1, len(ids) + 1)):
-        matrix[k] = np.array(found.get(t, np.zeros(leaks.rank))) * idf[t]
-    queries = np.stack([matrix[[ids.get(t, 0) for t in w]].sum(axis=0) for _, w in cuts])
-    size = np.linalg.norm(queries, axis=1, keepdims=True)
-    usable = size[:, 0] > 1e-6
-    return _Space(ids, matrix, (queries / np.maximum(size, 1e-6))[usable], np.array([k for k, _ in cuts])[usable], kept)
+def _fit(spark: SparkSession, items: list[tuple], count: Counter, n: int, leaks: Leaks) -> _Space:
+    cuts = [(k, w) for k, (_, words, _) in enumerate(items) for w in windows(words, leaks.step)]
+    terms = sorted({t for _, w in cuts for t in w})
+    ids = {t: k for k, t in enumerate(terms, 1)}
+    idf = np.array([0.0, *(np.log((n + 1) / (count[t] + 1)) for t in terms)])
+    idf[0] = idf[1:].mean()  # terms that no item has
+    rows = []
+    for _, w in cuts:
+        weight = {ids[t] - 1: c * idf[ids[t]] for t, c in Counter(w).items() if idf[ids[t]] > 0}
+        if weight:
+            length = np.sqrt(sum(x * x for x in weight.values()))
+            rows.append((list(weight), [float(x / length) for x in weight.values()]))
+    table = np.zeros((len(terms) + 1, leaks.rank), np.float32)
+    if rows:
+        matrix = spark.createDataFrame(rows, "ids array<int>, weights array<double>")
+        table[1:] = latent_terms(matrix, terms, leaks.rank) * idf[1:, None]
+    queries = np.stack([table[[ids[t] for t in w]].sum(axis=0) for _, w in cuts])
+    size = np.linalg.norm(queries, axis=1)
+    usable = size > 1e-6
+    return _Space(ids, table, idf**2, queries[usable] / size[usable, None], np.array([k for k, _ in cuts])[usable], items)
 
 
 def _search(words: list[bytes], space: _Space, leaks: Leaks) -> tuple | None:
-    """(item, share of it found in order, share of its answer, cosine) of the best match."""
+    """(item, share of it found in order, share of its answer, cosine) of the best match.
+
+    The cosine is between a window's TF-IDF vector over all its terms and an item window's
+    latent vector. Its bound, the length of what is left of the window in the latent
+    space, is tested first, and before a subsequence is measured, its bound: how many of
+    the item's words are there at all.
+    """
+    if not words or not len(space.queries):
+        return None
     step, get, best = leaks.step, space.vocabulary.get, None
-    if not words:
+    ids = np.fromiter([get(w, 0) for w in words], np.int64, len(words))
+    cells = -(-len(ids) // step)
+    full = np.add.reduceat(space.squares[ids], np.arange(0, len(ids), step))
+    inside = np.flatnonzero(ids)
+    if not len(inside):
         return None
-    ids = np.fromiter((get(w, 0) for w in words), np.int64, len(words))
-    sums = np.concatenate(
-        [
-            np.add.reduceat(part := space.table[ids[k : k + 4096 * step]], np.arange(0, len(part), step))
-            for k in range(0, len(ids), 4096 * step)
-        ]
-    )
-    if len(sums) > 1:
-        sums = sums[:-1] + sums[1:]
-    size = np.sqrt(np.einsum("ij,ij->i", sums, sums))
+    sums = np.zeros((cells, space.table.shape[1]), np.float32)
+    for k in range(0, len(inside), 1 << 16):
+        part = inside[k : k + (1 << 16)]
+        cell, first = np.unique(part // step, return_index=True)
+        sums[cell] += np.add.reduceat(space.table[ids[part]], first)
+    if cells > 1:
+        sums, full = sums[:-1] + sums[1:], full[:-1] + full[1:]
+    size = np.sqrt(full)
+    chosen = np.flatnonzero(np.einsum("ij,ij->i", sums, sums) >= (leaks.cosine * size) ** 2)
     tried = set()
-    for start in range(0, len(sums), 4096):
-        near = sums[start : start + 4096] @ space.queries.T
-        at, query = np.nonzero(near >= np.maximum(leaks.cosine * size[start : start + 4096, None], 1e-9))
+    for start in range(0, len(chosen), 4096):
+        part = chosen[start : start + 4096]
+        near = sums[part] @ space.queries.T
+        at, query = np.nonzero(near >= np.maximum(leaks.cosine * size[part, None], 1e-9))
         for a, q in zip(at.tolist(), query.tolist()):
-            k, first = int(space.owner[q]), (a + start) * step
-            if (a + start, k) in tried:
+            k, window = int(space.owner[q]), int(part[a])
+            if (window, k) in tried:
                 continue
-            tried.add((a + start, k))
+            tried.add((window, k))
             item, text, answer = space.items[k]
-            region = words[max(0, first - len(text)) : first + 2 * step + len(text)]
+            region = words[max(0, window * step - len(text)) : (window + 2) * step + len(text)]
+            least = max(leaks.some, best[1] if best else 0.0) * len(text)
+            if sum(map(set(region).__contains__, text)) < least:
+                continue
             share = common_subsequence(text, region) / len(text)
             if share < leaks.some or (best and share <= best[1]):
                 continue
             said = common_subsequence(answer, region) / len(answer) if answer else 0.0
             if share >= leaks.most or said >= leaks.answer:
-                best = (item, share, said, float(near[a, q] / size[a + start]))
+                best = (item, share, said, float(near[a, q] / size[window]))
     return best
 
 
@@ -235,29 +267,32 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     new = ["leak_item", "leak_share", "leak_answer", "leak_cosine"]
     kept = [c for c in docs.columns if c not in (*new, "leaked")]
     items = benchmark.groupBy(F.col(item_text).cast("string").alias("text")).agg(F.min(item_col).cast("bigint").alias("item"))
-    items = write_out(
-        items.where("text is not null").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(2**31))), "items"
-    )
-    n, out = items.count(), docs.select(*kept)
-    blocks = max(1, -(-n // leaks.block_items))
-    out = out.selectExpr("*", "cast(null as bigint) leak_item", *[f"cast(null as double) {c}" for c in new[1:]])
+    items = write_out(items.where("text is not null").withColumn("place", F.pmod(F.xxhash64("text"), F.lit(2**31))), "items")
+    spark, texts = docs.sparkSession, docs.select(F.col(text_col).cast("string").alias("text"))
+    out = docs.select(*kept).selectExpr("*", "cast(null as bigint) leak_item", *[f"cast(null as double) {c}" for c in new[1:]])
     schema, at = out.schema, kept.index(text_col)
-    for block in range(blocks):
-        rows = items.where(F.col("part") % blocks == block).orderBy("item", "text").collect()
-        space = _fit(docs.select(F.col(text_col).cast("string").alias("text")), [(r["item"], r["text"]) for r in rows], leaks)
-        if space is not None:
-            out = out.mapInArrow(_marker(docs.sparkSession.sparkContext.broadcast(space), at, len(kept), leaks), schema)
+    passes = max(1, -(-items.count() // (leaks.block_items * leaks.pass_blocks)))
+    for turn in range(passes):
+        rows = items.where(F.col("place") % passes == turn).orderBy("item", "text").collect()
+        wanted = [(r["item"], w, answer_of(r["text"])) for r in rows if len(w := words_of(r["text"])) >= leaks.least_words]
+        if wanted:
+            count, n = _document_frequencies(texts, sorted({t for _, w, _ in wanted for t in w}))
+            blocks = [wanted[k : k + leaks.block_items] for k in range(0, len(wanted), leaks.block_items)]
+            spaces = spark.sparkContext.broadcast([_fit(spark, block, count, n, leaks) for block in blocks])
+            out = out.mapInArrow(_marker(spaces, at, len(kept), leaks), schema)
     return out.withColumn("leaked", F.col("leak_share").isNotNull())
 
 
 def _marker(shared, at: int, width: int, leaks: Leaks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            best = []
+            best = list(zip(*[batch.column(width + k).to_pylist() for k in range(4)]))
             for row, value in enumerate(batch.column(at)):
-                old = tuple(batch.column(width + k)[row].as_py() for k in range(4))
-                new = _search(words_of(value.as_py()), shared.value, leaks)
-                best.append(new if new and (old[1] is None or new[1] > old[1]) else old)
+                words = words_of(value.as_py())
+                for space in shared.value:
+                    found = _search(words, space, leaks)
+                    if found and (best[row][1] is None or found[1] > best[row][1]):
+                        best[row] = found
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             more = [pa.array([b[k] for b in best], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], batch.schema.names)
