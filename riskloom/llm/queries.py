@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import mark_leaks
 from .minhash import near_duplicates
+from .mixing import mix
 from .quality import fit_quality, in_fold, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +42,9 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     marked = mark_leaks(docs, table(spark, sf_dir, "benchmark"))
     return marked.select("doc_id", "leaked", "leak_item", "leak_share", "leak_answer", "leak_cosine")
+
+
+@query
+def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shards")
