@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .decontaminate import mark_leaks
 from .minhash import near_duplicates
 from .mixing import mix
+from .pii import KINDS, find_private, span_text
 from .quality import fit_quality, in_fold, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +49,14 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "shards")
+
+
+@query
+def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_private(table(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"])
+    counts = [
+        F.size(F.filter("base_spans", (lambda k: lambda s: s["kind"] == k)(k))).cast("bigint").alias(f"n_{kind}")
+        for k, kind in enumerate(KINDS[:4])
+    ]
+    digest = F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, span_text(F.col("all_spans")).alias("spans"))
