@@ -164,11 +164,11 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), limit: int = 3, block_docs: int = 64, shard_words: int = 1_000_000, seed: int = 20) -> DataFrame:
-    """(id, source, size, source_size, target, taken, shards), a row for each row of ``docs``.
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), limit: int = 3, block_docs: int = 64, shard_words: int = 1_000_000, seed: int = 20, draw_col: str | None = None) -> DataFrame:
+    """(id, source, size, source_size, target, taken, shards, draw), a row for each row of ``docs``.
 
     ``shards`` has one entry for each time that the mix takes the document, so ``taken`` is
-    its length times ``size``. A source's taken words miss its target by at most half of
+    its length times ``size``. All draws hash the text with ``draw_col`` (the id by default). A source's taken words miss its target by at most half of
     one document. Null and empty texts have size 0 and take no words; a null source is a
     source of its own, the last. Repeated rows are documents of their own. An empty table
     gives an empty result. Other columns of ``docs`` are not read.
@@ -177,7 +177,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     sized = write_out(
         docs.select(
             F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), word_count(text).alias("size"),
-            F.xxhash64(F.lit(seed), F.col(id_col), text).alias("draw"),
+            F.xxhash64(F.lit(seed), F.col(draw_col or id_col), text).alias("draw"),
         ),
         "sized",
     )
@@ -226,7 +226,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     given = F.coalesce(F.slice(F.transform("units", lambda x: x["shard"]), F.lit(1), F.col("times")), F.array().cast("array<int>"))
     return picked.join(shards, ["place", "block"], "left").select(
         "id", "source", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("bigint").alias("taken"),
-        given.alias("shards"),
+        given.alias("shards"), "draw",
     )
 
 
@@ -236,6 +236,6 @@ def arrange(mixed: DataFrame, seed: int = 20) -> DataFrame:
     Positions follow a hashed order inside each shard, which holds about ``shard_words`` words.
     """
     rows = mixed.select("*", F.posexplode("shards").alias("_turn", "shard")).drop("shards")
-    order = [F.xxhash64(F.lit(seed + 3), "id", "_turn"), F.col("id"), F.col("_turn"), F.col("size")]
+    order = [F.xxhash64(F.lit(seed + 3), "draw", "_turn"), F.col("draw"), F.col("_turn"), F.col("id")]
     position = F.row_number().over(Window.partitionBy("shard").orderBy(*order))
     return rows.withColumn("position", position).drop("_turn")

@@ -10,6 +10,7 @@ from .decontaminate import mark_leaks
 from .minhash import near_duplicates
 from .mixing import mix
 from .pii import KINDS, find_private, span_text
+from .pivots import near_vectors
 from .quality import fit_quality, in_fold, score_quality
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,3 +61,8 @@ def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     digest = F.sha2(span_text(F.col("base_spans")), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, span_text(F.col("all_spans")).alias("spans"))
+
+
+@query
+def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
