@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .decontaminate import mark_leaks
+from .html import extract
 from .minhash import near_duplicates
 from .mixing import mix
 from .pii import KINDS, find_private, span_text
@@ -66,3 +67,9 @@ def op7_private(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("bigint"))
