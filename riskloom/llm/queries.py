@@ -13,6 +13,9 @@ from .mixing import mix
 from .pii import KINDS, find_private, span_text
 from .pivots import near_vectors
 from .quality import fit_quality, in_fold, score_quality
+from .tokens import count_tokens
+from .urls import judge
+from .warc import audit, warc_records
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -73,3 +76,53 @@ def op6_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
+RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+
+
+@query
+def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+
+
+@query
+def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return counted.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*")
+
+
+@query
+def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the pages: one has lost some records, the other has lost others and damaged some."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    damage = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("\x00"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
+    first = warc_records(pages.where("page_id % 83 <> 11"))
+    second = warc_records(pages.where("page_id % 89 <> 7").withColumn("html", damage))
+    return audit(first, second)
+
+
+_REPLICA = """
+{name} AS (
+  SELECT page_id AS id, page_id // 4096 AS file, strlen(record) AS length, record,
+    COALESCE(SUM(strlen(record)) OVER (PARTITION BY page_id // 4096 ORDER BY page_id
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset",
+    sha256(sha256(record)) AS hash
+  FROM (
+    SELECT page_id, 'WARC/1.1' || nl || 'WARC-Type: resource' || nl || 'WARC-Record-ID: <urn:page:' || page_id || '>' || nl
+      || 'WARC-Target-URI: ' || url || nl || 'Content-Type: text/html' || nl || 'Content-Length: ' || strlen(body) || nl || nl
+      || body || nl || nl AS record
+    FROM (SELECT page_id, url, {body} AS body, chr(13) || chr(10) AS nl FROM pages WHERE {kept})))
+"""
+_FIRST = _REPLICA.format(name="a", body="html", kept="page_id % 83 <> 11")
+_SECOND = _REPLICA.format(
+    name="b", kept="page_id % 89 <> 7", body="CASE WHEN page_id % 97 = 5 THEN chr(0) || substr(html, 2) ELSE html END"
+)
+ORACLES["op3_fixity"] = f"""
+WITH {_FIRST}, {_SECOND}
+SELECT COALESCE(a.id, b.id) AS id,
+  CASE WHEN b.id IS NULL THEN 'missing' WHEN a.id IS NULL THEN 'extra' ELSE 'changed' END AS state,
+  COALESCE(a."offset", b."offset") AS "offset", COALESCE(a.length, b.length) AS length, a.hash AS hash, b.hash AS other_hash
+FROM a FULL JOIN b ON a.id = b.id WHERE a.hash IS DISTINCT FROM b.hash
+"""
