@@ -15,6 +15,7 @@ Only Spark SQL functions are used.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -31,6 +32,7 @@ PATTERNS = {
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
+RUN = 512
 SPACE = r"\x20\x09-\x0D"
 CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
 
@@ -44,19 +46,51 @@ class Bootstrap:
     context_chars: int = 40
 
 
-def located(text: Column, pattern: str) -> Column:
-    """array<struct<start, text>> of all matches, ``start`` in code points."""
-    matches, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
-    def add(a: Column, i: Column) -> Column:
-        start, hit = a["at"] + F.length(F.element_at(a["gaps"], i)), F.element_at(a["matches"], i)
-        found = F.concat(a["out"], F.array(F.struct(start.alias("start"), hit.alias("text"))))
-        return F.struct((start + F.length(hit)).alias("at"), a["matches"], a["gaps"], found.alias("out"))
 
-    none = F.expr("cast(array() as array<struct<start:int,text:string>>)")
-    start = F.struct(F.lit(0).alias("at"), matches.alias("matches"), gaps.alias("gaps"), none.alias("out"))
-    places = F.sequence(F.lit(1), F.size(gaps) - 1)
-    return F.when(F.size(gaps) > 1, F.aggregate(places, start, add, lambda a: a["out"])).otherwise(none)
+def located(text: Column, pattern: str, chars: int = 0) -> Column:
+    """array<struct<start, text, left, right>> of all matches, ``start`` in code points.
+
+    ``left`` and ``right`` are up to ``chars`` characters around a match, no further than
+    the next match on either side. Starts are a running sum of lengths, added up in runs
+    of ``RUN`` matches, so that a text with very many matches copies no long array often.
+    """
+    parts = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("g"))
+    kind = "array<struct<start:int,text:string,left:string,right:string>>"
+    none = F.expr(f"cast(array() as {kind})")
+
+    def around(p: Column) -> Column:
+        def hit(m: Column, i: Column) -> Column:
+            gap, behind = F.get(p["g"], i), F.get(p["g"], i + 1)
+            before = F.concat(F.coalesce(F.get(p["m"], i - 1), F.lit("")), gap) if chars else F.lit("")
+            after = F.concat(behind, F.coalesce(F.get(p["m"], i + 1), F.lit(""))) if chars else F.lit("")
+            left = F.substring(before, F.greatest(F.length(before) - chars, F.lit(0)) + 1, F.lit(chars))
+            return F.struct(
+                F.length(gap).alias("skip"), F.length(m).alias("size"), m.alias("text"), left.alias("left"),
+                F.substring(after, F.lit(1), F.lit(chars)).alias("right"),
+            )
+
+        return F.transform(p["m"], hit)
+
+    def place(hits: Column) -> Column:
+        def add(a: Column, h: Column) -> Column:
+            start = a["at"] + h["skip"]
+            found = F.struct(start.alias("start"), h["text"], h["left"], h["right"])
+            return F.struct((start + h["size"]).alias("at"), F.concat(a["out"], F.array(found)).alias("out"))
+
+        def run(a: Column, k: Column) -> Column:
+            inner = F.aggregate(F.slice(hits, k * RUN + 1, F.lit(RUN)), F.struct(a["at"].alias("at"), none.alias("out")), add)
+            return _let(inner, lambda r: F.struct(r["at"].alias("at"), F.concat(a["out"], r["out"]).alias("out")))
+
+        runs = F.sequence(F.lit(0), ((F.size(hits) - 1) / RUN).cast("int"))
+        return F.when(
+            F.size(hits) > 0, F.aggregate(runs, F.struct(F.lit(0).alias("at"), none.alias("out")), run, lambda a: a["out"])
+        ).otherwise(none)
+
+    return _let(_let(parts, around), place)
 
 
 def _luhn(digits: Column) -> Column:
@@ -112,21 +146,18 @@ def candidates(text: Column, chars: int) -> Column:
         core = F.regexp_extract(h["text"], r"^[^\p{L}\p{N}+@]*(.*?)[^\p{L}\p{N}]*$", 1)
         lead = F.length(F.regexp_extract(h["text"], r"^([^\p{L}\p{N}+@]*)", 1))
         shape = F.regexp_replace(F.regexp_replace(core, r"\p{N}", "9"), r"\p{L}+", "a")
-        stop = h["start"] + F.length(h["text"])
-        left = F.substring(text, F.greatest(h["start"] - chars, F.lit(0)) + 1, F.least(h["start"], F.lit(chars)))
-        right = F.substring(text, stop + 1, F.lit(chars))
 
         def plain(x: Column) -> Column:
             return F.regexp_replace(F.lower(x), r"\p{N}", "0")
 
         return F.struct(
             (h["start"] + lead).alias("start"), (h["start"] + lead + F.length(core)).alias("end"), core.alias("text"),
-            shape.alias("shape"), plain(F.regexp_extract(left, rf"{word}[{SPACE}]*$", 1)).alias("before"),
-            plain(F.regexp_extract(right, rf"^[{SPACE}]*{word}", 1)).alias("after"),
+            shape.alias("shape"), plain(F.regexp_extract(h["left"], rf"{word}[{SPACE}]*$", 1)).alias("before"),
+            plain(F.regexp_extract(h["right"], rf"^[{SPACE}]*{word}", 1)).alias("after"),
         )
 
     kind = "array<struct<start:int,end:int,text:string,shape:string,before:string,after:string>>"
-    found = F.transform(located(text, CANDIDATE), about)
+    found = F.transform(located(text, CANDIDATE, chars), about)
     return F.when(text.rlike("[0-9@]"), F.filter(found, lambda c: c["text"] != "")).otherwise(F.expr(f"cast(array() as {kind})"))
 
 
@@ -199,14 +230,25 @@ def find_private(docs: DataFrame, text_col: str = "text", keep: list[str] | None
 
 
 def masked(text: Column, spans: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; overlapping ones by the first."""
+    """``text`` with each span replaced by its kind in brackets; spans that overlap become one,
+    of the first's kind."""
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
 
-    def put(a: Column, s: Column) -> Column:
-        piece = F.concat(a["out"], F.substring(text, a["at"] + 1, s["start"] - a["at"]), F.element_at(names, s["kind"] + 1))
-        free = s["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(free, piece).otherwise(a["out"]).alias("out"))
+    def apart(a: Column, s: Column) -> Column:
+        last, end = F.element_at(a["out"], -1), F.greatest(a["at"], s["end"])
+        longer = F.array(F.struct(last["start"].alias("start"), last["kind"].alias("kind"), end.alias("end")))
+        merged = F.concat(F.slice(a["out"], F.lit(1), F.size(a["out"]) - 1), longer)
+        return F.struct(end.alias("at"), F.when(s["start"] >= a["at"], F.concat(a["out"], F.array(s))).otherwise(merged).alias("out"))
+
+    kind = "array<struct<start:int,kind:int,end:int>>"
+    start = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {kind})").alias("out"))
+
+    def joined(kept: Column) -> Column:
+        def piece(s: Column, i: Column) -> Column:
+            end = F.when(i > 0, F.get(kept, i - 1)["end"]).otherwise(0)
+            return F.concat(F.substring(text, end + 1, s["start"] - end), F.element_at(names, s["kind"] + 1))
+
+        last = F.element_at(kept, -1)["end"]
+        return F.concat(F.array_join(F.transform(kept, piece), ""), F.substring(text, last + 1, F.length(text)))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    whole = F.aggregate(spans, start, put, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, whole).otherwise(text)
+    return F.when(F.size(spans) > 0, _let(F.aggregate(spans, start, apart, lambda a: a["out"]), joined)).otherwise(text)
