@@ -53,7 +53,7 @@ def adjusted_skewness(x: str) -> str:
     return f"CASE WHEN min({x}) = max({x}) THEN 0.0 ELSE skewness({x}) END"
 
 
-ORACLES["s_csv_scan"] = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
+ORACLES["s_csv_scan"] = ORACLES["s_csv_scan_mixed"] = "SELECT c_custkey, c_name, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_acctbal, c_mktsegment FROM customer"
 ORACLES["s_csv_encoding"] = "SELECT doc_id, text, lang, source, n_chars FROM documents"
 
 ORACLES["p_dropna"] = f"WITH {ORDERS} SELECT * FROM orders_gaps WHERE o_totalprice IS NOT NULL AND o_orderstatus IS NOT NULL"
@@ -74,14 +74,26 @@ ORACLES["a_table_quality"] = f"""WITH {ORDERS}, m AS (
 SELECT rows, CAST(5 AS BIGINT) AS columns, missing_cells, round(100.0 * missing_cells / (rows * 5), 6) AS missing_pct,
        CAST(3 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS string_columns FROM m"""
 ORACLES["a_duplicate_rows"] = """
-SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity FROM lineitem)) AS duplicates
-FROM lineitem"""
+WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)
+SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM twice)) AS duplicates FROM twice"""
 ORACLES["a_describe"] = union(
     f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
     f"round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, "
     f"round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}), 4) AS max FROM lineitem"
     for c in LINE_NUMBERS
 )
+LINE_TYPES = """lines AS (
+  SELECT CAST(l_quantity AS DOUBLE) AS as_float, CAST(l_quantity * 2 AS DOUBLE) AS as_decimal,
+         CAST(l_linenumber AS DOUBLE) AS as_smallint, CAST(l_linenumber AS DOUBLE) AS as_tinyint,
+         CAST(l_partkey AS DOUBLE) AS as_int
+  FROM lineitem)"""
+TYPED = ["as_float", "as_decimal", "as_smallint", "as_tinyint", "as_int"]
+ORACLES["a_describe_types"] = f"WITH {LINE_TYPES} " + union(
+    f"SELECT '{c}' AS column_name, count({c}) AS count, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
+    f"round(min({c}), 4) AS min, round(quantile_cont({c}, 0.25), 4) AS q1, round(quantile_cont({c}, 0.5), 4) AS median, "
+    f"round(quantile_cont({c}, 0.75), 4) AS q3, round(max({c}), 4) AS max FROM lines"
+    for c in TYPED
+)
 ORACLES["a_distribution_stats"] = union(
     f"SELECT {i} AS position, '{name}' AS statistic, round({e}, 6) AS value FROM events"
     for i, (name, e) in enumerate(
@@ -174,17 +186,18 @@ SELECT o_orderkey, CAST(p.code AS INTEGER) AS o_orderpriority, o_orderstatus, CA
 FROM orders_gaps JOIN p ON p.v = o_orderpriority JOIN s ON s.v = coalesce(o_orderstatus, 'nan')"""
 
 
-def detected(table: str, column: str) -> str:
-    return f"""SELECT '{column}' AS column_name, round(any_value(q1), 6) AS q1, round(any_value(q3), 6) AS q3,
-  round(any_value(iqr), 6) AS iqr, round(any_value(lo), 6) AS lower_bound, round(any_value(hi), 6) AS upper_bound,
+def detected(table: str, column: str, digits: int = 6) -> str:
+    return f"""SELECT '{column}' AS column_name, round(any_value(q1), {digits}) AS q1, round(any_value(q3), {digits}) AS q3,
+  round(any_value(iqr), {digits}) AS iqr, round(any_value(lo), {digits}) AS lower_bound, round(any_value(hi), {digits}) AS upper_bound,
   count(*) FILTER ({column} < lo OR {column} > hi) AS outlier_count,
-  round(100.0 * count(*) FILTER ({column} < lo OR {column} > hi) / count({column}), 6) AS outlier_percentage,
-  min({column}) AS min_value, max({column}) AS max_value, round(avg({column}), 6) AS mean, round(stddev_samp({column}), 6) AS std,
+  round(100.0 * count(*) FILTER ({column} < lo OR {column} > hi) / count({column}), {digits}) AS outlier_percentage,
+  min({column}) AS min_value, max({column}) AS max_value, round(avg({column}), {digits}) AS mean, round(stddev_samp({column}), {digits}) AS std,
   count(*) FILTER ({column} < lo) AS outliers_below, count(*) FILTER ({column} > hi) AS outliers_above
 FROM {table}, ({fences(table, column)})"""
 
 
 ORACLES["f_outlier_detect"] = union([detected("events", "value"), detected("customer", "c_acctbal")])
+ORACLES["f_outlier_detect_types"] = f"WITH {LINE_TYPES} " + union(detected("lines", c, 4) for c in TYPED)
 ORACLES["f_outlier_table"] = f"""SELECT 'value' AS column_name, count(*) FILTER (value < lo OR value > hi) AS outliers,
   printf('%.1f%%', 100.0 * count(*) FILTER (value < lo OR value > hi) / count(value)) AS pct,
   printf('%.4f', any_value(lo)) AS lower_bound, printf('%.4f', any_value(hi)) AS upper_bound
@@ -367,16 +380,19 @@ def smote_rows(features: list[str], target: str) -> str:
     packed = ", ".join(f"{c} := b.{c}" for c in features)
     return f"""WITH {DOCUMENTS},
 n AS (SELECT {target} AS y, count(*) AS c, max(count(*)) OVER () AS most, least(5, min(count(*)) OVER () - 1) AS k FROM docs GROUP BY 1),
-s AS (SELECT docs.*, c, most, k, row_number() OVER (PARTITION BY {target} ORDER BY doc_id) AS turn
+s AS (SELECT docs.*, c, most, k, row_number() OVER (PARTITION BY {target} ORDER BY {key("doc_id")}, doc_id) AS turn
       FROM docs JOIN n ON y = {target} WHERE c < most),
 d AS (SELECT a.doc_id, list(struct_pack({packed}) ORDER BY {far}, b.doc_id) AS near
       FROM s a JOIN s b ON a.{target} = b.{target} AND a.doc_id <> b.doc_id GROUP BY 1),
-w AS (SELECT y, i AS draw, i % c + 1 AS turn FROM n, LATERAL (SELECT unnest(range(most - c)) AS i) WHERE c < most)
+w AS (SELECT id, i AS draw FROM (
+  SELECT doc_id AS id, (most - c) // c + CASE WHEN turn <= (most - c) % c THEN 1 ELSE 0 END AS times FROM s),
+  LATERAL (SELECT unnest(range(times)) AS i))
 SELECT doc_id, {", ".join(f"round({c}, 6) AS {c}" for c in features)}, {target} FROM docs
-UNION ALL SELECT NULL, {moved}, a.{target} FROM w JOIN s a ON a.{target} = w.y AND a.turn = w.turn JOIN d ON d.doc_id = a.doc_id"""
+UNION ALL SELECT NULL, {moved}, a.{target} FROM w JOIN s a ON a.doc_id = w.id JOIN d ON d.doc_id = a.doc_id"""
 
 
-ORACLES["m_smote"] = smote_rows(["n_chars", "words", "digits"], "quality")
+ORACLES["m_smote"] = ORACLES["m_smote_cells"] = smote_rows(["n_chars", "words", "digits"], "quality")
+ORACLES["m_smote_one_feature"] = smote_rows(["n_chars"], "quality")
 
 
 def sample_rows() -> str:

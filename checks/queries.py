@@ -86,6 +86,16 @@ def s_csv_scan(spark, folder):
     return csv_source.load_dataset(spark, path)
 
 
+@query
+def s_csv_scan_mixed(spark, folder):
+    """One folder whose files have two column orders."""
+    customers = table(spark, folder, "customer")
+    even, odd = (customers.where(F.col("c_custkey") % 2 == k) for k in (0, 1))
+    path = csv_source.write_csv(even, fresh_path(spark, "mixed") + ".csv")
+    odd.select(*reversed(odd.columns)).write.mode("append").options(header=True, escape='"').csv(path)
+    return csv_source.load_dataset(spark, path)
+
+
 @query
 def s_csv_encoding(spark, folder):
     documents = table(spark, folder, "documents")
@@ -151,7 +161,8 @@ def a_table_quality(spark, folder):
 
 @query
 def a_duplicate_rows(spark, folder):
-    return profile.duplicate_rows(table(spark, folder, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity"))
+    lines = table(spark, folder, "lineitem")
+    return profile.duplicate_rows(lines.unionByName(lines.where("l_orderkey % 10 = 0")))
 
 
 @query
@@ -159,6 +170,26 @@ def a_describe(spark, folder):
     return rounded(profile.describe(table(spark, folder, "lineitem"), LINE_NUMBERS), 4)
 
 
+def line_types(spark, folder):
+    """Line items with a column of each further number type."""
+    return table(spark, folder, "lineitem").select(
+        F.col("l_quantity").cast("float").alias("as_float"), (F.col("l_quantity") * 2).cast("decimal(12,2)").alias("as_decimal"),
+        F.col("l_linenumber").cast("smallint").alias("as_smallint"), F.col("l_linenumber").cast("tinyint").alias("as_tinyint"),
+        F.col("l_partkey").cast("int").alias("as_int"),
+    )
+
+
+@query
+def a_describe_types(spark, folder):
+    return rounded(profile.describe(line_types(spark, folder)), 4)
+
+
+@query
+def f_outlier_detect_types(spark, folder):
+    lines = line_types(spark, folder)
+    return rounded(outliers.detect_outliers(lines, lines.columns), 4)
+
+
 @query
 def a_distribution_stats(spark, folder):
     return rounded(profile.distribution_stats(table(spark, folder, "events"), "value"))
@@ -432,6 +463,19 @@ def m_smote(spark, folder):
     return rounded(smote.smote(labelled_documents(spark, folder), ["n_chars", "words", "digits"], "quality", "doc_id"))
 
 
+@query
+def m_smote_one_feature(spark, folder):
+    """Many cells on one feature."""
+    return rounded(smote.smote(labelled_documents(spark, folder), ["n_chars"], "quality", "doc_id", cell_rows=8))
+
+
+@query
+def m_smote_cells(spark, folder):
+    """The rows of ``m_smote`` whatever the size of a cell."""
+    docs = labelled_documents(spark, folder)
+    return rounded(smote.smote(docs, ["n_chars", "words", "digits"], "quality", "doc_id", cell_rows=8))
+
+
 @query
 def m_evaluate(spark, folder):
     return training.train_and_evaluate(labelled_parts(spark, folder), "Risk_Type", "p_partkey").scores

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 # Names the canonical data set uses.
 CORE_NUMERIC = ["MP_Count_per_L", "Risk_Score", "Microplastic_Size_mm_midpoint", "Density_midpoint"]
@@ -16,13 +16,9 @@ TARGETS = ["Risk_Type", "Risk_Level"]
 IDENTIFIER_MARKS = ["ID", "Sample"]
 
 
-def numeric_columns(df: DataFrame, narrow_ints: bool = False) -> list[str]:
-    """Double and bigint columns; ``narrow_ints`` also takes int (model features).
-
-    Booleans are never numeric here, so one-hot flags do not become features.
-    """
-    kinds = {"double", "bigint"} | ({"int"} if narrow_ints else set())
-    return [name for name, kind in df.dtypes if kind in kinds]
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Columns of any number type. Booleans are none, so one-hot flags do not become features."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
 def string_columns(df: DataFrame) -> list[str]:

@@ -40,7 +40,7 @@ def columns_with_nulls(df: DataFrame, columns: Sequence[str]) -> list[str]:
 def drop_null_columns(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Drop the columns holding any null: one counting pass decides the schema."""
     names = list(columns) if columns is not None else df.columns
-    numeric = set(numeric_columns(df, narrow_ints=True))
+    numeric = set(numeric_columns(df))
     tests = {n: (number(df, n) if n in numeric else quoted(n)).isNull() for n in names}
     if not tests:
         return df

@@ -85,7 +85,17 @@ def attach(
         return _joined(df, table, on, how)
     total = table.agg(F.sum(weight)).first()[0]
     hot = pin(table.filter(F.col(weight) > total / HOT_SHARE), HOT_SHARE)
-    keys = F.broadcast(hot.select(*on))
-    heavy = _joined(_joined(df, keys, on, "left_semi"), F.broadcast(hot), on, how)
-    light = _joined(_joined(df, keys, on, "left_anti"), table, on, how)
-    return heavy.unionByName(light)
+    if hot is None:
+        return _joined(df, table, on, how)
+    # Rows of hot keys get their values by broadcast and a random salt that matches nothing,
+    # which spreads them over the shuffle. The input stays a single branch of the plan.
+    values = [c for c in table.columns if c not in on]
+    marked = hot.select(*on, *[F.col(c).alias(f"__hot_{c}") for c in values], F.lit(True).alias("__hot"))
+    salt = F.when(F.col("__hot"), 1 + F.floor(F.rand(0) * HOT_SHARE)).otherwise(0).cast("bigint")
+    salted = _joined(df, F.broadcast(marked), on, "left").withColumn("__salt", salt)
+    cold = table.withColumns({"__salt": F.lit(0).cast("bigint"), "__cold": F.lit(True)})
+    both = _joined(salted, cold, [*on, "__salt"], "left")
+    if how == "inner":
+        both = both.filter(F.col("__hot") | F.col("__cold"))
+    picked = [F.when(F.col("__hot"), F.col(f"__hot_{c}")).otherwise(F.col(f"`{c}`")).alias(c) for c in values]
+    return both.select(*[f"`{c}`" for c in df.columns], *picked)

@@ -48,7 +48,7 @@ class ModelSettings:
 
 def feature_names(df: DataFrame, target: str, features: Sequence[str] | None = None, id_col: str | None = None) -> list[str]:
     """Numeric columns but the target (and the row id, which is no measurement)."""
-    numeric = numeric_columns(df if features is None else df.select(*[quoted(f) for f in features]), narrow_ints=True)
+    numeric = numeric_columns(df if features is None else df.select(*[quoted(f) for f in features]))
     return [c for c in numeric if c not in (target, id_col)]
 
 

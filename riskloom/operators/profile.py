@@ -85,7 +85,7 @@ def _moments(df: DataFrame, columns: Sequence[str], skewness: bool) -> DataFrame
 
 def describe(df: DataFrame, columns: Sequence[str] | None = None, **quantile_options) -> DataFrame:
     """count, mean, std (n-1), min, exact quartiles, max: one row per numeric column."""
-    columns = list(columns) if columns is not None else numeric_columns(df, narrow_ints=True)
+    columns = list(columns) if columns is not None else numeric_columns(df)
     quartiles = exact_quantiles(df, columns, [0.25, 0.5, 0.75], **quantile_options)
     return attach(_moments(df, columns, False), quartiles, ["column_name"]).select(
         "column_name", "count", "mean", "std", "min",

@@ -31,23 +31,20 @@ def chi2_scores(df: DataFrame, features: Sequence[str], target: str) -> DataFram
     """(feature, chi2_score, p_value) of each feature's mass per class.
 
     Per class the observed mass is the sum of x - min(x) + 1 and the expected mass the
-    class's share of the total. One pass: sums, minima and counts by class are enough,
-    since sum(x - m + 1) = sum(x) - n m + n.
+    class's share of the total. Minima come first, so that only differences are added up:
+    values far from 0 lose no digits.
     """
     rows = numbers(df, features, keep=[target]).filter(quoted(target).isNotNull())
+    low = rows.agg(*[F.min(quoted(c)).alias(f"_m{i}") for i, c in enumerate(features)]).first()
     by_class = rows.groupBy(quoted(target)).agg(
         F.count("*").alias("_n"),
-        *[f(quoted(c)).alias(f"_{t}{i}") for i, c in enumerate(features) for f, t in ((F.sum, "s"), (F.min, "m"))],
-    )
-    long = long_form(
-        by_class, features, lambda i, c: [F.col(f"_s{i}").alias("_sum"), F.col(f"_m{i}").alias("_min")], keep=["_n"]
+        *[F.sum(quoted(c) - F.lit(low[f"_m{i}"]).cast("double") + 1).alias(f"_s{i}") for i, c in enumerate(features)],
     )
+    long = long_form(by_class, features, lambda i, c: [F.col(f"_s{i}").alias("_observed")], keep=["_n"])
     every = Window.partitionBy("column_name")  # one row per class
-    n, low = F.col("_n"), F.col("_low")
-    seen = (
-        long.withColumns({"_low": F.min("_min").over(every), "_rows": F.sum("_n").over(every)})
-        .withColumn("_observed", F.col("_sum") - n * low + n)
-        .withColumn("_expected", F.sum("_observed").over(every) * n / F.col("_rows"))
+    n = F.col("_n")
+    seen = long.withColumn("_rows", F.sum("_n").over(every)).withColumn(
+        "_expected", F.sum("_observed").over(every) * n / F.col("_rows")
     )
     return (
         seen.groupBy(F.col("column_name").alias("feature"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.columns import quoted
 from ..functions.scalars import hash_key, unit
 from ..session import write_out
-from .lookup import PIN_ROWS, attach
+from .lookup import attach
 from .ordering import rank_rows
 from .split import SEED, class_sizes, mark_lowest
 
@@ -30,7 +30,6 @@ CELL_ROWS = 2_000  # points one task compares at a time
 QUERY_ROWS = 20_000  # points from other cells one task compares with a cell
 BLOCK_ROWS = 4_096  # synthetic rows made from one input row of a stage
 PACKED_FEATURES = 3
-PIN_VALUES = 5_000_000  # numbers the broadcast of rows with their neighbours may hold
 
 def _found(id_kind: str) -> str:
     return f"array<struct<d: double, id: {id_kind}, v: array<double>>>"
@@ -60,10 +59,19 @@ def _per_class(values: dict, df: DataFrame) -> Column:
     return F.create_map(*pairs)[F.col("_c")]
 
 
+def _slabs(n: int, levels: int, cell_rows: int) -> int:
+    return max(1, math.ceil((n / cell_rows) ** (1 / levels)))
+
+
+def packed_once(sizes: dict, width: int, cell_rows: int) -> bool:
+    """Whether every class fits in one cell."""
+    return max(_slabs(n, min(width, PACKED_FEATURES), cell_rows) for n in sizes.values()) == 1
+
+
 def _pack(points: DataFrame, sizes: dict, width: int, cell_rows: int) -> tuple[DataFrame, list[str]]:
     """Number each point's slab on every level; all cells of a class hold equally many."""
     levels = min(width, PACKED_FEATURES)
-    slabs = {c: max(1, math.ceil((n / cell_rows) ** (1 / levels))) for c, n in sizes.items()}
+    slabs = {c: _slabs(n, levels, cell_rows) for c, n in sizes.items()}
     total, names = sum(sizes.values()), []
     if max(slabs.values()) == 1:
         return points.withColumn("_s0", F.lit(0).cast("bigint")), ["_s0"]
@@ -100,7 +108,7 @@ def nearest_in_class(
     local = packed.select(*cell, "_id", "_v").groupBy(*cell).applyInPandas(
         in_cell, f"{head}, _id {id_kind}, _v array<double>, near {found_kind}"
     )
-    if len(levels) == 1:
+    if packed_once(sizes, width, cell_rows):
         return local.drop(*levels)
     local = write_out(local.withColumn("_limit", F.element_at("near", -1)["d"]), "near")
     pairs = _other_cells(local, packed, levels, width)
@@ -202,9 +210,7 @@ def smote(
     )
     near = nearest_in_class(points, short, len(features), k, cell_rows)
     need = {c: most - n for c, n in short.items()}
-    small = sum(short.values())
-    few = small <= PIN_ROWS and small * (k + 1) * len(features) <= PIN_VALUES
-    draws = _few_rows(near, short, need) if few else _many_rows(near, short, need, seed)
+    draws = _drawn(near, short, need, seed)
     which = F.pmod(hash_key(F.concat_ws("|", "_id", "_draw"), f"{seed}|neighbour"), F.size("near")) + 1
     along = unit(F.concat_ws("|", "_id", "_draw"), f"{seed}|along")
     towards = F.element_at("near", which.cast("int"))["v"]
@@ -216,23 +222,9 @@ def smote(
     return rows.unionByName(made)
 
 
-def _few_rows(near: DataFrame, short: dict, need: dict) -> DataFrame:
-    """Few rows may have to be drawn very often: spread the draws, broadcast the rows."""
-    spark = near.sparkSession
-    ranked = rank_rows(near, ["_c"], ["_id"], "_turn", sum(short.values()))
-    classes, start, pick = list(need), 0, F.lit(None)
-    turn = F.lit(None).cast("bigint")
-    for c in classes:
-        here = (F.col("id") >= start) & (F.col("id") < start + need[c])
-        pick = F.when(here, F.lit(c)).otherwise(pick)
-        turn = F.when(here, (F.col("id") - start) % short[c] + 1).otherwise(turn)
-        start += need[c]
-    wanted = spark.range(start).select(F.col("id").alias("_draw"), pick.alias("_c"), turn.alias("_turn"))
-    return attach(wanted.withColumn("_c", F.col("_c").cast(near.schema["_c"].dataType)), ranked, ["_c", "_turn"], how="inner")
-
-
-def _many_rows(near: DataFrame, short: dict, need: dict, seed: int) -> DataFrame:
-    """Many rows each drawn a bounded number of times: multiply them in two steps."""
+def _drawn(near: DataFrame, short: dict, need: dict, seed: int) -> DataFrame:
+    """Each row as often as its class needs, numbered by ``_draw``: all rows of a class equally
+    often, those of the lowest hash once more. A row drawn very often is multiplied in two steps."""
     base = _per_class({c: need[c] // short[c] for c in need}, near)
     extra = {c: need[c] % short[c] for c in need}
     marked = mark_lowest(near, "_id", "_c", extra, short, seed, "_extra")

@@ -150,7 +150,7 @@ def clean_data(df: DataFrame, target: str, id_col: str | None = None) -> DataFra
     text = [c for c in string_columns(df) if c != id_col]
     for c in text:
         df = label_encode(df, c, missing="nan")
-    others = [c for c in numeric_columns(df, narrow_ints=True) if c not in (target, id_col, *text)]
+    others = [c for c in numeric_columns(df) if c not in (target, id_col, *text)]
     fill = fit_mean(df, others)
     empty = [c for c, p in fill.params.items() if p["fill"] is None]
     return fill.apply(df).drop(*empty)

@@ -33,6 +33,25 @@ def _plain(uri: str) -> str:
     return "/" + uri.split(":", 1)[-1].lstrip("/")
 
 
+def _by_header(spark: SparkSession, files: list[str], encoding: str, settings: dict) -> list[list[str]]:
+    """The files of each column order: Spark takes the columns of all files from one of them.
+
+    Reads the first line of each file, which is where a file's rows begin; the driver
+    holds a line for each file, as it holds the files' names.
+    """
+    lines = spark.read.option("encoding", encoding).text(files)
+    every = lines.inputFiles()
+    if not settings["header"] or len(every) < 2:
+        return [list(files)]
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    heads = lines.select("value", F.col("_metadata.file_path").alias("_file"), at.alias("_at")).where("_at.file_block_start = 0")
+    first = heads.groupBy("_file").agg(F.min_by("value", "_at").alias("head"))
+    found: dict[str, list[str]] = {}
+    for r in first.orderBy("_file").collect():
+        found.setdefault(r["head"], []).append(r["_file"])
+    return list(found.values())
+
+
 def read_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -49,7 +68,8 @@ def read_csv(
     names = path if isinstance(path, str) else list(path)
     sides = {encoding: names} if encoding != "auto" else files_by_encoding(spark, names)
     settings = {"header": True, "quote": '"', "escape": '"', "multiLine": multiline, **options}
-    frames = [spark.read.options(**settings, encoding=e).csv(files, inferSchema=False) for e, files in sides.items()]
+    groups = [(e, same) for e, files in sides.items() for same in _by_header(spark, files, e, settings)]
+    frames = [spark.read.options(**settings, encoding=e).csv(files, inferSchema=False) for e, files in groups]
     text = frames[0]
     for more in frames[1:]:
         text = text.unionByName(more, allowMissingColumns=True)
