@@ -11,7 +11,7 @@ LINE_NUMBERS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 ORDERS = """orders_gaps AS (
   SELECT o_orderkey, o_custkey,
          CASE WHEN o_orderkey % 7 <> 0 THEN o_orderstatus END AS o_orderstatus,
-         CASE WHEN o_orderkey % 20 <> 0 THEN o_totalprice END AS o_totalprice, o_orderpriority
+         CASE WHEN o_orderkey % 20 <> 0 THEN o_totalprice END AS o_totalprice, o_orderdate, o_orderpriority
   FROM orders)"""
 
 DOCUMENTS = r"""docs AS (
@@ -63,15 +63,15 @@ ORACLES["p_coerce_numeric"] = """
 SELECT p_partkey, TRY_CAST(replace(p_brand, 'Brand#', '') AS DOUBLE) AS brand, TRY_CAST(p_type AS DOUBLE) AS kind FROM part"""
 ORACLES["p_scatter_pairs"] = "SELECT l_returnflag, l_quantity, l_discount FROM lineitem WHERE l_discount <> 0.0"
 
-_kinds = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "object", "o_totalprice": "float64", "o_orderpriority": "object"}
+_kinds = {"o_orderkey": "int64", "o_custkey": "int64", "o_orderstatus": "object", "o_totalprice": "float64", "o_orderdate": "datetime64", "o_orderpriority": "object"}
 ORACLES["a_null_profile"] = f"WITH {ORDERS} " + union(
     f"SELECT '{c}' AS column_name, {i} AS position, '{k}' AS type, count(*) - count({c}) AS missing, "
     f"{half_up(f'100.0 * (count(*) - count({c})) / count(*)', 2)} AS missing_pct FROM orders_gaps"
     for i, (c, k) in enumerate(_kinds.items())
 )
 ORACLES["a_table_quality"] = f"""WITH {ORDERS}, m AS (
-  SELECT count(*) AS rows, 5 * count(*) - {" - ".join(f"count({c})" for c in _kinds)} AS missing_cells FROM orders_gaps)
-SELECT rows, CAST(5 AS BIGINT) AS columns, missing_cells, round(100.0 * missing_cells / (rows * 5), 6) AS missing_pct,
+  SELECT count(*) AS rows, 6 * count(*) - {" - ".join(f"count({c})" for c in _kinds)} AS missing_cells FROM orders_gaps)
+SELECT rows, CAST(6 AS BIGINT) AS columns, missing_cells, round(100.0 * missing_cells / (rows * 6), 6) AS missing_pct,
        CAST(3 AS BIGINT) AS numeric_columns, CAST(2 AS BIGINT) AS string_columns FROM m"""
 ORACLES["a_duplicate_rows"] = """
 WITH twice AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_orderkey % 10 = 0)
@@ -110,7 +110,7 @@ ORACLES["a_score_bands"] = union(
         "0-25": "value < 25", "25-50": "value >= 25 AND value < 50", "50-75": "value >= 50 AND value < 75", "75-100": "value >= 75",
     }.items()
 )
-ORACLES["a_quantiles"] = union(
+ORACLES["a_quantiles"] = ORACLES["a_quantiles_bracketed"] = union(
     f"SELECT '{c}' AS column_name, CAST({p} AS DOUBLE) AS p, round(quantile_cont({c}, {p}), 6) AS value FROM lineitem"
     for c in LINE_NUMBERS for p in (0.05, 0.25, 0.5, 0.75, 0.95)
 )
@@ -131,7 +131,7 @@ b AS (
   SELECT event_type, value, q1, median, q3,
          value < q1 - 1.5 * (q3 - q1) OR value > q3 + 1.5 * (q3 - q1) AS far
   FROM events JOIN q USING (event_type))"""
-ORACLES["a_box_stats"] = f"""{_boxes}
+ORACLES["a_box_stats"] = ORACLES["a_box_stats_bracketed"] = f"""{_boxes}
 SELECT event_type, count(*) AS n, round(any_value(q1), 6) AS q1, round(any_value(median), 6) AS median,
        round(any_value(q3), 6) AS q3, round(min(value) FILTER (NOT far), 6) AS whisker_low,
        round(max(value) FILTER (NOT far), 6) AS whisker_high, count(*) FILTER (far) AS outliers
@@ -169,7 +169,7 @@ ORACLES["f_standard_scale"] = (
     + " FROM lineitem)"
 )
 ORACLES["f_one_hot"] = (
-    f"WITH {ORDERS} SELECT o_orderkey, o_custkey, o_totalprice, "
+    f"WITH {ORDERS} SELECT o_orderkey, o_custkey, o_totalprice, o_orderdate, "
     + ", ".join(
         f"CAST(coalesce({c} = '{v}', false) AS INTEGER) AS \"{c}_{v}\""
         for c, values in {
@@ -179,13 +179,22 @@ ORACLES["f_one_hot"] = (
     )
     + " FROM orders_gaps"
 )
-ORACLES["f_label_encode"] = f"""WITH {ORDERS},
+ORACLES["f_label_encode"] = ORACLES["f_label_encode_shuffled"] = f"""WITH {ORDERS},
 p AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT o_orderpriority AS v FROM orders_gaps)),
 s AS (SELECT v, row_number() OVER (ORDER BY v) - 1 AS code FROM (SELECT DISTINCT coalesce(o_orderstatus, 'nan') AS v FROM orders_gaps))
 SELECT o_orderkey, CAST(p.code AS INTEGER) AS o_orderpriority, o_orderstatus, CAST(s.code AS INTEGER) AS status_code
 FROM orders_gaps JOIN p ON p.v = o_orderpriority JOIN s ON s.v = coalesce(o_orderstatus, 'nan')"""
 
 
+_sparse = ["day", "o_orderpriority", "o_orderstatus"]
+ORACLES["f_one_hot_sparse"] = f"""WITH {ORDERS},
+o AS (SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day, o_orderpriority, o_orderstatus FROM orders_gaps),
+v AS ({union(f"SELECT DISTINCT {i} AS c, {c} AS v FROM o WHERE {c} IS NOT NULL" for i, c in enumerate(_sparse))}),
+p AS (SELECT c, v, CAST(row_number() OVER (ORDER BY c, v) - 1 AS INTEGER) AS place FROM v)
+SELECT o_orderkey, {", ".join(f"p{i}.place AS {c}_at" for i, c in enumerate(_sparse))}
+FROM o {" ".join(f"LEFT JOIN p p{i} ON p{i}.c = {i} AND p{i}.v = o.{c}" for i, c in enumerate(_sparse))}"""
+
+
 def detected(table: str, column: str, digits: int = 6) -> str:
     return f"""SELECT '{column}' AS column_name, round(any_value(q1), {digits}) AS q1, round(any_value(q3), {digits}) AS q3,
   round(any_value(iqr), {digits}) AS iqr, round(any_value(lo), {digits}) AS lower_bound, round(any_value(hi), {digits}) AS upper_bound,
@@ -293,7 +302,7 @@ SELECT feature, round(greatest({psi.format("count(*)")} + avg({psi.format("k")})
   AS mutual_info FROM m GROUP BY feature"""
 
 
-ORACLES["f_mutual_info"] = neighbour_information("part", "p_partkey", "p_type", ["p_size", "p_retailprice"])
+ORACLES["f_mutual_info"] = ORACLES["f_mutual_info_sliced"] = neighbour_information("part", "p_partkey", "p_type", ["p_size", "p_retailprice"])
 _deciles = [i / 10 for i in range(11)]
 ORACLES["f_mutual_info_binned"] = (
     "WITH v AS ("
@@ -336,7 +345,7 @@ SELECT event_id, round((v - m) / s, 5) AS "Risk_Score", """ + ", ".join(
 
 _ranked = f"row_number() OVER (ORDER BY {key('o_orderkey')}, o_orderkey)"
 _ranked_in_class = f"row_number() OVER (PARTITION BY o_orderpriority ORDER BY {key('o_orderkey')}, o_orderkey)"
-ORACLES["m_split_random"] = f"""
+ORACLES["m_split_random"] = ORACLES["m_split_random_cut"] = f"""
 SELECT o_orderkey, o_orderpriority, CAST({_ranked} <= ceil((SELECT count(*) FROM orders) * 2 / 10.0) AS INTEGER) AS is_test FROM orders"""
 ORACLES["m_split_stratified"] = f"""WITH n AS (SELECT o_orderpriority AS y, count(*) AS c, sum(count(*)) OVER () AS t FROM orders GROUP BY 1),
 s AS (SELECT *, CAST(t - ceil(t * 2 / 10.0) AS BIGINT) AS train FROM n),
@@ -344,13 +353,28 @@ f AS (SELECT *, (train * c) // t AS whole, row_number() OVER (ORDER BY (train *
 w AS (SELECT y, c - whole - CASE WHEN turn <= train - (SELECT sum(whole) FROM f) THEN 1 ELSE 0 END AS test FROM f)
 SELECT o_orderkey, o_orderpriority, CAST({_ranked_in_class} <= test AS INTEGER) AS is_test
 FROM orders JOIN w ON y = o_orderpriority"""
-ORACLES["m_fold_assign"] = f"""WITH n AS (
+ORACLES["m_fold_assign"] = ORACLES["m_fold_assign_cut"] = f"""WITH n AS (
   SELECT o_orderpriority AS y, count(*) AS c, sum(count(*)) OVER (ORDER BY o_orderpriority) - count(*) AS start FROM orders GROUP BY 1),
 a AS (SELECT y, i AS fold, (SELECT count(*) FROM range(CAST(start AS BIGINT), CAST(start + c AS BIGINT)) t(p) WHERE p % 5 = i) AS held
       FROM n, range(5) r(i)),
 e AS (SELECT y, fold, sum(held) OVER (PARTITION BY y ORDER BY fold) AS upto, held FROM a),
 o AS (SELECT o_orderkey, o_orderpriority, {_ranked_in_class} AS place FROM orders)
 SELECT o_orderkey, o_orderpriority, CAST(fold AS INTEGER) AS fold FROM o JOIN e ON y = o_orderpriority AND place <= upto AND place > upto - held"""
+ORACLES["m_class_weights_many"] = """WITH n AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1)
+SELECT o_custkey, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n"""
+_LONG, _SHORT = (
+    f"(SELECT unnest({names}) AS model)"
+    for names in (
+        ["Logistic Regression", "RandomForestClassifier", "GradientBoostingClassifier"],
+        ["Logistic Regression", "Random Forest", "Gradient Boosting"],
+    )
+)
+ORACLES["m_predict"] = f"""SELECT p_partkey AS id, model,
+  CASE WHEN p_size <= 15 THEN 'Low' WHEN p_size <= 30 THEN 'Medium' ELSE 'High' END AS predicted FROM part, {_LONG}"""
+ORACLES["m_evaluate_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS precision,
+  CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(NULL AS VARCHAR) AS error FROM {_LONG}"""
+ORACLES["m_cross_validate_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS mean_accuracy, CAST(0 AS DOUBLE) AS std_accuracy,
+  CAST(1 AS DOUBLE) AS mean_f1, CAST(0 AS DOUBLE) AS std_f1, CAST(NULL AS VARCHAR) AS error FROM {_SHORT}"""
 ORACLES["m_class_weights"] = """WITH n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_orderpriority, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n"""
 _classes = f"""WITH {GUESSES}, k AS (SELECT DISTINCT label AS class FROM guesses UNION SELECT DISTINCT prediction FROM guesses),

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -11,8 +13,8 @@ from riskloom.operators import (
     encode, evaluate, impute, models, outliers, profile, ranking, relation, smote, split, transform,
 )
 from riskloom.plans import feature_selection, presets, training
-from riskloom.session import fresh_path
-from riskloom.sources import csv_source, sample
+from riskloom.session import fresh_path, write_out
+from riskloom.sources import csv_source, model_store, sample
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -37,7 +39,7 @@ def rounded(df: DataFrame, places: int = 6) -> DataFrame:
 
 
 def orders_with_gaps(spark: SparkSession, folder: str) -> DataFrame:
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
     return orders.withColumns(
         {
             "o_totalprice": F.expr("CASE WHEN o_orderkey % 20 <> 0 THEN o_totalprice END"),
@@ -205,6 +207,14 @@ def a_quantiles(spark, folder):
     return rounded(profile.quantiles(table(spark, folder, "lineitem"), LINE_NUMBERS, [0.05, 0.25, 0.5, 0.75, 0.95]))
 
 
+@query
+def a_quantiles_bracketed(spark, folder):
+    """``a_quantiles`` the way that large groups take."""
+    lines = table(spark, folder, "lineitem")
+    probs = [0.05, 0.25, 0.5, 0.75, 0.95]
+    return rounded(profile.quantiles(lines, LINE_NUMBERS, probs, group_cells=1_000, sample_rows=4_096, window_rows=4_096))
+
+
 @query
 def a_skewness(spark, folder):
     lines = table(spark, folder, "lineitem").withColumn("constant", F.lit(1.0))
@@ -232,6 +242,13 @@ def a_box_stats(spark, folder):
     return rounded(relation.box_stats(table(spark, folder, "events"), "value", "event_type"))
 
 
+@query
+def a_box_stats_bracketed(spark, folder):
+    """``a_box_stats`` the way that large groups take."""
+    events = table(spark, folder, "events")
+    return rounded(relation.box_stats(events, "value", "event_type", group_cells=500, sample_rows=1_024, window_rows=1_024))
+
+
 @query
 def a_box_outliers(spark, folder):
     return relation.box_outliers(table(spark, folder, "events"), "value", "event_type")
@@ -289,6 +306,23 @@ def f_label_encode(spark, folder):
     return encode.label_encode(coded, "o_orderstatus", name="status_code", missing="nan")
 
 
+@query
+def f_label_encode_shuffled(spark, folder):
+    """``f_label_encode`` with tables too large to broadcast."""
+    orders = orders_with_gaps(spark, folder).select("o_orderkey", "o_orderpriority", "o_orderstatus")
+    coded = encode.label_encode(orders, "o_orderpriority", pin_rows=1)
+    return encode.label_encode(coded, "o_orderstatus", name="status_code", missing="nan", pin_rows=1)
+
+
+@query
+def f_one_hot_sparse(spark, folder):
+    """One column in place of a column per date and priority."""
+    orders = orders_with_gaps(spark, folder).select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"), "o_orderpriority", "o_orderstatus"
+    )
+    return encode.one_hot_sparse(orders, ["day", "o_orderpriority", "o_orderstatus"])[0]
+
+
 @query
 def f_outlier_detect(spark, folder):
     events = outliers.detect_outliers(table(spark, folder, "events"), ["value"])
@@ -378,6 +412,13 @@ def f_mutual_info(spark, folder):
     return rounded(ranking.mutual_info(table(spark, folder, "part"), ["p_size", "p_retailprice"], "p_type", "p_partkey"), 4)
 
 
+@query
+def f_mutual_info_sliced(spark, folder):
+    """``f_mutual_info`` with running totals in slices."""
+    parts = table(spark, folder, "part")
+    return rounded(ranking.mutual_info(parts, ["p_size", "p_retailprice"], "p_type", "p_partkey", window_rows=500), 4)
+
+
 @query
 def f_mutual_info_binned(spark, folder):
     return rounded(ranking.binned_mutual_info(table(spark, folder, "lineitem"), LINE_NUMBERS, "l_returnflag"))
@@ -390,7 +431,7 @@ def f_chi2(spark, folder):
 
 @query
 def f_rf_importance(spark, folder):
-    return ranking.forest_importance(labelled_parts(spark, folder), ["p_size", "p_retailprice"], "Risk_Type")
+    return ranking.forest_importance(labelled_parts(spark, folder), ["p_size", "p_retailprice"], "Risk_Type", id_col="p_partkey")
 
 
 @query
@@ -425,6 +466,13 @@ def m_split_random(spark, folder):
     return split.random_split(table(spark, folder, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey")
 
 
+@query
+def m_split_random_cut(spark, folder):
+    """``m_split_random`` with the cut found in a bracket."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return split.random_split(orders, "o_orderkey", window_rows=1_024)
+
+
 @query
 def m_split_stratified(spark, folder):
     orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
@@ -437,6 +485,19 @@ def m_fold_assign(spark, folder):
     return split.assign_folds(orders, "o_orderkey", "o_orderpriority")
 
 
+@query
+def m_fold_assign_cut(spark, folder):
+    """``m_fold_assign`` with the cuts found in brackets."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority")
+    return split.assign_folds(orders, "o_orderkey", "o_orderpriority", window_rows=1_024)
+
+
+@query
+def m_class_weights_many(spark, folder):
+    """A class for each customer."""
+    return rounded(split.class_weights(table(spark, folder, "orders"), "o_custkey"))
+
+
 @query
 def m_class_weights(spark, folder):
     return rounded(split.class_weights(table(spark, folder, "orders"), "o_orderpriority"))
@@ -481,6 +542,42 @@ def m_evaluate(spark, folder):
     return training.train_and_evaluate(labelled_parts(spark, folder), "Risk_Type", "p_partkey").scores
 
 
+def ruled_parts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts whose class follows from ``worth`` without noise, with wide gaps between classes."""
+    return table(spark, folder, "part").select(
+        "p_partkey",
+        F.expr("CASE WHEN p_size <= 15 THEN 0.0D WHEN p_size <= 30 THEN 10.0D ELSE 20.0D END + p_partkey % 3 / 10").alias("worth"),
+        F.expr("CAST(p_partkey % 5 AS DOUBLE)").alias("other"),
+        F.expr("CASE WHEN p_size <= 15 THEN 'Low' WHEN p_size <= 30 THEN 'Medium' ELSE 'High' END").alias("Risk_Type"),
+    )
+
+
+SMALL_MODELS = models.ModelSettings(logistic_iterations=100, trees=10, rounds=5, depth=5)
+
+
+@query
+def m_evaluate_ruled(spark, folder):
+    return training.train_and_evaluate(ruled_parts(spark, folder), "Risk_Type", "p_partkey", settings=SMALL_MODELS).scores
+
+
+@query
+def m_cross_validate_ruled(spark, folder):
+    settings = replace(SMALL_MODELS, names=tuple(models.SHORT_NAMES))
+    return training.cross_validate(ruled_parts(spark, folder), "Risk_Type", "p_partkey", settings=settings)
+
+
+@query
+def m_predict(spark, folder):
+    """Every part's class from each model, saved and read back."""
+    rows, classes = models.prepare(ruled_parts(spark, folder), "Risk_Type", ["worth", "other"], "p_partkey")
+    rows = write_out(rows, "prepared")
+    fitted = models.fit_all(rows, 2, len(classes), SMALL_MODELS)
+    saved = {name: model_store.save_model(model, fresh_path(spark, "model")) for name, model in fitted.items()}
+    read = {name: model_store.load_model(path) for name, path in saved.items()}
+    tables = [models.predict_classes(m, rows, classes).withColumn("model", F.lit(name)) for name, m in read.items()]
+    return reduce(DataFrame.unionByName, tables)
+
+
 @query
 def m_score_bars(spark, folder):
     run = training.train_and_evaluate(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -80,6 +81,49 @@ def label_codes(df: DataFrame, column: str, missing: str | None = None, window_r
     return ranked.select("value", (F.col("_rank") - 1).cast("int").alias("code"), "n")
 
 
+def label_codes_of(df: DataFrame, columns: Sequence[str], missing: str | None = None) -> dict[str, DataFrame]:
+    """``label_codes`` of several text columns from one pass over the table."""
+    if not columns:
+        return {}
+    clean = nan_to_null(df.select(*[quoted(c) for c in columns]))
+    fill = (lambda v: v) if missing is None else (lambda v: F.coalesce(v, F.lit(missing)))
+    pairs = [F.struct(F.lit(i).alias("_i"), fill(quoted(c)).alias("value")) for i, c in enumerate(columns)]
+    counts = clean.select(F.inline(F.array(*pairs))).filter("value is not null").groupBy("_i", "value").agg(F.count("*").alias("n"))
+    counts = pin(counts) or write_out(counts, "values")
+    ranked = rank_rows(counts, ["_i"], ["value"], "_rank", counts.count())
+    return {
+        c: ranked.filter(F.col("_i") == i).select("value", (F.col("_rank") - 1).cast("int").alias("code"), "n")
+        for i, c in enumerate(columns)
+    }
+
+
+def one_hot_sparse(df: DataFrame, columns: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The table with ``{column}_at`` in place of each encoded text column, and the layout.
+
+    ``{column}_at`` is the place of the row's one among all new columns, null for a null.
+    The layout (column_name, value, at) names them. Any number of values fits.
+    """
+    columns = list(columns) if columns is not None else one_hot_columns(df)
+    start, layouts = 0, []
+    for c, codes in label_codes_of(df, columns).items():
+        placed = codes.select("value", (F.col("code") + start).alias("code"), "n")
+        df = label_encode(df, c, name=f"{c}_at", codes=placed).drop(c)
+        layouts.append(placed.select(F.lit(c).alias("column_name"), "value", F.col("code").alias("at")))
+        start += codes.count()
+    if not layouts:
+        return df, df.sparkSession.createDataFrame([], "column_name string, value string, at int")
+    return df, reduce(DataFrame.unionByName, layouts)
+
+
+def one_hot_summary(before: DataFrame, after: DataFrame) -> dict:
+    """What an encoding has changed: the encoded columns, the new ones, and the new shape."""
+    return {
+        "encoded": [c for c in before.columns if c not in after.columns],
+        "new": [c for c in after.columns if c not in before.columns],
+        "shape": (after.count(), len(after.columns)),
+    }
+
+
 def label_encode(
     df: DataFrame,
     column: str,
@@ -87,12 +131,13 @@ def label_encode(
     missing: str | None = None,
     codes: DataFrame | None = None,
     window_rows: int = WINDOW_ROWS,
+    pin_rows: int | None = None,
 ) -> DataFrame:
     """Replace a column by its label code (or add the code as ``name``)."""
     codes = codes if codes is not None else label_codes(df, column, missing, window_rows)
     source = quoted(column)
     keyed = df.withColumn("_value", F.coalesce(source, F.lit(missing)) if missing is not None else source)
     table = codes.select(F.col("value").alias("_value"), F.col("code").alias("_code"), F.col("n").alias("_n"))
-    return attach(keyed, table, ["_value"], weight="_n").withColumn(name or column, F.col("_code")).drop(
+    return attach(keyed, table, ["_value"], weight="_n", pin_rows=pin_rows).withColumn(name or column, F.col("_code")).drop(
         "_value", "_code", "_n"
     )

@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..session import write_out
 
 PIN_ROWS = 100_000
+PIN_BYTES = 64 << 20
 HOT_SHARE = 1_000  # a key above 1/1000 of all rows is joined by broadcast; at most 1000 such keys exist
 
 
@@ -23,13 +24,33 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], schema: T.StructType
     return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
-def pin(table: DataFrame, limit: int | None = None) -> DataFrame | None:
-    """``table`` as a local relation if it has at most ``limit`` rows, else None."""
+def _varies(kind: T.DataType) -> bool:
+    """Whether values of a type have no fixed size."""
+    if isinstance(kind, T.StructType):
+        return any(_varies(f.dataType) for f in kind)
+    return isinstance(kind, (T.StringType, T.BinaryType, T.ArrayType, T.MapType))
+
+
+def _pinned(table: DataFrame, limit: int | None, max_bytes: int) -> tuple[DataFrame | None, DataFrame]:
+    """``table`` as a local relation if it is small, and ``table``, written out if it was measured."""
     limit = PIN_ROWS if limit is None else limit
+    if _varies(table.schema):
+        table = write_out(table, "measured")
+        rows, size = table.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+        if rows > limit or (size or 0) > max_bytes:
+            return None, table
     head = table.limit(limit + 1).toArrow()
     if head.num_rows > limit:
-        return None
-    return table.sparkSession.createDataFrame(head, table.schema)
+        return None, table
+    return table.sparkSession.createDataFrame(head, table.schema), table
+
+
+def pin(table: DataFrame, limit: int | None = None, max_bytes: int = PIN_BYTES) -> DataFrame | None:
+    """``table`` as a local relation if it has at most ``limit`` rows and ``max_bytes``, else None.
+
+    Where a row's size varies, rows and bytes are added up before anything is collected.
+    """
+    return _pinned(table, limit, max_bytes)[0]
 
 
 def same_keys(left: DataFrame, right: DataFrame, on: Sequence[str], suffix: str) -> Column:
@@ -68,19 +89,24 @@ def beside(df: DataFrame, table: DataFrame) -> DataFrame:
 
 
 def attach(
-    df: DataFrame, table: DataFrame, on: Sequence[str], how: str = "left", weight: str | None = None
+    df: DataFrame,
+    table: DataFrame,
+    on: Sequence[str],
+    how: str = "left",
+    weight: str | None = None,
+    pin_rows: int | None = None,
 ) -> DataFrame:
     """Join ``table`` (one row per key) to ``df``; NULL keys match each other.
 
-    Up to ``PIN_ROWS`` rows the table is broadcast, so ``df`` is not shuffled and a hot
+    Up to ``pin_rows`` rows (``PIN_ROWS``) and ``PIN_BYTES`` the table is broadcast, so ``df`` is not shuffled and a hot
     key costs nothing. Beyond that the tables are shuffled on the key; ``weight`` names
     the column holding each key's row count, and the keys holding more than 1/1000 of
     all rows are then broadcast instead, so no reducer receives a hot key.
     """
-    small = pin(table)
+    small, sized = _pinned(table, pin_rows, PIN_BYTES)
     if small is not None:
         return attach_local(df, small, on, how)
-    table = write_out(table, "lookup")
+    table = write_out(table, "lookup") if sized is table else sized
     if weight is None:
         return _joined(df, table, on, how)
     total = table.agg(F.sum(weight)).first()[0]

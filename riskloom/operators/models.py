@@ -28,7 +28,6 @@ BOOSTING_ROUNDS = 50
 BOOSTING_RATE = 0.1
 BOOSTING_DEPTH = 3
 FOREST_DEPTH = 10  # Spark's forests stop at 30; an unlimited depth has no counterpart
-MAX_CLASSES = 1_000
 
 SCORE_SCHEMA = "model string, accuracy double, precision double, recall double, f1 double, error string"
 
@@ -43,6 +42,8 @@ class ModelSettings:
     trees: int = FOREST_TREES
     rounds: int = BOOSTING_ROUNDS
     depth: int = FOREST_DEPTH
+    max_bins: int = 32
+    max_classes: int | None = None
     seed: int = SEED
 
 
@@ -53,7 +54,7 @@ def feature_names(df: DataFrame, target: str, features: Sequence[str] | None = N
 
 
 def prepare(
-    df: DataFrame, target: str, features: Sequence[str], id_col: str, fill: bool = True
+    df: DataFrame, target: str, features: Sequence[str], id_col: str, fill: bool = True, max_classes: int | None = None
 ) -> tuple[DataFrame, list]:
     """Rows with a target as (id, f0.., label), medians filled, and the class names by label."""
     rows = with_target(df, target)
@@ -63,9 +64,9 @@ def prepare(
     if kind in ("double", "float") and not rows.filter(quoted(target) != F.floor(quoted(target))).isEmpty():
         raise ValueError(f"{target} is continuous; bin it before classification")
     codes = label_codes(rows, target)
-    classes = [r["value"] for r in codes.orderBy("code").limit(MAX_CLASSES + 1).collect()]
-    if len(classes) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes")
+    if max_classes is not None and codes.count() > max_classes:
+        raise ValueError(f"{target} has more than {max_classes} classes")
+    classes = [r["value"] for r in codes.orderBy("code").collect()]
     coded = label_encode(rows, target, name="_label", codes=codes)
     out = coded.select(
         quoted(id_col).alias("id"),
@@ -94,13 +95,14 @@ def estimators(settings: ModelSettings, features: int, classes: int, rows: int)
     def forest() -> Estimator:
         return piped(
             RandomForestClassifier(
-                numTrees=settings.trees, seed=settings.seed, maxDepth=settings.depth, featureSubsetStrategy="sqrt", **weighted
+                numTrees=settings.trees, seed=settings.seed, maxDepth=settings.depth, maxBins=settings.max_bins,
+                featureSubsetStrategy="sqrt", **weighted
             )
         )
 
     def boosting() -> Estimator:
         boosted = GBTClassifier(
-            maxIter=settings.rounds, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, seed=settings.seed
+            maxIter=settings.rounds, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, maxBins=settings.max_bins, seed=settings.seed
         )
         # Spark boosts two classes; more are boosted one against the rest, side by side.
         return piped(boosted if classes <= 2 else OneVsRest(classifier=boosted, parallelism=min(classes, 8)))
@@ -129,7 +131,8 @@ def fit_all(
 ) -> dict[str, PipelineModel | Exception]:
     """Fit every model on the training rows; a model that fails gives its exception."""
     rows = train.count()
-    train = spread(train, rows, ["id"])
+    # Synthetic rows have no id; their values tell them apart.
+    train = spread(train, rows, ["id", *[f"f{i}" for i in range(features)]])
     if settings.balanced:
         train = with_class_weight(train, "label")
     train = hold(train)
@@ -152,6 +155,12 @@ def predict(model: Model, df: DataFrame) -> DataFrame:
     return model.transform(df).select("label", "prediction")
 
 
+def predict_classes(model: Model, rows: DataFrame, classes: list) -> DataFrame:
+    """(id, predicted): the class of each prepared row, by name."""
+    names = F.array(*[F.lit(c) for c in classes])
+    return model.transform(rows).select("id", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
+
+
 def score_all(fitted: dict, test: DataFrame) -> DataFrame:
     """One row per model: weighted metrics on the test rows, or the error that stopped it."""
     rows = []

@@ -12,18 +12,17 @@ from .lookup import attach
 
 WINDOW_ROWS = 1 << 20
 SPREAD_ROWS = 20_000  # rows of an iterative fit worth a task of their own
+SPREAD_TASKS = 4_096
 
 
 def spread(df: DataFrame, rows: int, order: Sequence[str], per_task: int = SPREAD_ROWS) -> DataFrame:
-    """Use the cores on a table of few files. Larger tables, already in many parts, stay put.
+    """Deal the rows of an iterative fit to tasks by the hash of ``order``, which tells rows apart.
 
-    The deal is round-robin, so no value can make one part heavy, and each part is
-    sorted, so a seeded fit sees the same rows in the same order again.
+    The number of tasks follows from the number of rows alone and each part is sorted, so a
+    seeded fit sees the same rows in the same order on any cluster.
     """
-    wanted = min(df.sparkSession.sparkContext.defaultParallelism, rows // per_task)
-    if wanted <= df.rdd.getNumPartitions():
-        return df
-    return df.repartition(wanted).sortWithinPartitions(*order)
+    wanted = min(max(1, rows // per_task), SPREAD_TASKS)
+    return df.repartition(wanted, *order).sortWithinPartitions(*order)
 
 
 def running_total(

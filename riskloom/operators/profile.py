@@ -15,7 +15,10 @@ from .quantiles import exact_quantiles
 BAND_EDGES = [25.0, 50.0, 75.0]
 BAND_NAMES = ["0-25", "25-50", "50-75", "75-100"]
 CATEGORICAL_BELOW = 10
-TYPE_NAMES = {"bigint": "int64", "int": "int32", "double": "float64", "string": "object", "boolean": "bool"}
+TYPE_NAMES = {
+    "bigint": "int64", "int": "int32", "double": "float64", "string": "object", "boolean": "bool",
+    "timestamp": "datetime64", "timestamp_ntz": "datetime64",
+}
 
 
 def long_form(wide: DataFrame, columns: Sequence[str], fields, keep: Sequence[str] = ()) -> DataFrame:

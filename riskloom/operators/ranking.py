@@ -12,7 +12,7 @@ from ..functions.columns import numbers, quoted
 from ..functions.scalars import chi2_upper_tail, digamma, unit
 from .encode import label_encode
 from .lookup import attach
-from .ordering import WINDOW_ROWS, rank_rows, running_total, spread
+from .ordering import SPREAD_TASKS, WINDOW_ROWS, rank_rows, running_total, spread
 from .profile import long_form
 from .quantiles import quantile_values
 from .transform import column_stats
@@ -200,11 +200,27 @@ def _with_radius(points: DataFrame, rows: int, neighbours: int, window_rows: int
 
 
 def forest_importance(
-    df: DataFrame, features: Sequence[str], target: str, trees: int = TREES, seed: int = SEED, max_depth: int = 10
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    trees: int = TREES,
+    seed: int = SEED,
+    max_depth: int = 10,
+    id_col: str | None = None,
 ) -> DataFrame:
-    """(feature, importance): impurity importance of a random forest."""
-    rows = numbers(df, features, keep=[target]).filter(quoted(target).isNotNull())
-    rows = spread(rows, df.count(), [quoted(c) for c in (target, *features)], FOREST_ROWS)
+    """(feature, importance): impurity importance of a random forest.
+
+    With an ``id_col`` the same rows give the same forest on any cluster. Without one, rows
+    are dealt in turn, since equal ones can't be told apart.
+    """
+    keep = [target] if id_col is None else [target, id_col]
+    rows = numbers(df, features, keep=keep).filter(quoted(target).isNotNull())
+    n = df.count()
+    if id_col is None:
+        order = [quoted(c) for c in (target, *features)]
+        rows = rows.repartition(max(1, min(n // FOREST_ROWS, SPREAD_TASKS))).sortWithinPartitions(*order)
+    else:
+        rows = spread(rows, n, [quoted(id_col)], FOREST_ROWS)
     rows = label_encode(rows, target, name="_label").withColumn("_label", F.col("_label").cast("double"))
     # The assembler reads a dot as a struct field, so it is given plain names.
     plain = [f"_f{i}" for i in range(len(features))]

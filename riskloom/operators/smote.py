@@ -15,12 +15,12 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
 from ..functions.scalars import hash_key, unit
 from ..session import write_out
-from .lookup import attach
+from .lookup import attach, attach_local, local_table
 from .ordering import rank_rows
 from .split import SEED, class_sizes, mark_lowest
 
@@ -40,7 +40,9 @@ def _nearest(ids, points, other_ids, others, k, limits=None) -> list[list[dict]]
     out, names = [], other_ids.tolist()
     for at in range(0, len(points), 256):
         block = points[at : at + 256]
-        d = ((block[:, None, :] - others[None, :, :]) ** 2).sum(axis=2)
+        d = np.zeros((len(block), len(others)))
+        for j in range(points.shape[1]):  # one feature at a time: memory doesn't grow with the width
+            d += (block[:, j, None] - others[None, :, j]) ** 2
         d[ids[at : at + 256, None] == other_ids[None, :]] = np.inf
         take = min(k, d.shape[1])
         farthest = np.partition(d, take - 1, axis=1)[:, take - 1]
@@ -52,11 +54,10 @@ def _nearest(ids, points, other_ids, others, k, limits=None) -> list[list[dict]]
     return out
 
 
-def _per_class(values: dict, df: DataFrame) -> Column:
-    """A number looked up by class."""
-    kind = df.schema["_c"].dataType
-    pairs = [item for c, v in values.items() for item in (F.lit(c).cast(kind), F.lit(v).cast("bigint"))]
-    return F.create_map(*pairs)[F.col("_c")]
+def _with_number(df: DataFrame, values: dict, name: str) -> DataFrame:
+    """Add a number that each class has."""
+    kinds = T.StructType([df.schema["_c"], T.StructField(name, T.LongType())])
+    return attach_local(df, local_table(df.sparkSession, list(values.items()), kinds), ["_c"])
 
 
 def _slabs(n: int, levels: int, cell_rows: int) -> int:
@@ -75,17 +76,16 @@ def _pack(points: DataFrame, sizes: dict, width: int, cell_rows: int) -> tuple[D
     total, names = sum(sizes.values()), []
     if max(slabs.values()) == 1:
         return points.withColumn("_s0", F.lit(0).cast("bigint")), ["_s0"]
-    count = _per_class(slabs, points)
-    packed = points
+    packed = _with_number(points, slabs, "_slabs")
     for level in range(levels):
         keys = ["_c", *names]
         packed = packed.withColumn("_at", F.col("_v")[level])
         held = packed.groupBy(*keys).agg(F.count("*").alias("_held"))
         packed = attach(rank_rows(packed, keys, ["_at", "_id"], "_rank", total), held, keys)
-        slab = F.floor((F.col("_rank") - 1) * count / F.col("_held"))
+        slab = F.floor((F.col("_rank") - 1) * F.col("_slabs") / F.col("_held"))
         packed = write_out(packed.withColumn(f"_s{level}", slab).drop("_at", "_rank", "_held"), "cells")
         names.append(f"_s{level}")
-    return packed, names
+    return packed.drop("_slabs"), names
 
 
 def nearest_in_class(
@@ -111,7 +111,7 @@ def nearest_in_class(
     if packed_once(sizes, width, cell_rows):
         return local.drop(*levels)
     local = write_out(local.withColumn("_limit", F.element_at("near", -1)["d"]), "near")
-    pairs = _other_cells(local, packed, levels, width)
+    pairs = write_out(_other_cells(local, packed, levels, width), "pairs")
 
     loads = pairs.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_ROWS).alias("_parts"))
     asked = attach(pairs, loads, cell, how="inner").withColumn("_part", F.pmod(F.xxhash64("_id"), "_parts"))
@@ -225,10 +225,10 @@ def smote(
 def _drawn(near: DataFrame, short: dict, need: dict, seed: int) -> DataFrame:
     """Each row as often as its class needs, numbered by ``_draw``: all rows of a class equally
     often, those of the lowest hash once more. A row drawn very often is multiplied in two steps."""
-    base = _per_class({c: need[c] // short[c] for c in need}, near)
+    near = _with_number(near, {c: need[c] // short[c] for c in need}, "_base")
     extra = {c: need[c] % short[c] for c in need}
     marked = mark_lowest(near, "_id", "_c", extra, short, seed, "_extra")
-    times = marked.withColumn("_times", (base + F.col("_extra")).cast("bigint")).filter("_times > 0")
+    times = marked.withColumn("_times", (F.col("_base") + F.col("_extra")).cast("bigint")).filter("_times > 0")
     blocks = F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("_times") - 1) / BLOCK_ROWS))
     spread = times.withColumn("_block", F.explode(blocks))
     if max(need[c] // short[c] for c in need) > BLOCK_ROWS:

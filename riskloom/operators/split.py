@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
 from ..functions.scalars import hash_key
-from .lookup import attach_local, beside, local_table, pin
+from ..session import write_out
+from .lookup import attach, attach_local, beside, local_table, pin
 from .quantiles import rank_cuts
 
 # Seed, share of the test set, folds.
@@ -30,14 +31,16 @@ def class_sizes(df: DataFrame, target: str) -> dict:
     return {r["_c"]: r["_n"] for r in sorted(table.collect(), key=lambda r: (r["_c"] is None, r["_c"]))}
 
 
-def _deal(df: DataFrame, id_col: str, by: str | None, ranks: dict, sizes: dict, seed: int, name: str) -> DataFrame:
+def _deal(
+    df: DataFrame, id_col: str, by: str | None, ranks: dict, sizes: dict, seed: int, name: str, window_rows: int | None = None
+) -> DataFrame:
     """Number each row by how many of its group's cuts it lies beyond.
 
     ``ranks[group]`` lists the last rank of every part but the final one.
     """
     keyed = df.withColumn("_key", hash_key(quoted(id_col), seed)).withColumn("_tie", quoted(id_col))
     real = {g: [r for r in rs if r > 0] for g, rs in ranks.items()}
-    edges = rank_cuts(keyed, by, "_key", "_tie", real, sizes)
+    edges = rank_cuts(keyed, by, "_key", "_tie", real, sizes, window_rows)
     pair = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_tie", df.schema[id_col].dataType)])
     # A cut at rank 0 has no row: every row lies beyond it.
     rows = [(g, edges[g], len(rs) - len(real[g])) for g, rs in ranks.items()]
@@ -54,12 +57,17 @@ def _deal(df: DataFrame, id_col: str, by: str | None, ranks: dict, sizes: dict,
 
 
 def random_split(
-    df: DataFrame, id_col: str, share: float = TEST_SHARE, seed: int = SEED, name: str = "is_test"
+    df: DataFrame,
+    id_col: str,
+    share: float = TEST_SHARE,
+    seed: int = SEED,
+    name: str = "is_test",
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Add 0/1 ``is_test``: exactly ceil(n x share) rows, those of the lowest hash."""
     n = df.count()
     test = math.ceil(n * share - 1e-9)
-    return _as_flag(_deal(df, id_col, None, {None: [test]}, {None: n}, seed, name), name)
+    return _as_flag(_deal(df, id_col, None, {None: [test]}, {None: n}, seed, name, window_rows), name)
 
 
 def mark_lowest(
@@ -116,26 +124,32 @@ def fold_ends(sizes: dict, folds: int) -> dict:
 
 
 def assign_folds(
-    df: DataFrame, id_col: str, target: str, folds: int = FOLDS, seed: int = SEED, name: str = "fold"
+    df: DataFrame,
+    id_col: str,
+    target: str,
+    folds: int = FOLDS,
+    seed: int = SEED,
+    name: str = "fold",
+    window_rows: int | None = None,
 ) -> DataFrame:
     """Add a stratified fold number 0..folds-1."""
     sizes = class_sizes(df, target)
     if folds < 2 or folds > max(sizes.values(), default=0):
         raise ValueError("folds must be between 2 and the size of the largest class")
-    return _deal(df, id_col, target, fold_ends(sizes, folds), sizes, seed, name)
+    return _deal(df, id_col, target, fold_ends(sizes, folds), sizes, seed, name, window_rows)
 
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
-    """(class, n, weight) with weight = rows / (classes x rows of the class)."""
-    sizes = class_sizes(df, target)
-    rows = [(c, n, sum(sizes.values()) / (len(sizes) * n)) for c, n in sizes.items()]
-    columns = [df.schema[target], T.StructField("n", T.LongType()), T.StructField("weight", T.DoubleType())]
-    return local_table(df.sparkSession, rows, T.StructType(columns))
+    """(class, n, weight) with weight = rows / (classes x rows of the class), for any number of classes."""
+    counts = df.groupBy(quoted(target)).agg(F.count("*").alias("n"))
+    counts = pin(counts) or write_out(counts, "classes")
+    rows, classes = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    return counts.select(quoted(target), "n", (F.lit(float(rows)) / (F.lit(classes) * F.col("n"))).alias("weight"))
 
 
 def with_class_weight(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
-    weights = class_weights(df, target).select(quoted(target), F.col("weight").alias(name))
-    return attach_local(df, weights, [target])
+    weights = class_weights(df, target).select(quoted(target), F.col("weight").alias(name), F.col("n").alias("_n"))
+    return attach(df, weights, [target], weight="_n").drop("_n")
 
 
 def parts(df: DataFrame, name: str = "is_test") -> tuple[DataFrame, DataFrame]:

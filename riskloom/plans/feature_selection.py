@@ -41,7 +41,7 @@ def rank_features(
     tables = {
         "mutual_info": mutual_info(rows, names, target, id_col).withColumnRenamed("mutual_info", "score"),
         "chi2": chi2_scores(rows, names, target).select("feature", F.col("chi2_score").alias("score")),
-        "forest": forest_importance(rows, names, target, **forest_options).withColumnRenamed("importance", "score"),
+        "forest": forest_importance(rows, names, target, id_col=id_col, **forest_options).withColumnRenamed("importance", "score"),
     }
     best = [top_features(t, "score", shown).withColumn("method", F.lit(m)) for m, t in tables.items()]
     place = F.row_number().over(Window.partitionBy("method").orderBy(F.desc("score"), "feature"))
@@ -51,5 +51,5 @@ def rank_features(
 def select_features(df: DataFrame, target: str, id_col: str, keep: int = KEPT_FEATURES, **forest_options) -> list[str]:
     """Names of the best features by forest importance."""
     rows, names = ranking_input(df, target, id_col)
-    scores = forest_importance(rows, names, target, **forest_options)
+    scores = forest_importance(rows, names, target, id_col=id_col, **forest_options)
     return [r["feature"] for r in top_features(scores, "importance", keep).collect()]

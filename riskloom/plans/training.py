@@ -10,17 +10,18 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import TARGETS, numeric_columns, present, quoted, string_columns
-from ..operators.encode import label_encode
+from ..operators.encode import label_codes_of, label_encode
 from ..operators.evaluate import classification_report, metrics
 from ..operators.impute import fit_mean, fit_median
 from ..operators.models import (
     SHORT_NAMES, ModelSettings, estimators, feature_names, fit_all, hold, predict, prepare, score_all,
     side_by_side,
 )
+from ..operators.lookup import attach_local, pin
 from ..operators.ordering import spread
 from ..operators.smote import smote
-from ..operators.split import FOLDS, TEST_SHARE, assign_folds, parts, random_split, stratified_split, with_class_weight
-from ..session import write_out
+from ..operators.split import FOLDS, TEST_SHARE, assign_folds, parts, random_split, stratified_split
+from ..session import scratch, write_out
 
 DETAILED = ModelSettings()
 CROSS_VALIDATED = ModelSettings(names=tuple(SHORT_NAMES))
@@ -51,12 +52,18 @@ def train_and_evaluate(
     """Fill medians, split at random, optionally oversample the training part, fit and score.
 
     Medians come from the whole table by default; ``fit_on="train"`` takes them from the
-    training part alone, so that nothing of the test rows reaches the models.
+    training part alone, so that nothing of the test rows reaches the models. If the training
+    part can't be oversampled, it is used as it is and ``info["oversampling"]`` says why.
     """
     names = feature_names(df, target, features, id_col)
     if not names:
         raise ValueError("select at least one numeric feature")
-    rows, classes = prepare(df, target, names, id_col, fill=fit_on == "all")
+    with scratch(df.sparkSession):
+        return _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settings)
+
+
+def _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settings) -> Evaluation:
+    rows, classes = prepare(df, target, names, id_col, fit_on == "all", settings.max_classes)
     columns = [f"f{i}" for i in range(len(names))]
     train, test = parts(random_split(write_out(rows, "prepared"), "id", test_share))
     if fit_on == "train":
@@ -64,7 +71,10 @@ def train_and_evaluate(
         train, test = fill.apply(train), fill.apply(test)
     shapes = {"train_rows": train.count(), "test_rows": test.count(), "features": len(names)}
     if oversample:
-        train = write_out(smote(train, columns, "label", "id"), "smote")
+        try:
+            train = write_out(smote(train, columns, "label", "id"), "smote")
+        except Exception as problem:  # reported, the run goes on
+            shapes["oversampling"] = str(problem)[:500]
     fitted = fit_all(train, len(names), len(classes), settings)
     info = {"target": target, "classes": classes, **shapes}
     return Evaluation(score_all(fitted, test), fitted, info)
@@ -103,18 +113,37 @@ def cross_validate(
 
     Each model is fitted once per fold and both measures come from one confusion table.
     """
-    names = feature_names(df, target, features, id_col)
-    rows, classes = prepare(df, target, names, id_col)
+    with scratch(df.sparkSession):
+        return _cross_validated(df, target, id_col, folds, feature_names(df, target, features, id_col), settings, threads)
+
+
+def _cross_validated(df, target, id_col, folds, names, settings, threads) -> DataFrame:
+    rows, classes = prepare(df, target, names, id_col, max_classes=settings.max_classes)
     rows = write_out(rows, "prepared")
     dealt = hold(spread(assign_folds(rows, "id", "label", folds), rows.count(), ["id"]))
     spark = df.sparkSession
+    sizes = {(r["fold"], r["label"]): r["n"] for r in dealt.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
+    kinds = "label double, weight double"
+
+    def training_part(i: int) -> tuple[DataFrame, int]:
+        """All folds but one, with balanced weights if asked for, and the number of rows."""
+        held: dict = {}
+        for (fold, label), n in sizes.items():
+            held[label] = held.get(label, 0) + (n if fold != i else 0)
+        held = {label: n for label, n in held.items() if n}
+        train, rows = dealt.filter(F.col("fold") != i), sum(held.values())
+        if settings.balanced:
+            weights = [(label, rows / (len(held) * n)) for label, n in held.items()]
+            train = attach_local(train, spark.createDataFrame(weights, kinds), ["label"])
+        return train, rows
+
+    trains = [training_part(i) for i in range(folds)]
 
     def fold_scores(i: int, name: str) -> tuple:
-        train, test = dealt.filter(F.col("fold") != i), dealt.filter(F.col("fold") == i)
+        train, rows = trains[i]
+        test = dealt.filter(F.col("fold") == i)
         try:
-            if settings.balanced:
-                train = with_class_weight(train, "label")
-            build = estimators(settings, len(names), len(classes), train.count())[name]
+            build = estimators(settings, len(names), len(classes), rows)[name]
             m = metrics(predict(build().fit(train), test)).first()
             return (name, i, m["accuracy"], m["f1"], None)
         except Exception as problem:  # reported in the result
@@ -148,8 +177,8 @@ def clean_data(df: DataFrame, target: str, id_col: str | None = None) -> DataFra
     Columns without any value are dropped. ``id_col`` is carried along untouched.
     """
     text = [c for c in string_columns(df) if c != id_col]
-    for c in text:
-        df = label_encode(df, c, missing="nan")
+    for c, codes in label_codes_of(df, text, "nan").items():
+        df = label_encode(df, c, missing="nan", codes=codes)
     others = [c for c in numeric_columns(df) if c not in (target, id_col, *text)]
     fill = fit_mean(df, others)
     empty = [c for c, p in fill.params.items() if p["fill"] is None]
@@ -170,11 +199,16 @@ def train_models(
     df: DataFrame, target: str, id_col: str, settings: ModelSettings = PLAIN, test_share: float = TEST_SHARE
 ) -> Training:
     """The end-to-end trainer: clean, split by class, fit three models, report, pick the most accurate."""
+    with scratch(df.sparkSession):
+        return _trained(df, target, id_col, settings, test_share)
+
+
+def _trained(df, target, id_col, settings, test_share) -> Training:
     clean = clean_data(df, target, id_col)
     if clean.select(quoted(target)).dropna().distinct().limit(2).count() < 2:
         raise ValueError("the target needs at least two classes")
     features = [c for c in clean.columns if c not in (target, id_col)]
-    rows, classes = prepare(clean, target, features, id_col, fill=False)
+    rows, classes = prepare(clean, target, features, id_col, False, settings.max_classes)
     train, test = parts(stratified_split(write_out(rows, "prepared"), "id", "label", test_share))
     fitted = fit_all(train, len(features), len(classes), settings)
     scores = score_all(fitted, test)
@@ -182,10 +216,13 @@ def train_models(
     reports = [
         classification_report(predict(model, test)).withColumn("model", F.lit(name)) for name, model in good.items()
     ]
+    reports = reduce(DataFrame.unionByName, reports) if reports else None
+    if reports is not None:
+        reports = pin(reports) or write_out(reports, "reports", keep=True)
     best = best_model(scores.filter("accuracy > 0"), "accuracy", list(settings.names)).first()
     return Training(
         scores.select("model", "accuracy", "error"),
-        reduce(DataFrame.unionByName, reports) if reports else None,
+        reports,
         best["model"] if best else "",
         good[best["model"]] if best else None,
     )

@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
 
 def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
     """A session for tests and benches; on a cluster the caller brings its own."""
@@ -45,12 +50,31 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/riskloom-{name}-{uuid.uuid4().hex}"
 
 
-def write_out(df: DataFrame, name: str = "stage") -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the copies that ``write_out`` makes in this block when it ends.
+
+    For runs whose results no longer read them: scores, models, collected tables.
+    """
+    paths: list[str] = []
+    before = _WRITTEN.set(paths)
+    try:
+        yield
+    finally:
+        _WRITTEN.reset(before)
+        for path in paths:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def write_out(df: DataFrame, name: str = "stage", keep: bool = False) -> DataFrame:
     """Materialise ``df`` once as Parquet in the shared folder and read it back.
 
     Cuts the lineage, fixes anything a re-run could change (range boundaries), and
-    lets later passes prune columns and filter at the scan.
+    lets later passes prune columns and filter at the scan. ``keep`` outlives ``scratch``.
     """
     path = fresh_path(df.sparkSession, name)
+    if not keep and _WRITTEN.get() is not None:
+        _WRITTEN.get().append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
