@@ -179,7 +179,7 @@ def test_neighbours_across_cells(spark, cloud):
 @pytest.mark.parametrize("id_kind", ["long", "string"])
 def test_smote_balances(spark, cloud, monkeypatch, pinned, id_kind):
     if not pinned:
-        monkeypatch.setattr(smote, "PIN_ROWS", 10)
+        monkeypatch.setattr("riskloom.operators.lookup.PIN_ROWS", 10)
     pdf = cloud.assign(y=np.where(cloud.id % 10 == 9, "rare", np.where(cloud.id % 3 == 0, "mid", "most")))
     df = spark.createDataFrame(pdf).withColumn("id", F.col("id").cast(id_kind))
     out = smote.smote(df, ["a", "b"], "y", "id", cell_rows=100).toPandas()
