@@ -13,6 +13,7 @@ from .mixing import mix
 from .pii import KINDS, find_private, span_text
 from .pivots import near_vectors
 from .quality import fit_quality, in_fold, score_quality
+from .repeats import remove_repeats
 from .tokens import count_tokens
 from .urls import judge
 from .warc import audit, warc_records
@@ -93,6 +94,29 @@ def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*")
 
 
+@query
+def op11_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256")
+
+
+ORACLES["op11_substrings"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    list_filter(regexp_split_to_array(COALESCE(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents),
+s AS (SELECT r, i, array_to_string(w[i:i + 34], ' ') AS k FROM d, unnest(range(1, len(w) - 33)) AS u(i)),
+again AS (SELECT r, i FROM s QUALIFY COUNT(*) OVER (PARTITION BY k) > 1),
+gone AS (SELECT DISTINCT r, i + o AS i FROM again, range(0, 35) AS x(o)),
+word AS (SELECT r, i, w[i] AS v FROM d, unnest(range(1, len(w) + 1)) AS u(i)),
+kept AS (
+  SELECT r, COUNT(*) AS n, string_agg(v, ' ' ORDER BY i) AS k
+  FROM word ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, (len(w) - COALESCE(n, 0))::BIGINT AS n_removed, sha256(COALESCE(k, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (r)
+"""
+
+
 @query
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages: one has lost some records, the other has lost others and damaged some."""
