@@ -14,6 +14,7 @@ from .pii import KINDS, find_private, span_text
 from .pivots import near_vectors
 from .quality import fit_quality, in_fold, score_quality
 from .repeats import remove_repeats
+from .spelling import group_spellings
 from .tokens import count_tokens
 from .urls import judge
 from .warc import audit, warc_records
@@ -117,6 +118,11 @@ FROM d LEFT JOIN kept USING (r)
 """
 
 
+@query
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_spellings(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages: one has lost some records, the other has lost others and damaged some."""
