@@ -10,6 +10,7 @@ from .decontaminate import mark_leaks
 from .html import extract
 from .minhash import near_duplicates
 from .mixing import mix
+from .negatives import mine_negatives, relabelled
 from .pii import KINDS, find_private, span_text
 from .pivots import near_vectors
 from .quality import fit_quality, in_fold, score_quality
@@ -123,6 +124,32 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_spellings(table(spark, sf_dir, "documents"))
 
 
+@query
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_negatives(relabelled(table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")))
+
+
+ORACLES["op13_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r, a.vec_id AS anchor_id, a.label = b.label AS same, b.vec_id, b.r AS other, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.r <> b.r AND len(a.q) = len(b.q) WHERE a.vec_id % 50 = 0),
+p AS (
+  SELECT r, anchor_id, vec_id AS positive_id, other, score AS positive_score FROM s WHERE same
+  QUALIFY row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) <= 5),
+n AS (
+  SELECT anchor_id, positive_id, vec_id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.r, p.other ORDER BY score DESC, vec_id)::INTEGER AS rank
+  FROM p JOIN s USING (r, anchor_id)
+  WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 3
+"""
+
+
 @query
 def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages: one has lost some records, the other has lost others and damaged some."""
