@@ -68,7 +68,8 @@ def _directions(sample: list[tuple[int, list[float]]], mine: Mine) -> dict[int,
     """Per dimension: unit vectors of the sample, each as far as possible from those before."""
     out = {}
     for dim in {d for d, _ in sample}:
-        v = np.floor(mine.scale * np.array([x for d, x in sample if d == dim], float).reshape(-1, dim))
+        own = [x for d, x in sample if d == dim]
+        v = np.floor(mine.scale * np.array(own, float).reshape(len(own), dim))
         norm = np.sqrt((v * v).sum(axis=1))
         v = v[norm > 0] / norm[norm > 0, None]
         chosen, near = [], np.full(len(v), -np.inf)
@@ -76,7 +77,7 @@ def _directions(sample: list[tuple[int, list[float]]], mine: Mine) -> dict[int,
             k = int(near.argmin())
             chosen.append(v[k])
             near = np.maximum(near, v @ v[k])
-        out[dim] = np.array(chosen).reshape(-1, dim)
+        out[dim] = np.array(chosen).reshape(len(chosen), dim)
     return out
 
 
@@ -102,7 +103,7 @@ def _place(known: dict[int, np.ndarray], mine: Mine):
                 for dim in np.unique(dims).tolist():
                     part = batch.filter(pa.array(dims == dim))
                     directions = cache.setdefault(dim, _filled(known, dim, mine))
-                    v = np.floor(mine.scale * part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
+                    v = np.floor(mine.scale * part.column("v").flatten().to_numpy(zero_copy_only=False).reshape(len(part), dim))
                     out = np.zeros(len(v), _record(dim, mine.directions))
                     out["v"], out["norm"] = v, np.sqrt((v * v).sum(axis=1))
                     cosine = (v / np.maximum(out["norm"], 1e-300)[:, None]) @ directions.T
