@@ -259,7 +259,7 @@ ORACLES["f_log_transform_skewed"] = f"""SELECT event_id,
   CASE WHEN abs(sv) > 0.5 THEN round({logged("value", "lv")}, 6) ELSE value END AS value
 FROM events, (SELECT min(user_id) AS lu, skewness(user_id) AS su, min(value) AS lv, skewness(value) AS sv FROM events)"""
 ORACLES["f_impute_median"] = f"""WITH {ORDERS}
-SELECT o_orderkey, o_custkey, o_orderstatus, round(coalesce(o_totalprice, m), 6) AS o_totalprice, o_orderpriority
+SELECT o_orderkey, o_custkey, o_orderstatus, round(coalesce(o_totalprice, m), 6) AS o_totalprice, o_orderdate, o_orderpriority
 FROM orders_gaps, (SELECT quantile_cont(o_totalprice, 0.5) AS m FROM orders_gaps)"""
 
 

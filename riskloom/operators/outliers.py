@@ -15,10 +15,10 @@ from .transform import FittedStep
 
 
 def fit_fences(df: DataFrame, columns: Sequence[str], **quantile_options) -> FittedStep:
-    """Quartiles and fences per column; columns without values are left out, and one that is
-    not numeric is an error."""
-    if odd := [c for c in columns if c not in numeric_columns(df)]:
-        raise ValueError(f"not numeric: {', '.join(odd)}")
+    """Quartiles and fences per column; columns without values, and ones that are missing or
+    not numeric, are left out."""
+    numeric = set(numeric_columns(df))
+    columns = [c for c in columns if c in numeric]
     fences = {}
     for row in exact_quantiles(df, columns, [0.25, 0.5, 0.75], **quantile_options).collect() if columns else []:
         if row["q"] is None:

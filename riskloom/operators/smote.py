@@ -1,57 +1,26 @@
 """SMOTE: growing the smaller classes with points between near neighbours (Chawla et al. 2002).
 
-The neighbours are exact and no class is compared pair by pair. Each class is packed
-into cells of equal population by sorting on one feature after another
-(sort-tile-recursive packing, Leutenegger et al. 1997). A point's neighbours inside its
-own cell bound its search radius; only cells whose bounding box reaches into that radius
-are searched besides. Identical points have radius zero and search nowhere else, so a
-class full of copies is no worse than any other.
+The neighbours are exact, in any number of features, and no class is compared pair by pair:
+see ``metric``.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions.columns import quoted
 from ..functions.scalars import hash_key, unit
 from ..session import write_out
-from .lookup import attach, attach_local, local_table
-from .ordering import rank_rows
+from .lookup import attach_local, local_table
+from .metric import nearest_lists
 from .split import SEED, class_sizes, mark_lowest
 
 # Fixed value: neighbours a synthetic point may lean towards.
 NEIGHBOURS = 5
-CELL_ROWS = 2_000  # points one task compares at a time
-QUERY_ROWS = 20_000  # points from other cells one task compares with a cell
+CELL_ROWS = 2_000  # points of a cell
 BLOCK_ROWS = 4_096  # synthetic rows made from one input row of a stage
-PACKED_FEATURES = 3
-
-def _found(id_kind: str) -> str:
-    return f"array<struct<d: double, id: {id_kind}, v: array<double>>>"
-
-
-def _nearest(ids, points, other_ids, others, k, limits=None) -> list[list[dict]]:
-    """For each point its k nearest others (never itself), nearest first."""
-    out, names = [], other_ids.tolist()
-    for at in range(0, len(points), 256):
-        block = points[at : at + 256]
-        d = np.zeros((len(block), len(others)))
-        for j in range(points.shape[1]):  # one feature at a time: memory doesn't grow with the width
-            d += (block[:, j, None] - others[None, :, j]) ** 2
-        d[ids[at : at + 256, None] == other_ids[None, :]] = np.inf
-        take = min(k, d.shape[1])
-        farthest = np.partition(d, take - 1, axis=1)[:, take - 1]
-        for i, reach in enumerate(farthest):
-            limit = np.inf if limits is None else limits[at + i]
-            close = np.flatnonzero((d[i] <= reach) & (d[i] < limit))
-            close = sorted(close, key=lambda j: (d[i, j], names[j]))[:k]
-            out.append([{"d": float(d[i, j]), "id": names[j], "v": others[j].tolist()} for j in close])
-    return out
 
 
 def _with_number(df: DataFrame, values: dict, name: str) -> DataFrame:
@@ -60,122 +29,17 @@ def _with_number(df: DataFrame, values: dict, name: str) -> DataFrame:
     return attach_local(df, local_table(df.sparkSession, list(values.items()), kinds), ["_c"])
 
 
-def _slabs(n: int, levels: int, cell_rows: int) -> int:
-    return max(1, math.ceil((n / cell_rows) ** (1 / levels)))
-
-
-def packed_once(sizes: dict, width: int, cell_rows: int) -> bool:
-    """Whether every class fits in one cell."""
-    return max(_slabs(n, min(width, PACKED_FEATURES), cell_rows) for n in sizes.values()) == 1
-
-
-def _pack(points: DataFrame, sizes: dict, width: int, cell_rows: int) -> tuple[DataFrame, list[str]]:
-    """Number each point's slab on every level; all cells of a class hold equally many."""
-    levels = min(width, PACKED_FEATURES)
-    slabs = {c: _slabs(n, levels, cell_rows) for c, n in sizes.items()}
-    total, names = sum(sizes.values()), []
-    if max(slabs.values()) == 1:
-        return points.withColumn("_s0", F.lit(0).cast("bigint")), ["_s0"]
-    packed = _with_number(points, slabs, "_slabs")
-    for level in range(levels):
-        keys = ["_c", *names]
-        packed = packed.withColumn("_at", F.col("_v")[level])
-        held = packed.groupBy(*keys).agg(F.count("*").alias("_held"))
-        packed = attach(rank_rows(packed, keys, ["_at", "_id"], "_rank", total), held, keys)
-        slab = F.floor((F.col("_rank") - 1) * F.col("_slabs") / F.col("_held"))
-        packed = write_out(packed.withColumn(f"_s{level}", slab).drop("_at", "_rank", "_held"), "cells")
-        names.append(f"_s{level}")
-    return packed.drop("_slabs"), names
-
-
-def nearest_in_class(
-    points: DataFrame, sizes: dict, width: int, k: int, cell_rows: int = CELL_ROWS
-) -> DataFrame:
-    """(_c, _id, _v, near): every point with its k nearest neighbours of the same class.
+def nearest_in_class(points: DataFrame, width: int, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
+    """(_c, _id, _v, near): every point with its k nearest neighbours of the same class, never
+    itself; equally near ones come by id.
 
     ``points`` holds class ``_c``, a unique ``_id`` (bigint or text) and feature array ``_v``.
     """
-    packed, levels = _pack(points, sizes, width, cell_rows)
-    cell = ["_c", *levels]
-    kind, id_kind = (packed.schema[c].dataType.simpleString() for c in ("_c", "_id"))
-    found_kind = _found(id_kind)
-    head = f"_c {kind}, {', '.join(f'{s} bigint' for s in levels)}"
-
-    def in_cell(frame: pd.DataFrame) -> pd.DataFrame:
-        ids, values = frame["_id"].to_numpy(), np.vstack(frame["_v"].to_numpy())
-        return frame.assign(near=_nearest(ids, values, ids, values, k))
-
-    local = packed.select(*cell, "_id", "_v").groupBy(*cell).applyInPandas(
-        in_cell, f"{head}, _id {id_kind}, _v array<double>, near {found_kind}"
-    )
-    if packed_once(sizes, width, cell_rows):
-        return local.drop(*levels)
-    local = write_out(local.withColumn("_limit", F.element_at("near", -1)["d"]), "near")
-    pairs = write_out(_other_cells(local, packed, levels, width), "pairs")
-
-    loads = pairs.groupBy(*cell).agg(F.ceil(F.count("*") / QUERY_ROWS).alias("_parts"))
-    asked = attach(pairs, loads, cell, how="inner").withColumn("_part", F.pmod(F.xxhash64("_id"), "_parts"))
-    held = attach(packed.select(*cell, "_id", "_v"), loads, cell, how="inner").withColumn(
-        "_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_parts") - 1))
-    )
-
-    def across(queries: pd.DataFrame, frame: pd.DataFrame) -> pd.DataFrame:
-        if queries.empty or frame.empty:
-            return pd.DataFrame({"_c": [], "_id": [], "more": []})
-        found = _nearest(
-            queries["_id"].to_numpy(), np.vstack(queries["_v"].to_numpy()),
-            frame["_id"].to_numpy(), np.vstack(frame["_v"].to_numpy()), k, queries["_limit"].to_numpy(),
-        )
-        return pd.DataFrame({"_c": queries["_c"], "_id": queries["_id"], "more": found})
-
-    more = (
-        asked.groupBy(*cell, "_part")
-        .cogroup(held.groupBy(*cell, "_part"))
-        .applyInPandas(across, f"_c {kind}, _id {id_kind}, more {found_kind}")
-    )
-    both = local.select("_c", "_id", "_v", "near").unionByName(
-        more.select("_c", "_id", F.lit(None).cast("array<double>").alias("_v"), F.col("more").alias("near"))
-    )
-    gathered = both.groupBy("_c", "_id").agg(
-        F.max("_v").alias("_v"), F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near")
-    )
-    return gathered
-
-
-def _other_cells(local: DataFrame, packed: DataFrame, levels: list[str], width: int) -> DataFrame:
-    """Pairs of a point and another cell that may hold a nearer neighbour.
-
-    Descends level by level: the boxes below a slab hang on it as an array, and a point
-    follows those nearer than its limit.
-    """
-    dims = range(width)
-    paths = local.select(
-        "_c", "_id", "_v", "_limit", *[F.col(s).alias(f"_own{s}") for s in levels]
-    ).filter("_limit > 0")
-    for depth, slab in enumerate(levels):
-        above = ["_c", *levels[:depth]]
-        boxes = packed.groupBy(*above, slab).agg(
-            F.array(*[F.min(F.col("_v")[i]) for i in dims]).alias("lo"),
-            F.array(*[F.max(F.col("_v")[i]) for i in dims]).alias("hi"),
-        )
-        hung = boxes.groupBy(*above).agg(F.collect_list(F.struct(slab, "lo", "hi")).alias("_boxes"))
-
-        def gap(box: Column) -> Column:
-            """Squared distance from the point to the box."""
-            total = F.lit(0.0)
-            for i in dims:
-                v = F.col("_v")[i]
-                total = total + F.greatest(box["lo"][i] - v, v - box["hi"][i], F.lit(0.0)) ** 2
-            return total
-
-        reached = F.filter("_boxes", lambda b: gap(b) < F.col("_limit"))
-        paths = attach(paths, hung, above, how="inner").withColumn(
-            slab, F.explode(F.transform(reached, lambda b: b[slab]))
-        ).drop("_boxes")
-    own = F.lit(True)
-    for s in levels:
-        own = own & (F.col(s) == F.col(f"_own{s}"))
-    return paths.filter(~own).drop(*[f"_own{s}" for s in levels])
+    points = write_out(points.select("_c", "_id", "_v"), "points")
+    lists = nearest_lists(points, width, k, cell_rows).select(F.col("_c").alias("_k"), F.col("_v").alias("_w"), "near")
+    joined = points.join(lists, (F.col("_c") == F.col("_k")) & (F.col("_v") == F.col("_w")))
+    others = F.slice(F.filter("near", lambda n: n["id"] != F.col("_id")), 1, k)
+    return joined.select("_c", "_id", "_v", others.alias("near"))
 
 
 def smote(
@@ -208,7 +72,7 @@ def smote(
         quoted(target).alias("_c"), quoted(id_col).cast("bigint" if whole else "string").alias("_id"),
         F.array(*[quoted(c) for c in features]).alias("_v"),
     )
-    near = nearest_in_class(points, short, len(features), k, cell_rows)
+    near = nearest_in_class(points, len(features), k, cell_rows)
     need = {c: most - n for c, n in short.items()}
     draws = _drawn(near, short, need, seed)
     which = F.pmod(hash_key(F.concat_ws("|", "_id", "_draw"), f"{seed}|neighbour"), F.size("near")) + 1

@@ -4,7 +4,7 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from riskloom.operators import evaluate, models, smote, split
+from riskloom.operators import evaluate, metric, models, smote, split
 from riskloom.plans import training
 from riskloom.sources import model_store
 from riskloom.streaming import apply_steps
@@ -163,7 +163,7 @@ def test_neighbours_across_cells(spark, cloud):
     points = spark.createDataFrame(part).select(
         F.col("y").alias("_c"), F.col("id").alias("_id"), F.array("a", "b", "c", "d").alias("_v")
     )
-    near = smote.nearest_in_class(points, {"small": len(part)}, 4, 5, cell_rows=30).toPandas()
+    near = smote.nearest_in_class(points, 4, 5, cell_rows=30).toPandas()
     assert len(near) == len(part)
     values, ids = part[["a", "b", "c", "d"]].to_numpy(), part.id.to_numpy()
     place = {i: j for j, i in enumerate(ids)}
@@ -175,6 +175,43 @@ def test_neighbours_across_cells(spark, cloud):
         assert row._2 not in [n["id"] for n in row.near]
 
 
+def brute_neighbours(rows, k):
+    """id: (squared distance, id) of its k nearest of the same class, by id where equally far."""
+    out = {}
+    for c, i, v in rows:
+        d = [(float(((np.array(v) - np.array(w)) ** 2).sum()), j) for b, j, w in rows if b == c and j != i]
+        out[i] = sorted(d)[:k]
+    return out
+
+
+@pytest.mark.parametrize("cell_rows", [3, 8, 1000])
+def test_neighbours_with_ties_and_copies(spark, cell_rows):
+    """Few values, so that most distances tie, also across cells; classes smaller than k."""
+    r = np.random.default_rng(3)
+    rows = [("a", i, [float(x) for x in r.integers(0, 3, 2)]) for i in range(60)]
+    rows += [("b", 100 + i, [float(i % 7), 0.0]) for i in range(40)] + [("c", 200, [1.0, 1.0]), ("c", 201, [1.0, 1.0])]
+    rows += [("d", 300 + i, [0.5, 0.5]) for i in range(50)]
+    points = spark.createDataFrame(rows, "_c string, _id bigint, _v array<double>")
+    near = {r["_id"]: [(n["d"], n["id"]) for n in r["near"]] for r in smote.nearest_in_class(points, 2, 5, cell_rows).collect()}
+    assert near == brute_neighbours(rows, 5)
+
+
+def test_neighbours_in_many_features(spark):
+    """20 features: exact, and far fewer comparisons than of all rows with all."""
+    r = np.random.default_rng(4)
+    centres = r.normal(0, 10, (25, 20))
+    v = centres[r.integers(0, 25, 3000)] + r.normal(0, 1, (3000, 20)) * np.array([1.0] * 4 + [0.05] * 16)
+    rows = [("x", i, [float(x) for x in p]) for i, p in enumerate(v)]
+    points = spark.createDataFrame(rows, "_c string, _id bigint, _v array<double>")
+    lists = metric.nearest_lists(points, 20, 5, 40).toPandas()
+    compared = lists.compared.sum()
+    assert len(lists) == 3000 and compared < 0.1 * 3000 * 3000
+    d = ((v[:300, None] - v[None]) ** 2).sum(axis=2)
+    want = {tuple(p): np.sort(row)[:6] for p, row in zip(v[:300], d)}
+    found = {tuple(x): [n["d"] for n in near] for x, near in zip(lists._v, lists.near)}
+    assert all(np.allclose(found[p], w) for p, w in want.items())
+
+
 @pytest.mark.parametrize("pinned", [True, False])
 @pytest.mark.parametrize("id_kind", ["long", "string"])
 def test_smote_balances(spark, cloud, monkeypatch, pinned, id_kind):
