@@ -8,11 +8,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import number, numeric_columns, quoted, with_target
+from .boosting import JointBoosting
 from .encode import label_codes, label_encode
 from .evaluate import metrics
 from .impute import fit_median
@@ -101,11 +102,11 @@ def estimators(settings: ModelSettings, features: int, classes: int, rows: int)
         )
 
     def boosting() -> Estimator:
-        boosted = GBTClassifier(
-            maxIter=settings.rounds, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH, maxBins=settings.max_bins, seed=settings.seed
+        joint = JointBoosting(
+            inputCols=inputs, classes=max(classes, 2), maxIter=settings.rounds, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH,
+            maxBins=settings.max_bins,
         )
-        # Spark boosts two classes; more are boosted one against the rest, side by side.
-        return piped(boosted if classes <= 2 else OneVsRest(classifier=boosted, parallelism=min(classes, 8)))
+        return Pipeline(stages=[joint])
 
     return dict(zip(settings.names, (logistic, forest, boosting)))
 

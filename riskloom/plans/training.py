@@ -11,14 +11,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import TARGETS, numeric_columns, present, quoted, string_columns
 from ..operators.encode import label_codes_of, label_encode
+from ..operators.boosting import fit_boosting, scored
 from ..operators.evaluate import classification_report, metrics
 from ..operators.impute import fit_mean, fit_median
+from ..operators.linear import fit_logistic
 from ..operators.models import (
-    SHORT_NAMES, ModelSettings, estimators, feature_names, fit_all, hold, predict, prepare, score_all,
+    BOOSTING_DEPTH, BOOSTING_RATE, SHORT_NAMES, ModelSettings, estimators, feature_names, fit_all, hold, predict, prepare, score_all,
     side_by_side,
 )
 from ..operators.lookup import attach_local, pin
 from ..operators.ordering import spread
+from ..operators.packed import fold_sizes, held_out
 from ..operators.smote import smote
 from ..operators.split import FOLDS, TEST_SHARE, assign_folds, parts, random_split, stratified_split
 from ..session import scratch, write_out
@@ -111,7 +114,9 @@ def cross_validate(
 ) -> DataFrame:
     """Mean and standard deviation (over folds) of accuracy and weighted F1 per model.
 
-    Each model is fitted once per fold and both measures come from one confusion table.
+    Both measures come from one confusion table. All folds of the logistic regression are
+    fitted in the same passes over the rows, and so are those of the boosting, on one
+    binning; forests are fitted fold by fold, side by side.
     """
     with scratch(df.sparkSession):
         return _cross_validated(df, target, id_col, folds, feature_names(df, target, features, id_col), settings, threads)
@@ -121,38 +126,41 @@ def _cross_validated(df, target, id_col, folds, names, settings, threads) -> Dat
     rows, classes = prepare(df, target, names, id_col, max_classes=settings.max_classes)
     rows = write_out(rows, "prepared")
     dealt = hold(spread(assign_folds(rows, "id", "label", folds), rows.count(), ["id"]))
-    spark = df.sparkSession
-    sizes = {(r["fold"], r["label"]): r["n"] for r in dealt.groupBy("fold", "label").agg(F.count("*").alias("n")).collect()}
-    kinds = "label double, weight double"
-
-    def training_part(i: int) -> tuple[DataFrame, int]:
-        """All folds but one, with balanced weights if asked for, and the number of rows."""
-        held: dict = {}
-        for (fold, label), n in sizes.items():
-            held[label] = held.get(label, 0) + (n if fold != i else 0)
-        held = {label: n for label, n in held.items() if n}
-        train, rows = dealt.filter(F.col("fold") != i), sum(held.values())
-        if settings.balanced:
-            weights = [(label, rows / (len(held) * n)) for label, n in held.items()]
-            train = attach_local(train, spark.createDataFrame(weights, kinds), ["label"])
-        return train, rows
+    spark, columns, count = df.sparkSession, [f"f{i}" for i in range(len(names))], max(len(classes), 2)
+    sizes = held_out(fold_sizes(dealt, count), folds)
+    linear, forest, boosted = settings.names
+
+    def fold_metrics(predicted: DataFrame, name: str) -> list[tuple]:
+        return [(name, m["fold"], m["accuracy"], m["f1"], None) for m in metrics(predicted, by=["fold"]).collect()]
+
+    def all_linear() -> list[tuple]:
+        fits = fit_logistic(dealt, columns, count, sizes, settings.balanced, settings.logistic_iterations, folds)
+        return fold_metrics(scored(dealt, columns, fits, "fold"), linear)
 
-    trains = [training_part(i) for i in range(folds)]
+    def all_boosted() -> list[tuple]:
+        fits = fit_boosting(dealt, columns, count, settings.rounds, BOOSTING_RATE, BOOSTING_DEPTH, settings.max_bins, folds)
+        return fold_metrics(scored(dealt, columns, fits, "fold"), boosted)
+
+    def one_forest(i: int) -> list[tuple]:
+        train = dealt.filter(F.col("fold") != i)
+        if settings.balanced:
+            held = {k: n for k, n in enumerate(sizes[i]) if n}
+            weights = [(float(k), float(sum(held.values()) / (len(held) * n))) for k, n in held.items()]
+            train = attach_local(train, spark.createDataFrame(weights, "label double, weight double"), ["label"])
+        build = estimators(settings, len(names), len(classes), int(sizes[i].sum()))[forest]
+        return fold_metrics(predict(build().fit(train), dealt.filter(F.col("fold") == i)).withColumn("fold", F.lit(i)), forest)
 
-    def fold_scores(i: int, name: str) -> tuple:
-        train, rows = trains[i]
-        test = dealt.filter(F.col("fold") == i)
+    def attempt(job, name: str) -> list[tuple]:
         try:
-            build = estimators(settings, len(names), len(classes), rows)[name]
-            m = metrics(predict(build().fit(train), test)).first()
-            return (name, i, m["accuracy"], m["f1"], None)
+            return job()
         except Exception as problem:  # reported in the result
-            return (name, i, None, None, str(problem)[:500])
+            return [(name, -1, None, None, str(problem)[:500])]
 
-    jobs = [lambda i=i, n=n: fold_scores(i, n) for n in settings.names for i in range(folds)]
-    scored = side_by_side(spark, jobs, threads)
+    # The fits that share their passes come first: they have the most of them, one after another.
+    jobs = [(all_boosted, boosted), (all_linear, linear), *[(lambda i=i: one_forest(i), forest) for i in range(folds)]]
+    done = side_by_side(spark, [lambda j=j, n=n: attempt(j, n) for j, n in jobs], threads)
     dealt.unpersist()
-    table = spark.createDataFrame(scored, "model string, fold int, accuracy double, f1 double, error string")
+    table = spark.createDataFrame([r for rows in done for r in rows], "model string, fold int, accuracy double, f1 double, error string")
     # A model that failed in any fold has no score.
     whole = F.count("accuracy") == folds
 
