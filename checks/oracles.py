@@ -375,6 +375,19 @@ ORACLES["m_evaluate_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS accuracy, C
   CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(NULL AS VARCHAR) AS error FROM {_LONG}"""
 ORACLES["m_cross_validate_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS mean_accuracy, CAST(0 AS DOUBLE) AS std_accuracy,
   CAST(1 AS DOUBLE) AS mean_f1, CAST(0 AS DOUBLE) AS std_f1, CAST(NULL AS VARCHAR) AS error FROM {_SHORT}"""
+ORACLES["m_best_model_ruled"] = """SELECT 'Logistic Regression' AS model, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS precision,
+  CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(NULL AS VARCHAR) AS error"""
+ORACLES["m_compare_targets_ruled"] = f"""SELECT target, model, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS f1
+FROM {_LONG}, (VALUES ('Risk_Type'), ('Risk_Level')) t(target)"""
+ORACLES["m_train_models_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS accuracy, CAST(NULL AS VARCHAR) AS error,
+  CAST(model = 'Logistic Regression' AS INTEGER) AS is_best FROM {_SHORT}"""
+ORACLES["m_train_reports_ruled"] = f"""SELECT class, CAST(1 AS DOUBLE) AS precision, CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, model
+FROM {_SHORT}, (VALUES ('0.0'), ('1.0'), ('2.0')) c(class)"""
+ORACLES["m_train_smote_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS f1, CAST(NULL AS VARCHAR) AS error FROM {_LONG}"""
+ORACLES["f_rf_importance_ruled"] = "SELECT * FROM (VALUES ('worth', CAST(1 AS DOUBLE)), ('flat', CAST(0 AS DOUBLE))) t(feature, importance)"
+ORACLES["f_rf_importance_deep"] = """SELECT * FROM (VALUES ('worth', true, CAST(1 AS DOUBLE)), ('other', false, CAST(1 AS DOUBLE))) t(feature, leads, total)"""
+ORACLES["m_deep_forest"] = """SELECT p_partkey, CAST(CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 3 WHEN p_size <= 15 THEN 0
+  WHEN p_retailprice < 950 THEN 1 ELSE 2 END AS INTEGER) AS predicted, CAST(1 AS DOUBLE) AS share FROM part"""
 ORACLES["m_class_weights"] = """WITH n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_orderpriority, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n"""
 _classes = f"""WITH {GUESSES}, k AS (SELECT DISTINCT label AS class FROM guesses UNION SELECT DISTINCT prediction FROM guesses),

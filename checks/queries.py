@@ -6,11 +6,11 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import (
-    encode, evaluate, impute, models, outliers, profile, ranking, relation, smote, split, transform,
+    encode, evaluate, forest, impute, models, outliers, profile, ranking, relation, smote, split, transform,
 )
 from riskloom.plans import feature_selection, presets, training
 from riskloom.session import fresh_path, write_out
@@ -434,6 +434,20 @@ def f_rf_importance(spark, folder):
     return ranking.forest_importance(labelled_parts(spark, folder), ["p_size", "p_retailprice"], "Risk_Type", id_col="p_partkey")
 
 
+@query
+def f_rf_importance_deep(spark, folder):
+    """Trees grown to pure leaves on a class that one of two columns gives away."""
+    scores = ranking.forest_importance(ruled_parts(spark, folder), ["worth", "other"], "Risk_Type", trees=10, max_depth=None, id_col="p_partkey")
+    return scores.select("feature", (F.col("importance") > 0.5).alias("leads"), F.round(F.sum("importance").over(Window.partitionBy()), 6).alias("total"))
+
+
+@query
+def f_rf_importance_ruled(spark, folder):
+    """One column tells all, the other nothing."""
+    parts = ruled_parts(spark, folder).withColumn("flat", F.lit(1.0))
+    return rounded(ranking.forest_importance(parts, ["worth", "flat"], "Risk_Type", trees=20, id_col="p_partkey"))
+
+
 @query
 def f_target_profile(spark, folder):
     text = profile.target_profile(orders_with_gaps(spark, folder), "o_orderstatus")
@@ -566,6 +580,42 @@ def m_cross_validate_ruled(spark, folder):
     return training.cross_validate(ruled_parts(spark, folder), "Risk_Type", "p_partkey", settings=settings)
 
 
+@query
+def m_best_model_ruled(spark, folder):
+    """All models are right, so the first named is the best."""
+    run = training.train_and_evaluate(ruled_parts(spark, folder), "Risk_Type", "p_partkey", settings=SMALL_MODELS)
+    return training.best_model(run.scores, "f1", models.LONG_NAMES)
+
+
+@query
+def m_compare_targets_ruled(spark, folder):
+    levels = F.expr("CASE WHEN worth < 5 THEN 'Low' ELSE 'High' END")
+    parts = ruled_parts(spark, folder).withColumn("Risk_Level", levels)
+    return training.compare_targets(parts, "p_partkey", settings=SMALL_MODELS)
+
+
+@query
+def m_train_models_ruled(spark, folder):
+    settings = replace(SMALL_MODELS, names=tuple(models.SHORT_NAMES), balanced=False)
+    run = training.train_models(ruled_parts(spark, folder), "Risk_Type", "p_partkey", settings)
+    return run.scores.withColumn("is_best", (F.col("model") == run.best_name).cast("int"))
+
+
+@query
+def m_train_reports_ruled(spark, folder):
+    """Precision and recall a class, in a test part of known size."""
+    settings = replace(SMALL_MODELS, names=tuple(models.SHORT_NAMES), balanced=False)
+    reports = training.train_models(ruled_parts(spark, folder), "Risk_Type", "p_partkey", settings).reports
+    return rounded(reports.where("`class` in ('0.0', '1.0', '2.0')").drop("support"))
+
+
+@query
+def m_train_smote_ruled(spark, folder):
+    """Classes of very different size, grown to the same."""
+    rare = F.expr("Risk_Type <> 'Medium' or p_partkey % 8 = 0")
+    return training.train_interactive(ruled_parts(spark, folder).where(rare), "Risk_Type", "p_partkey", ["worth", "other"], settings=SMALL_MODELS)
+
+
 @query
 def m_predict(spark, folder):
     """Every part's class from each model, saved and read back."""
@@ -578,6 +628,18 @@ def m_predict(spark, folder):
     return reduce(DataFrame.unionByName, tables)
 
 
+@query
+def m_deep_forest(spark, folder):
+    """Every part's class from a forest without a depth limit, which finds also noise by heart."""
+    rows, classes = models.prepare(labelled_parts(spark, folder), "Risk_Type", ["p_partkey", "p_size", "p_retailprice"], "p_partkey")
+    rows = write_out(rows, "prepared")
+    settings = forest.ForestSettings(trees=1, features=3, bootstrap=False)
+    made = forest.fit_forest(rows, ["f0", "f1", "f2"], len(classes), settings=settings)
+    found = forest.forest_probabilities(rows, made)
+    first = F.array_position("probability", F.array_max("probability")) - 1
+    return found.select(F.col("id").alias("p_partkey"), first.cast("int").alias("predicted"), F.round(F.array_max("probability"), 6).alias("share"))
+
+
 @query
 def m_score_bars(spark, folder):
     run = training.train_and_evaluate(

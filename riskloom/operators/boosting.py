@@ -252,6 +252,7 @@ class JointBoosting(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWr
     @keyword_only
     def __init__(self, *, inputCols=None, labelCol="label", classes=2, maxIter=50, stepSize=0.1, maxDepth=3, maxBins=32):
         super().__init__()
+        self._setDefault(labelCol="label", classes=2, maxIter=50, stepSize=0.1, maxDepth=3, maxBins=32)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset: DataFrame) -> "JointBoostingModel":

@@ -16,6 +16,7 @@ from ..functions.columns import number, numeric_columns, quoted, with_target
 from .boosting import JointBoosting
 from .encode import label_codes, label_encode
 from .evaluate import metrics
+from .forest import DeepForest
 from .impute import fit_median
 from .ordering import spread
 from .split import SEED, with_class_weight
@@ -28,21 +29,22 @@ FOREST_TREES = 50
 BOOSTING_ROUNDS = 50
 BOOSTING_RATE = 0.1
 BOOSTING_DEPTH = 3
-FOREST_DEPTH = 10  # Spark's forests stop at 30; an unlimited depth has no counterpart
+FOREST_DEPTH = 10  # Spark's forests stop at 30; None grows trees to pure leaves (see forest)
 
 SCORE_SCHEMA = "model string, accuracy double, precision double, recall double, f1 double, error string"
 
 
 @dataclass(frozen=True)
 class ModelSettings:
-    """Sizes of the three models and whether classes are weighted to balance."""
+    """Sizes of the three models and whether classes are weighted to balance. ``depth`` is the
+    forest's; None sets no limit."""
 
     names: Sequence[str] = tuple(LONG_NAMES)
     balanced: bool = True
     logistic_iterations: int = LOGISTIC_ITERATIONS
     trees: int = FOREST_TREES
     rounds: int = BOOSTING_ROUNDS
-    depth: int = FOREST_DEPTH
+    depth: int | None = FOREST_DEPTH
     max_bins: int = 32
     max_classes: int | None = None
     seed: int = SEED
@@ -94,6 +96,9 @@ def estimators(settings: ModelSettings, features: int, classes: int, rows: int)
         )
 
     def forest() -> Estimator:
+        if settings.depth is None:
+            deep = DeepForest(inputCols=inputs, classes=max(classes, 2), numTrees=settings.trees, balanced=settings.balanced, seed=settings.seed)
+            return Pipeline(stages=[deep])
         return piped(
             RandomForestClassifier(
                 numTrees=settings.trees, seed=settings.seed, maxDepth=settings.depth, maxBins=settings.max_bins,

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.columns import numbers, quoted
 from ..functions.scalars import chi2_upper_tail, digamma, unit
 from .encode import label_encode
+from .forest import ForestSettings, fit_forest
 from .lookup import attach
 from .ordering import SPREAD_TASKS, WINDOW_ROWS, rank_rows, running_total, spread
 from .profile import long_form
@@ -205,10 +206,11 @@ def forest_importance(
     target: str,
     trees: int = TREES,
     seed: int = SEED,
-    max_depth: int = 10,
+    max_depth: int | None = 10,
     id_col: str | None = None,
 ) -> DataFrame:
-    """(feature, importance): impurity importance of a random forest.
+    """(feature, importance): impurity importance of a random forest, without a ``max_depth`` of
+    one that is grown to pure leaves.
 
     With an ``id_col`` the same rows give the same forest on any cluster. Without one, rows
     are dealt in turn, since equal ones can't be told apart.
@@ -222,6 +224,10 @@ def forest_importance(
     else:
         rows = spread(rows, n, [quoted(id_col)], FOREST_ROWS)
     rows = label_encode(rows, target, name="_label").withColumn("_label", F.col("_label").cast("double"))
+    if max_depth is None:
+        classes = rows.agg(F.max("_label")).first()[0]
+        made = fit_forest(rows, features, int(classes or 0) + 1, None, ForestSettings(trees=trees, seed=seed), "_label")
+        return df.sparkSession.createDataFrame(list(zip(features, made.importances)), "feature string, importance double")
     # The assembler reads a dot as a struct field, so it is given plain names.
     plain = [f"_f{i}" for i in range(len(features))]
     rows = rows.select("_label", *[quoted(c).alias(p) for c, p in zip(features, plain)])
