@@ -87,7 +87,7 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 @query
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "pages").select("page_id", "url"), RULES)
-    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity")
+    return judged.select("page_id", "host", "path", "rule", "verdict", "template", "purity", "labels")
 
 
 @query

@@ -1,6 +1,8 @@
 """Mixing, vectors, pages, urls, fixity, tokens and the pipeline."""
 
 import itertools
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -153,15 +155,108 @@ def test_urls(spark):
     assert urls.judge(spark.createDataFrame([], kind), rules).collect() == []
 
 
-def test_url_templates(spark):
-    """Unlabelled urls go with their template; variable segments become a wildcard."""
-    rows = [(f"http://shop.io/deal{'abcdefghij'[k // 10]}{'klmnopqrst'[k % 10]}/buy",) for k in range(60)]
-    rows += [(f"http://shop.io/p/{k}/spam/x{k}",) for k in range(30)] + [(f"http://shop.io/p/{k}/read/y",) for k in range(30)]
-    judged = urls.judge(spark.createDataFrame(rows, "url string"), [("shop.io/p/1", "block"), ("shop.io/p/2", "block"), ("shop.io/deala", "allow")])
-    found = judged.collect()
-    assert {r.template.split("/")[1] for r in found if "deal" in r.url} == {"*"}
-    assert all(r.verdict == "allow" for r in found if "deal" in r.url)
-    assert {r.verdict for r in found if "/spam/" in r.url} == {"block"}  # 11 of 30 are labelled, all blocked
+def judged_plainly(given, rules, how=urls.Templates()):
+    """(template, purity, labels, verdict) a url, from a tree of dictionaries."""
+
+    def split(url):
+        rest = url.split("://", 1)[1] if "://" in url else ""
+        host = re.match(r"[^/?#]*", rest)[0].lower()
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        parts = [re.sub("[0-9]+", "{n}", re.sub("[0-9A-Fa-f-]{16,}", "{code}", p)) for p in path.split("/")][1:]
+        head, tail = parts[: how.depth], parts[how.depth :]
+        hits = [(len(r), r, v) for r, v in rules if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        return host, tuple(head + ["/".join(tail)] * bool(tail)), max(hits)[2] if hits else None
+
+    def kind(shape, level):
+        if level >= len(shape):
+            return "$"
+        return re.sub("w([-_+. ]w)+", "w-w", re.sub(r"[^\W\d_]+", "w", shape[level]))
+
+    def smooth(group, base):
+        n, b = sum(x[2] is not None for x in group), sum(x[2] == "block" for x in group)
+        return (b + how.smoothing * base) / (n + how.smoothing)
+
+    def grow(group, level, template, purity, out):
+        """``group``: the urls of a node."""
+        done, on = [x for x in group if len(x[1]) <= level], [x for x in group if len(x[1]) > level]
+        if done:
+            out[template] = (purity, {x[1] for x in done}, sum(x[2] is not None for x in done), sum(x[2] == "block" for x in done))
+        children, named = {x[1][level] for x in on}, {}
+        kinds = Counter(kind(x[1], level + 1) for x in on)
+        labelled = [x for x in on if x[2]]
+        p = sum(x[2] == "block" for x in labelled) / len(labelled) if labelled else None
+        for c in children:
+            mine = [x for x in on if x[1][level] == c]
+            chi = sum((k * len(mine) / len(on) - sum(kind(x[1], level + 1) == name for x in mine)) ** 2 / (k * len(mine) / len(on)) for name, k in kinds.items())
+            free = len(kinds) - 1
+            known = [x for x in mine if x[2]]
+            apart = known and abs(sum(x[2] == "block" for x in known) / len(known) - p) > how.z * (p * (1 - p) / len(known)) ** 0.5 + 1e-12
+            if len(children) > how.many and len(on) / len(children) <= how.rare:
+                name = "*"
+            elif chi <= free + how.z * (2 * free) ** 0.5 + 1e-9 and not apart:
+                name = "~"
+            else:
+                name = c
+            named.setdefault(name, []).extend(mine)
+        for name, part in named.items():
+            grow(part, level + 1, f"{template}/{name}", smooth(part, purity), out)
+
+    rows = [split(u) for u in given]
+    base, out = smooth(rows, 0) * 0 + (sum(x[2] == "block" for x in rows) / max(1, sum(x[2] is not None for x in rows))), {}
+    domains = {".".join(x[0].split(".")[-2:]) for x in rows}
+    for d in domains:
+        inside = [x for x in rows if ".".join(x[0].split(".")[-2:]) == d]
+        top, wide = smooth(inside, base), {}
+        grow(inside, 0, "", top, wide)
+        for h in {x[0] for x in inside}:
+            own = [x for x in inside if x[0] == h]
+            made = {}
+            grow(own, 0, "", smooth(own, top), made)
+            for t, (purity, shapes, n, b) in made.items():
+                for s in shapes:
+                    w, _, m, _ = next(v for v in wide.values() if s in v[1])
+                    if n < how.least and m >= how.least:
+                        purity = (b + how.smoothing * w) / (n + how.smoothing)
+                    out[h, s] = t, purity, n if n >= how.least else max(n, m)
+    for u, (h, s, hit) in zip(given, rows):
+        t, purity, n = out[h, s]
+        yield u, t, round(purity, 9), n, hit or ("block" if purity >= how.reject and n >= how.least else "allow")
+
+
+def url_sample(seed=7):
+    draw = np.random.default_rng(seed)
+    out = []
+    for h in ("a.shop.io", "b.shop.io", "c.shop.io", "www.news.org", "blog.news.org", "x.y"):
+        for k in range(80):
+            top = draw.choice(["deals", "about", "p", "en", "de", "fr", "x-y"])
+            rest = {"deals": f"/{k}/buy.html", "about": "", "p": f"/{k}", "x-y": f"/some-words-{k}/z/{k}/q/r/s"}.get(str(top), f"/{'abcdefgh'[k % 8]}{'ijklmnop'[k // 10]}/{k}")
+            out.append(f"https://{h}/{top}{rest}")
+    return out + [f"http://wide.io/{'abcdefghijklmnop'[k % 16]}{'qrstuv'[k // 16]}z" for k in range(90)]
+
+
+def test_url_tree_against_a_plain_one(spark):
+    rules = [("a.shop.io/deals/", "block"), ("b.shop.io/deals/", "block"), ("shop.io/about", "allow"), ("news.org/de/", "block"), ("www.news.org/en/", "allow"), ("wide.io/a", "block")]
+    given = url_sample()
+    judged = urls.judge(spark.createDataFrame([(u,) for u in given], "url string"), rules).collect()
+    found = Counter((r.url, r.template, round(r.purity, 9), r.labels, r.verdict) for r in judged)
+    assert found == Counter(judged_plainly(given, rules))
+    assert {r.template.split("/")[1] for r in judged if r.host == "wide.io"} == {"*"}
+
+
+def test_url_templates_of_a_domain_judge_its_hosts(spark):
+    """Spam pages of two listed hosts are told on a third, and nothing else there is."""
+    rules = [("a.shop.io/deals/", "block"), ("b.shop.io/deals/", "block"), ("a.shop.io/about/", "allow")]
+    rows = [(f"http://{h}.shop.io/{t}",) for h in "abc" for k in range(12) for t in (f"deals/{k}/buy.html", f"about/us/{'abcdefghijkl'[k]}/x")]
+    rows += [(f"http://new.example/deals/{k}/buy.html",) for k in range(12)]  # a domain without any label
+    found = urls.judge(spark.createDataFrame(rows, "url string"), rules).collect()
+    assert {r.verdict for r in found if "c.shop.io/deals" in r.url} == {"block"}
+    assert {r.verdict for r in found if "/about/" in r.url or "new.example" in r.url} == {"allow"}
+    assert {r.labels for r in found if "c.shop.io/deals" in r.url} == {24}
+
+
+def test_urls_without_rules(spark):
+    found = urls.judge(spark.createDataFrame([("http://a.b/c",), (None,), ("http://a.b/" + "d/" * 5000,)], "url string"), []).collect()
+    assert [r.verdict for r in found] == ["allow"] * 3 and {r.rule for r in found} == {None}
 
 
 def test_fixity(spark, tmp_path):
