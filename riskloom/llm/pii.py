@@ -2,8 +2,10 @@
 
 1. Base kinds are found by regular expressions with exact code point offsets: the matches
    and the pieces between them give the position of each match.
-2. Every token that holds a digit or an @ is a candidate. It gives two lexical patterns:
-   its shape with the word before it, and its shape with the word after it.
+2. Every run of tokens that hold a digit or an @ is a candidate. It has a shape (letters
+   and digits by classes of run lengths) and a sort (with an @, led by a +, digits alone,
+   mixed). Its lexical patterns are its shape with the word before or after it, and its
+   sort with the two words before it or with the words on both sides.
 3. Patterns and instances (the candidates' texts) form a graph. Base matches are the
    seeds, with score 1. In rounds, a pattern's confidence is the smoothed mean score of
    its distinct instances, and an unseen instance's score is the noisy-or of its
@@ -34,7 +36,8 @@ PATTERNS = {
 }
 RUN = 512
 SPACE = r"\x20\x09-\x0D"
-CANDIDATE = rf"(?<![^{SPACE}])[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+TOKEN = rf"[^{SPACE}0-9@]*+[0-9@][^{SPACE}]*+"
+CANDIDATE = rf"(?<![^{SPACE}]){TOKEN}(?:\x20{TOKEN})*+"
 
 
 @dataclass(frozen=True)
@@ -139,24 +142,36 @@ def span_text(spans: Column) -> Column:
 
 
 def candidates(text: Column, chars: int) -> Column:
-    """array<struct<start, end, text, shape, before, after>> of the tokens with a digit or an @."""
+    """array<struct<start, end, text, shape, sort, before, wider, after>> of the runs of tokens
+    with a digit or an @; ``wider`` is the word before ``before``."""
     word = rf"([^{SPACE}]+)"
 
     def about(h: Column) -> Column:
         core = F.regexp_extract(h["text"], r"^[^\p{L}\p{N}+@]*(.*?)[^\p{L}\p{N}]*$", 1)
         lead = F.length(F.regexp_extract(h["text"], r"^([^\p{L}\p{N}+@]*)", 1))
-        shape = F.regexp_replace(F.regexp_replace(core, r"\p{N}", "9"), r"\p{L}+", "a")
+        # The length of a run is told as 1, up to 3, up to 7, or more; letters first, for they put none of their own in.
+        shape = F.regexp_replace(core, r"\p{L}+", "a")
+        for pattern, said in ((r"\p{N}{8,}", "9999"), (r"(?<!\p{N})\p{N}{4,7}(?!\p{N})", "999"), (r"(?<!\p{N})\p{N}{2,3}(?!\p{N})", "99")):
+            shape = F.regexp_replace(shape, pattern, said.replace("9", "#"))
+        shape = F.regexp_replace(shape, r"\p{N}", "#")
+        sort = (
+            F.when(core.contains("@"), "address").when(core.startswith("+"), "led")
+            .when(core.rlike(r"\p{L}"), "mixed").otherwise("digits")
+        )
 
         def plain(x: Column) -> Column:
             return F.regexp_replace(F.lower(x), r"\p{N}", "0")
 
+        # A word that the context's bound cuts is no word.
+        left = F.when(F.length(h["left"]) < chars, F.concat(F.lit(" "), h["left"])).otherwise(h["left"])
         return F.struct(
             (h["start"] + lead).alias("start"), (h["start"] + lead + F.length(core)).alias("end"), core.alias("text"),
-            shape.alias("shape"), plain(F.regexp_extract(h["left"], rf"{word}[{SPACE}]*$", 1)).alias("before"),
+            shape.alias("shape"), sort.alias("sort"), plain(F.regexp_extract(left, rf"[{SPACE}]{word}[{SPACE}]*$", 1)).alias("before"),
+            plain(F.regexp_extract(left, rf"[{SPACE}]{word}[{SPACE}]+[^{SPACE}]+[{SPACE}]*$", 1)).alias("wider"),
             plain(F.regexp_extract(h["right"], rf"^[{SPACE}]*{word}", 1)).alias("after"),
         )
 
-    kind = "array<struct<start:int,end:int,text:string,shape:string,before:string,after:string>>"
+    kind = "array<struct<start:int,end:int,text:string,shape:string,sort:string,before:string,wider:string,after:string>>"
     found = F.transform(located(text, CANDIDATE, chars), about)
     return F.when(text.rlike("[0-9@]"), F.filter(found, lambda c: c["text"] != "")).otherwise(F.expr(f"cast(array() as {kind})"))
 
@@ -164,14 +179,20 @@ def candidates(text: Column, chars: int) -> Column:
 def _occurrences(rows: DataFrame) -> DataFrame:
     c = F.col("c")
     seen = F.exists("base", lambda s: (s["start"] < c["end"]) & (s["end"] > c["start"]))
-    sides = F.array(
-        F.struct(F.lit("before").alias("side"), c["before"].alias("word")), F.struct(F.lit("after").alias("side"), c["after"].alias("word"))
+
+    def pattern(name: str, *parts: Column) -> Column:
+        whole = F.concat_ws("\t", F.lit(name), *parts)
+        for p in parts:
+            whole = F.when(p != "", whole)
+        return whole
+
+    patterns = F.array(
+        pattern("before", c["shape"], c["before"]), pattern("after", c["shape"], c["after"]),
+        pattern("two", c["sort"], c["wider"], c["before"]), pattern("both", c["sort"], c["before"], c["after"]),
     )
     return (
         rows.select("row", "base", F.explode("candidates").alias("c"))
-        .select("row", c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), c["shape"].alias("shape"), seen.alias("seen"), F.explode(sides).alias("s"))
-        .where("s.word <> ''")
-        .select("row", "start", "end", "text", "seen", F.concat_ws("\t", "s.side", "shape", "s.word").alias("pattern"))
+        .select("row", c["start"].alias("start"), c["end"].alias("end"), c["text"].alias("text"), seen.alias("seen"), F.explode(F.array_compact(patterns)).alias("pattern"))
     )
 
 

@@ -188,16 +188,65 @@ def test_base_spans_against_plain_patterns(spark):
             assert r.m == texts[r.k]
 
 
+def found_plainly(docs, how):
+    """Found spans a document, from patterns and scores in dictionaries."""
+    token = r"[^\x20\x09-\x0D0-9@]*[0-9@][^\x20\x09-\x0D]*"
+    hits = []
+    for doc, text in docs:
+        known = base(text)
+        for m in re.finditer(rf"(?<![^\x20\x09-\x0D]){token}(?:\x20{token})*", text or ""):
+            core = re.match(r"([^\w+@]|_)*(.*?)([^\w]|_)*$", m[0], re.S)
+            at, end = m.start() + core.start(2), m.start() + core.end(2)
+            if at == end:
+                continue
+            shape = re.sub("[0-9]+", lambda d: "#" * (1 + (len(d[0]) > 1) + (len(d[0]) > 3) + (len(d[0]) > 7)), re.sub(r"[^\W\d_]+", "a", core[2]))
+            sort = "address" if "@" in core[2] else "led" if core[2][0] == "+" else "mixed" if re.search(r"[^\W\d_]", core[2]) else "digits"
+            before, after = (re.sub("[0-9]", "0", t.lower()).split() for t in (text[: m.start()], text[m.end() :]))
+            b, w, a = before[-1:], before[-2:-1], after[:1]
+            patterns = [("before", shape, *b)] * len(b) + [("after", shape, *a)] * len(a)
+            patterns += [("two", sort, *w, *b)] * len(w) + [("both", sort, *b, *a)] * bool(b and a)
+            seen = any(s < end and e > at for s, _, e in known)
+            hits += [(doc, at, end, core[2], seen, p) for p in patterns]
+    seed = {h[3] for h in hits if h[4]}
+    of = {}
+    for h in hits:
+        of.setdefault(h[5], set()).add(h[3])
+    score = {h[3]: float(h[3] in seed) for h in hits}
+    for _ in range(how.rounds):
+        strong = {p: sum(score[t] for t in ts) / (len(ts) + how.smoothing) for p, ts in of.items() if len(ts & seed) >= how.least_seeds}
+        strong = {p: c for p, c in strong.items() if c >= how.confidence}
+        for t in score:
+            if t not in seed:
+                score[t] = 1 - np.prod([1 - min(c, 1 - 1e-9) for p, c in strong.items() if t in of[p]])
+    out = {doc: set() for doc, _ in docs}
+    for doc, at, end, text, seen, p in hits:
+        if not seen and text not in seed and p in strong and score[text] >= how.confidence:
+            out[doc].add((at, 4, end))
+    return out
+
+
+def planted_identifiers():
+    """(document, text) and the documents with an identifier that no base pattern matches."""
+    draw = np.random.default_rng(4)
+    docs = [(k, f"pass key{k:03d}@corp.io end") for k in range(40)] + [(100 + k, f"call badge +1 212 555 {1000 + k} now") for k in range(40)]
+    docs += [(200 + k, f"from host 10.0.{k}.7 at noon, page {k} of 90") for k in range(40)]
+    wanted = [(300, "pass key777@corp end"), (301, "then call badge +1 212 555 99 now"), (302, "seen from host 10.0.999.7 at night"), (303, "pass x5@y end")]
+    others = [(400, "other key778@corp finish"), (401, "call badge 17 now"), (402, "page 17 of 20"), (403, "pass 55 end"), (404, None), (405, "")]
+    noise = [(500 + k, " ".join(str(x) for x in draw.choice(["ab", "cd", "7", "x9", "2024", "a@b", "the"], 30))) for k in range(30)]
+    return docs + wanted + others + noise, {d for d, _ in wanted}
+
+
 def test_found_identifiers(spark, odd, empty):
-    docs = [(k, f"then account {k % 10}111-{k:04d} mail u{k}@ex{k}.org today") for k in range(5)]
-    docs += [(100 + k, f"call badge +1 212 555 {1000 + k} now") for k in range(40)]
-    docs += [(200, "call badge +1 212 555 99 now"), (201, "page 17 of 20")]
-    rows = pii.find_private(spark.createDataFrame(docs, "doc_id bigint, text string"), how=pii.Bootstrap(least_seeds=3)).collect()
+    docs, wanted = planted_identifiers()
+    how = pii.Bootstrap()
+    rows = pii.find_private(spark.createDataFrame(docs, "doc_id bigint, text string"), how=how).collect()
     assert all([s for s in r.all_spans if s.kind < 4] == r.base_spans for r in rows)
-    assert not any(len(r.all_spans) for r in rows if r.doc_id == 201)
-    seeds = [(k, f"pass key{k:03d}@corp.io end") for k in range(40)] + [(99, "pass key777@corp end"), (98, "other key777@corp end")]
-    found = pii.find_private(spark.createDataFrame(seeds, "doc_id bigint, text string")).where("doc_id >= 98").collect()
-    assert all(not r.base_spans for r in found)
+    found = {r.doc_id: {tuple(s) for s in r.all_spans if s.kind == 4} for r in rows}
+    found = {d: {(a, k, e) for a, k, e in spans} for d, spans in found.items()}
+    assert found == found_plainly(docs, how)
+    assert {d for d, spans in found.items() if spans} == wanted  # all of them, and nothing else
+    text = dict(docs)
+    assert {text[d][a:e] for d in wanted for a, _, e in found[d]} == {"key777@corp", "+1 212 555 99", "10.0.999.7", "x5@y"}
     rows = pii.find_private(odd).collect()
     assert len(rows) == len(odd_rows()) and rows[0].asDict().keys() >= set(odd.columns)
     assert pii.find_private(empty).collect() == []
