@@ -1,14 +1,18 @@
 """Main text of web pages from flat text blocks.
 
 A page is read once into a flat list of text blocks in page order. A block is described by
-its word count and link density, those of its neighbours, and where it stands: inside an
-article, inside a page part such as a menu, under a telling class name. A decision tree,
-trained on the small table of labelled blocks below, tells main text from the rest.
+its word count and link density, those of its neighbours on both sides, and by a few flags:
+whether it stands inside an article, inside a page part such as a menu, in an element with a
+telling class name, is a heading, ends like a sentence. A decision tree, trained on a small
+table of labelled blocks, tells main text from the rest. The table is made by a rule (see
+``labelled_pages``) in which no flag alone decides: there are articles with lists of links in
+them, pages without an article, short paragraphs between long ones, and long page parts.
 """
 
 from __future__ import annotations
 
 import html
+import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -25,8 +29,8 @@ BREAKS = {
     "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul",
 }
 PARTS = {"nav", "footer", "aside", "form", "menu", "dialog"}
-HINT = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|modal|popup|overlay|"
+HINT = re.compile(  # not "no-comments", "has-sidebar" and the like, which tell of the whole page
+    r"(?:^|\s|(?<!\bno)(?<!\bnon)(?<!\bhas)(?<!\bwith)(?<!\bwithout)[_-])(?:ads?|adv|advert\w*|adsense|sponsor\w*|promo\w*|banner\w*|cookie\w*|consent|gdpr|notice\w*|alert|modal|popup|overlay|"
     r"sidebar\w*|widget\w*|menu\w*|nav\w*|breadcrumbs?|masthead|topbar|site-header|page-header|footer\w*|copyright|comments?|commentlist|"
     r"discussion|disqus|repl(?:y|ies)|respond|related|recommend\w*|share|sharing|social|newsletter|subscri\w*|signup|login|search|"
     r"pagination|pager|toolbar|skip|hidden|teaser\w*|outbrain|taboola)(?=$|[\s_-]|\d)",
@@ -36,6 +40,7 @@ TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
 ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+WHOLE = {"html", "body", "main", "article"}  # class names of these tell nothing of what is inside
 FEATURES = ["words", "links", "words_before", "links_before", "words_after", "links_after", "article", "part", "hint", "heading", "sentence"]
 
 
@@ -60,7 +65,6 @@ class _Open:
     part: bool
     hint: bool
     heading: bool
-    path: int = field(default=0)
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -73,9 +77,14 @@ def blocks(page: str | None) -> list[Block]:
     page = page or ""
     out: list[Block] = []
     stack = [_Open("", False, False, False, False)]
+    opened: dict[str, list[int]] = {}  # where on the stack elements of a name are
     pieces: list[str] = []
     linked, in_link, at, n = 0, 0, 0, len(page)
 
+    def leave(depth: int) -> None:
+        while len(stack) > depth:
+            opened[stack.pop().name].pop()
+
     def close() -> None:
         nonlocal linked
         text = " ".join(html.unescape("".join(pieces)).split())
@@ -131,21 +140,21 @@ def blocks(page: str | None) -> list[Block]:
             if name in ("hr",):
                 continue
             if ends:
-                found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-                if found:
-                    del stack[found:]
+                if opened.get(name):
+                    leave(opened[name][-1])
             else:
                 if name in ("p", "li") and stack[-1].name == name:
-                    stack.pop()
+                    leave(len(stack) - 1)
                 top = stack[-1]
-                says = rest and (any(HINT.search(m.strip("\"'")) for m in NAMED.findall(rest)) or UNSEEN.search(rest))
+                says = rest and (
+                    name not in WHOLE and any(HINT.search(m.strip("\"'")) for m in NAMED.findall(rest)) or UNSEEN.search(rest)
+                )
                 article = top.article or name in ("article", "main")
                 part = top.part or name in PARTS or (name == "header" and not top.article) or name == "head"
+                opened.setdefault(name, []).append(len(stack))
                 stack.append(_Open(name, article, part, top.hint or bool(says), name in ("h1", "h2", "h3", "h4", "h5", "h6")))
-        elif ends:
-            found = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].name == name), 0)
-            if found and stack[found].name not in BREAKS and found == len(stack) - 1:
-                del stack[found:]
+        elif ends and stack[-1].name == name:
+            leave(len(stack) - 1)
     close()
     return out
 
@@ -161,67 +170,98 @@ def features(found: list[Block]) -> np.ndarray:
     return np.concatenate([around, flags], axis=1)
 
 
-# The labelled table: pages as lists of (main text or not, piece of page).
-_LONG = "The council met on Monday to discuss the plans for the new bridge across the river, and heard from both sides. "
-LABELLED: list[list[tuple[int, str]]] = [
-    [
-        (0, "<nav><ul><li><a href=/>Home</a></li><li><a href=/n>News</a></li><li>About</li></ul></nav>"),
-        (0, "<div class='ad'>Buy one and get one free today only. While stocks last.</div>"),
-        (1, "<article><h1>Bridge plans approved</h1>"), (1, f"<p>{_LONG * 2}</p>"), (1, "<p>Yes.</p>"), (1, f"<p>{_LONG}</p>"), (1, "<p>Works</p>"),
-        (0, "<div class=share><a href=/t>Share this</a></div></article>"),
-        (0, "<footer>Copyright of the paper. All rights reserved.</footer>"),
-    ],
-    [
-        (0, "<header><h1>The Daily</h1></header>"), (0, "<div id=cookie-notice>We use cookies to give you the best experience of our site. You may refuse.</div>"),
-        (1, f"<main><h2>Weather</h2>"), (1, f"<p>{_LONG}</p>"), (1, "<ul><li>Rain in the west</li>"), (1, "<li>Sun in the east, with <a href=/w>some wind</a> later on</li></ul></main>"),
-        (0, f"<aside><p>{_LONG}</p></aside>"), (0, f"<div class=comments><p>{_LONG}</p>"), (0, "<p>I agree with this.</p></div>"),
-        (0, "<form><p>Enter your address to get our letters every week.</p></form>"),
-    ],
-    [
-        (0, "<div><a href=/a>Start</a> <a href=/b>Shop</a> <a href=/c>Contact</a></div>"), (0, "<div>Log in</div>"),
-        (1, f"<div><p>{_LONG * 2}</p>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG * 3}</p></div>"),
-        (0, "<div><a href=/1>Ten things to know about cats this year</a></div>"), (0, "<div><a href=/2>What you missed last week in town</a></div>"),
-        (0, "<div>Terms</div>"),
-    ],
-    [
-        (0, "<div class=sidebar><h3>Most read</h3>"), (0, "<p><a href=/x>Storm ahead for the coast on Friday</a></p></div>"),
-        (1, f"<div><h1>A long way home</h1>"), (1, f"<p>{_LONG}</p>"), (1, f"<blockquote>{_LONG}</blockquote>"), (1, f"<p>{_LONG * 2}</p></div>"),
-        (0, f"<div class='related'><p>{_LONG}</p></div>"), (0, "<div class='newsletter'>Sign up for more of this in your inbox.</div>"),
-        (0, "<div>Imprint</div>"),
-    ],
-    [
-        (0, "<nav><a href=/>Home</a></nav>"), (1, "<article><p>Short note.</p>"), (1, "<p>With <a href=/l>a link</a></p></article>"), (0, f"<footer><p>{_LONG}</p></footer>"),
-    ],
-    [
-        (0, "<nav><a href=/>Home</a> | <a href=/a>All</a></nav>"), (1, "<article><h1>Notes</h1>"), (1, "<p>One</p>"), (1, "<p><a href=/s>The whole report is here</a></p>"),
-        (1, f"<p>{_LONG}</p>"), (0, f"<section class='comments'><p>{_LONG}</p></section></article>"), (0, f"<div class=promo><p>{_LONG}</p></div>"),
-        (0, "<footer>Contact us</footer>"),
-    ],
-    [
-        (0, "<header>Skip to content and more of the same old words here.</header>"), (1, f"<main><p>{_LONG}</p>"), (1, "<pre>a = b</pre>"),
-        (0, f"<aside>{_LONG}</aside>"), (1, f"<h2>Next</h2>"), (1, f"<p>{_LONG}</p></main>"), (0, f"<div class=notice>{_LONG}</div>"),
-    ],
-    [
-        (0, f"<nav>{_LONG}</nav>"), (0, f"<div class=ad>{_LONG * 2}</div>"), (1, f"<article><h1>Rivers of the north and what lives in them</h1>"), (1, f"<p>{_LONG}</p>"),
-        (1, f"<p>{_LONG * 3}</p></article>"), (0, f"<footer>{_LONG}</footer>"),
-    ],
-    [
-        (0, f"<div class=banner>{_LONG}</div>"), (0, f"<div class=sidebar>{_LONG * 3}</div>"), (1, f"<div>{_LONG * 2}</div>"), (1, f"<div>{_LONG}</div>"),
-        (0, f"<div class=cookie>{_LONG * 2}</div>"), (1, f"<div>{_LONG * 2}</div>"), (0, f"<aside>{_LONG * 2}</aside>"), (1, f"<div>{_LONG}</div>"),
-        (0, f"<form>{_LONG}</form>"), (0, f"<div id=comments><p>{_LONG}</p>"), (0, f"<p>{_LONG * 2}</p>"), (0, f"<p>{_LONG}</p></div>"),
-    ],
-    [
-        (0, f"<header><p>{_LONG}</p></header>"), (0, f"<div class=menu>{_LONG}</div>"), (1, f"<div><h2>On foot</h2>"), (1, f"<p>{_LONG}</p>"), (1, f"<p>{_LONG}</p></div>"),
-        (0, f"<div class=newsletter>{_LONG}</div>"), (0, f"<div class=ad>{_LONG}</div>"), (1, f"<div><p>{_LONG}</p></div>"), (0, f"<dialog>{_LONG}</dialog>"),
-    ],
-]
+_SAYING = (
+    "the council met on monday to discuss plans for a new bridge across river and heard both sides before it "
+    "agreed that work could begin next spring if money is found by then while people who live there asked for less noise"
+).split()
+#: Class names and tags that page parts of each sort are made with.
+_CLASSES = ["ad", "cookie-notice", "sidebar", "comments", "related", "newsletter", "banner", "promo", "share", "popup"]
+_PART_TAGS = ["nav", "aside", "footer", "form", "header"]
+
+
+def _said(draw: random.Random, least: int, most: int, stop: bool = True) -> str:
+    words = [draw.choice(_SAYING) for _ in range(draw.randint(least, most))]
+    return " ".join(words).capitalize() + ("." if stop else "")
+
+
+def _links(draw: random.Random, count: int, tag: str) -> str:
+    items = (f"<a href=/{draw.randint(1, 99)}>{_said(draw, 1, 6, draw.random() < 0.3)}</a>" for _ in range(count))
+    return "".join(f"<{tag}>{item}</{tag}>" for item in items)
+
+
+def _paragraph(draw: random.Random, tag: str | None = None) -> str:
+    tag = tag or draw.choice(["p", "p", "p", "p", "li", "blockquote", "pre"])
+    text = _said(draw, *draw.choice([(1, 4), (8, 25), (8, 25), (25, 60), (60, 120)]), draw.random() < 0.8)
+    linked = draw.random()
+    if linked < 0.06:  # one link alone in a line of text
+        text = f"<a href=/x>{text}</a>"
+    elif linked < 0.25 and text.count(" ") > 3:
+        first, _, rest = text.partition(" ")
+        text = f"<a href=/x>{first}</a> {rest}"
+    return f"<{tag}>{text}</{tag}>"
+
+
+def _sized(draw: random.Random, tag: str, least: int, most: int) -> str:
+    return f"<{tag}>{_said(draw, least, most)}</{tag}>"
+
+
+def _aside(draw: random.Random) -> str:
+    """Something of a page that isn't its text, and says so by tag or class."""
+    inside = draw.choice([
+        lambda: f"<p>{_said(draw, 1, 90)}</p>", lambda: _said(draw, 1, 60), lambda: f"<ul>{_links(draw, draw.randint(2, 7), 'li')}</ul>",
+        lambda: f"<h3>{_said(draw, 1, 4, False)}</h3>" + _links(draw, 3, "p"),
+    ])()
+    if draw.random() < 0.5:
+        return f"<div class={draw.choice(_CLASSES)}>{inside}</div>"
+    tag = draw.choice(_PART_TAGS)
+    return f"<{tag}>{inside}</{tag}>"
+
+
+def labelled_pages(count: int = 200, seed: int = 3) -> list[list[tuple[int, str]]]:
+    """Pages as lists of (main text or not, piece of page), drawn from ``seed``."""
+    draw, pages = random.Random(seed), []
+    for k in range(count):
+        sort = ("article", "main", "div", "div", "bare")[k % 5]
+        page: list[tuple[int, str]] = []
+        if sort == "bare":  # a page of its text alone
+            pages.append([(1, _paragraph(draw, "p")) for _ in range(draw.randint(1, 4))])
+            continue
+        if sort == "div":  # nothing but sizes and links tell
+            page.append((0, f"<div>{_links(draw, draw.randint(3, 8), draw.choice(['li', 'span', 'p']))}</div>"))
+            page += [(0, f"<div>{_said(draw, 1, 2, False)}</div>")] * draw.randint(0, 1) + [(1, f"<div><h1>{_said(draw, 3, 9, False)}</h1>")]
+            page += [(1, _sized(draw, "p", 20, 80))]
+            for _ in range(draw.randint(1, 6)):
+                page.append((1, _sized(draw, "p", *draw.choice([(1, 3), (12, 40), (30, 90)]))))
+                if draw.random() < 0.25:
+                    page.append((0, f"<ul>{_links(draw, draw.randint(3, 6), 'li')}</ul>"))
+                    page.append((1, _sized(draw, "p", 20, 60)))
+            page += [(1, _sized(draw, "p", 15, 60)), (1, "</div>")]
+            page += [(0, f"<div>{_links(draw, draw.randint(3, 6), 'p')}</div>"), (0, f"<div>{_said(draw, 1, 3, False)}</div>")]
+            pages.append(page)
+            continue
+        page += [(0, _aside(draw)) for _ in range(draw.randint(1, 3))]
+        page.append((1, f"<{sort}><h1>{_said(draw, 2, 10, False)}</h1>"))
+        for _ in range(draw.randint(1, 7)):
+            page.append((1, _paragraph(draw)))
+            if draw.random() < 0.15:
+                page.append((1, f"<h2>{_said(draw, 1, 5, False)}</h2>"))
+            if draw.random() < 0.12:
+                page.append((0, f"<ul>{_links(draw, draw.randint(3, 6), 'li')}</ul>"))
+                page.append((1, _paragraph(draw, "p")))
+            if draw.random() < 0.12:
+                page.append((0, f"<div class={draw.choice(_CLASSES)}>{_said(draw, 3, 60)}</div>"))
+        page.append((1, f"</{sort}>"))
+        page += [(0, _aside(draw)) for _ in range(draw.randint(0, 3))]
+        pages.append(page)
+    return pages
 
 
 @dataclass
 class Tree:
     """A binary classification tree on numbers, split by Gini impurity; ties take the first split."""
 
-    max_depth: int = 6
+    max_depth: int = 8
+    least: int = 4
     nodes: list[tuple] = field(default_factory=list)
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Tree:
@@ -236,6 +276,8 @@ class Tree:
         for k in range(x.shape[1] if depth else 0):
             for cut in np.unique(x[:, k])[:-1]:
                 left = x[:, k] <= cut
+                if min(left.sum(), (~left).sum()) < self.least:
+                    continue
                 cost = sum(2 * p * (1 - p) * len(s) for s in (y[left], y[~left]) for p in [s.mean()])
                 if cost < best[0] - 1e-9:
                     best = (cost, k, float(cut))
@@ -258,7 +300,7 @@ class Tree:
 def trained(table: list[list[tuple[int, str]]] | None = None) -> Tree:
     """The tree for a labelled table: each piece adds blocks to its page, all with its label."""
     xs, ys = [], []
-    for page in LABELLED if table is None else table:
+    for page in labelled_pages() if table is None else table:
         ends = [len(blocks("".join(piece for _, piece in page[:k]))) for k in range(len(page) + 1)]
         xs.append(features(blocks("".join(piece for _, piece in page))))
         ys += [label for (label, _), a, b in zip(page, ends, ends[1:]) for _ in range(b - a)]

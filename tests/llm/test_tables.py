@@ -137,6 +137,48 @@ def test_main_text(spark):
     assert html.extract(spark.createDataFrame([], kind)).collect() == []
 
 
+def labelled_blocks(pages):
+    """(features, labels) of pages that are lists of (label, piece)."""
+    xs, ys = [], []
+    for page in pages:
+        ends = [len(html.blocks("".join(piece for _, piece in page[:k]))) for k in range(len(page) + 1)]
+        xs.append(html.features(html.blocks("".join(piece for _, piece in page))))
+        ys += [label for (label, _), a, b in zip(page, ends, ends[1:]) for _ in range(b - a)]
+    return np.concatenate(xs), np.array(ys)
+
+
+def test_main_text_tree_on_held_out_pages():
+    tree = html.trained()
+    x, y = labelled_blocks(html.labelled_pages(100, seed=99))
+    assert (tree.predict(x) == y).mean() > 0.98 and 0.3 < y.mean() < 0.8
+    used = {html.FEATURES[n[0]] for n in tree.nodes if n[0] >= 0}
+    assert used >= {"words", "links", "links_before"} and used & {"words_before", "words_after", "links_after"}
+    flags = [html.FEATURES.index(f) for f in ("article", "part", "hint", "heading", "sentence")]
+    bare = x.copy()
+    bare[:, flags] = 0  # without any flag, sizes and links still tell most blocks
+    assert (tree.predict(bare)[x[:, flags[2]] + x[:, flags[1]] == 0] == y[x[:, flags[2]] + x[:, flags[1]] == 0]).mean() > 0.9
+
+
+def test_main_text_of_unusual_pages():
+    tree = html.trained()
+    words = "the council met on monday to discuss plans for a new bridge across the river and heard both sides before it agreed to go on with the work at once. "
+    article = f"<article><p>{words}</p></article>"
+    kept = words.strip()
+    for page in (f"<body class='post has-sidebar'>{article}</body>", f"<div class='content no-comments'>{article}</div>", f"<main id=search>{article}</main>", f"<p>{words}</p>"):
+        assert html.main_text(page, tree) == kept
+    plain = f"<div><p>{words}</p></div><div><p>Yes.</p></div><div><p>{words[:70]}.</p></div>"
+    assert html.main_text(plain, tree).split("\n") == [kept, "Yes.", words[:70].strip() + "."]
+    links = "".join(f"<li><a href=/{k}>see page {k}</a></li>" for k in range(5))
+    assert html.main_text(f"<article><p>{words}</p><ul>{links}</ul><p>{words}</p></article>", tree) == f"{kept}\n{kept}"
+    hidden = f"<article><p>{words}</p><div style='display:none'><p>{words}</p></div><section class=comments><div><p>{words}</p></div></section></article>"
+    assert html.main_text(hidden, tree) == kept
+
+
+def test_main_text_of_deep_and_unclosed_pages():
+    found = html.blocks("<div>" * 200_000 + "a" + "</p>" * 200_000 + "<p>b" + "</div>" * 200_000 + "c")
+    assert [b.text for b in found] == ["a", "b", "c"]
+
+
 def test_urls(spark):
     rules = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
     cases = {
