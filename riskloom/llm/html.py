@@ -36,8 +36,8 @@ HINT = re.compile(  # not "no-comments", "has-sidebar" and the like, which tell
     r"pagination|pager|toolbar|skip|hidden|teaser\w*|outbrain|taboola)(?=$|[\s_-]|\d)",
     re.I,
 )
-TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
-ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>""")
+ODD_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 NAMED = re.compile(r"""\b(?:class|id|role|aria-label)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 UNSEEN = re.compile(r"""(?:^|\s)hidden(?:[\s=]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 WHOLE = {"html", "body", "main", "article"}  # class names of these tell nothing of what is inside
@@ -195,9 +195,10 @@ def _paragraph(draw: random.Random, tag: str | None = None) -> str:
     linked = draw.random()
     if linked < 0.06:  # one link alone in a line of text
         text = f"<a href=/x>{text}</a>"
-    elif linked < 0.25 and text.count(" ") > 3:
-        first, _, rest = text.partition(" ")
-        text = f"<a href=/x>{first}</a> {rest}"
+    elif linked < 0.35 and text.count(" ") > 2:  # up to half of it
+        words = text.split()
+        cut = draw.randint(1, len(words) // 2)
+        text = f"<a href=/x>{' '.join(words[:cut])}</a> {' '.join(words[cut:])}"
     return f"<{tag}>{text}</{tag}>"
 
 
@@ -217,7 +218,7 @@ def _aside(draw: random.Random) -> str:
     return f"<{tag}>{inside}</{tag}>"
 
 
-def labelled_pages(count: int = 200, seed: int = 3) -> list[list[tuple[int, str]]]:
+def labelled_pages(count: int = 300, seed: int = 3) -> list[list[tuple[int, str]]]:
     """Pages as lists of (main text or not, piece of page), drawn from ``seed``."""
     draw, pages = random.Random(seed), []
     for k in range(count):
