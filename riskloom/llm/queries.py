@@ -92,8 +92,9 @@ def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op9_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each section, and one without a section for a document that has none."""
     counted = count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return counted.select("doc_id", F.explode("sections").alias("s")).select("doc_id", "s.*")
+    return counted.select("doc_id", F.explode_outer("sections").alias("s")).select("doc_id", "s.*")
 
 
 @query

@@ -21,6 +21,9 @@ from pyspark.sql import DataFrame, types as T
 # How the rank file's vocabulary cuts text before its merges; fixed by that vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+# White space as that pattern sees it, and the length from which a run is encoded by itself.
+BLANK = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LONG_BLANK = 5_000
 COUNTED = T.ArrayType(
     T.StructType().add("section", "integer").add("start", "long").add("end", "long").add("tokens", "long").add("crossing", "long")
 )
@@ -30,6 +33,24 @@ def ranks(path: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines())}
 
 
+def encoded(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
+    """The token ids of ``text``, with long runs of white space encoded on their own.
+
+    The pattern looks ahead from white space only, which is what long runs overflow. It
+    takes a run of n but for its last character, or whole at the end of the text, as one
+    piece, whatever stands before. Other pieces end where white space begins. So the text up
+    to the run, that piece, and the rest from the run's last character give the same tokens.
+    """
+    parts, at = [], 0
+    for run in re.finditer(f"[{BLANK}]{{{LONG_BLANK},}}", text):
+        end = run.end() if run.end() == len(text) else run.end() - 1
+        parts.append(encoding.encode_to_numpy(text[at : run.start()], disallowed_special=()))
+        parts.append(np.array(encoding._encode_single_piece(text[run.start() : end]), np.int64))
+        at = end
+    parts.append(encoding.encode_to_numpy(text[at:], disallowed_special=()))
+    return np.concatenate(parts).astype(np.int64)
+
+
 def section_ends(raw: bytes, boundary: bytes) -> np.ndarray:
     """Where sections end, in bytes: behind each match of ``boundary`` and at the end of the text."""
     ends = [m.end() for m in re.finditer(boundary, raw) if m.end() > m.start()]
@@ -61,7 +82,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
     match of ``boundary``, a pattern on UTF-8 bytes; by default, sections are lines.
 
     The vocabulary is read where the query is built and sent to the tasks. Null and empty
-    texts have no sections. Every other column stays; one named ``sections`` is replaced.
+    texts have no sections; texts of any length are encoded whole. Every other column stays; one named ``sections`` is replaced.
     Rows are counted one by one, so repeated rows agree and an empty table stays empty.
     """
     kept = [c for c in docs.columns if c != sections]
@@ -81,7 +102,7 @@ def count_tokens(docs: DataFrame, text_col: str = "text", vocabulary: str = VOCA
                 raw = text.encode("utf-8", "surrogatepass")
                 if raw:
                     ends = section_ends(raw, boundary)
-                    tokens, crossing = attribute(size[encoding.encode_to_numpy(text)], ends)
+                    tokens, crossing = attribute(size[encoded(encoding, text)], ends)
                     points = np.cumsum((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80)
                     stop = points[ends - 1]
                     parts = (np.arange(len(ends)), np.concatenate([[0], stop[:-1]]), stop, tokens, crossing)

@@ -329,6 +329,64 @@ def test_token_attribution():
     assert got.tolist() == [2, 1] and crossing.tolist() == [1, 0]
 
 
+def counted_plainly(own, text, boundary):
+    """(section, start, end, tokens, crossing), token by token and byte by byte."""
+    raw, ends = text.encode(), [m.end() for m in re.finditer(boundary, text.encode()) if m.end() > m.start()]
+    if not ends or ends[-1] < len(raw):
+        ends.append(len(raw))
+    section = [next(k for k, e in enumerate(ends) if b < e) for b in range(len(raw))]
+    tokens_of, crossing, at = Counter(), Counter(), 0
+    for token in own.encode_ordinary(text):
+        size = len(own.decode_single_token_bytes(token))
+        held = Counter(section[at : at + size])
+        owner = min(held, key=lambda k: (-held[k], k))
+        tokens_of[owner] += 1
+        crossing[owner] += len(held) > 1
+        at += size
+    starts = [0, *ends[:-1]]
+    return [(k, len(raw[:a].decode()), len(raw[:b].decode()), tokens_of[k], crossing[k]) for k, (a, b) in enumerate(zip(starts, ends))]
+
+
+def own_encoding():
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=tokens.PATTERN, mergeable_ranks=tokens.ranks(tokens.VOCABULARY), special_tokens={})
+
+
+@pytest.mark.parametrize("boundary", [rb"\n", rb"\. ", rb"e"])
+def test_token_counts_against_a_plain_version(spark, tables, boundary):
+    own = own_encoding()
+    docs = tables("documents").select("doc_id", "text").orderBy("doc_id").limit(25)  # a fixture: the plain version is slow
+    for r in tokens.count_tokens(docs, boundary=boundary).collect():
+        assert [tuple(s) for s in r.sections] == counted_plainly(own, r.text, boundary)
+
+
+def test_long_blanks_change_no_token(monkeypatch):
+    """Runs taken on their own give the tokens of the whole text, whatever stands around them."""
+    own, draw = own_encoding(), np.random.default_rng(8)
+    monkeypatch.setattr(tokens, "LONG_BLANK", 2)
+    texts = ["a  b", "a \n b", "  a", "a  ", "   ", "it's  's \t\t9", "x\u3000\u3000\x85y", "a\x1c\x1cb", "..  ..\n\n", "é \n"]
+    texts += ["".join(draw.choice(list(" \n\tab1.'sé\u2003"), 60)) for _ in range(3000)]
+    for text in texts:
+        assert tokens.encoded(own, text).tolist() == own.encode_ordinary(text)
+
+
+def test_a_million_blanks(spark):
+    rows = [(1, "a" + " " * 999_999 + "b"), (2, "\n" * 999_999), (3, "z" * 300_000)]
+    found = {r.doc_id: r.sections for r in tokens.count_tokens(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert found[1][0].end == 1_000_001 and len(found[2]) == 999_999
+    assert sum(s.tokens for s in found[2]) > 0 and found[3][0].end == 300_000
+
+
+def test_every_document_has_a_row(spark, tmp_path):
+    from riskloom.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, None), (2, ""), (3, "a\nb"), (None, "c")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    rows = QUERIES["op9_tokens"](spark, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in rows) == {1: 1, 2: 1, 3: 2, None: 1}
+    assert all(r.section is None for r in rows if r.doc_id in (1, 2))
+
+
 def test_token_counts(spark, tables, odd, empty):
     import tiktoken
 
