@@ -10,6 +10,8 @@
 4. Around each window over the cosine bound, the longest common subsequence with the item
    is measured on words, and the same for the item's answer, its last sentence. A document
    is contaminated if nearly all of an item is there in order, or most of it and the answer.
+5. Items of a few words have no windows to speak of, and parts of them are ordinary text.
+   They are looked for word for word, where they make up whole sentences or lines.
 """
 
 from __future__ import annotations
@@ -35,8 +37,7 @@ _DROPPED = b".,;:!?\"'()[]{}*#$%&|<>"
 class Leaks:
     """``block_items`` benchmark items share a latent space, so that ``rank`` dimensions tell
     them apart, and ``pass_blocks`` such blocks are compared in one pass over the documents.
-    Items of fewer than ``least_words`` words cannot be told from ordinary text and are not
-    looked for."""
+    Items of fewer than ``least_words`` words are looked for as whole sentences."""
 
     step: int = 16
     rank: int = 256
@@ -60,10 +61,30 @@ def windows(words: list[bytes], step: int) -> list[list[bytes]]:
 
 def answer_of(text: str) -> list[bytes]:
     """The words of the last sentence."""
-    sentences = [w for s in re.split(r"[.!?]+(?=\s|$)|\n", text) if (w := words_of(s))]
+    sentences = sentences_of(text)
     return sentences[-1] if sentences else []
 
 
+def sentences_of(text: str) -> list[list[bytes]]:
+    """The words of each sentence or line that has any."""
+    return [w for s in re.split(r"[.!?]+(?=\s|$)|\n", text) if (w := words_of(s))]
+
+
+def whole_sentences(text: str, short: dict[tuple, int], most: int) -> int | None:
+    """The item of the first run of whole sentences that is a key of ``short``; keys have fewer
+    than ``most`` words."""
+    held = sentences_of(text)
+    for i in range(len(held)):
+        run: list[bytes] = []
+        for s in held[i:]:
+            run += s
+            if len(run) >= most:
+                break
+            if (item := short.get(tuple(run))) is not None:
+                return item
+    return None
+
+
 def common_subsequence(a: list[bytes], b: list[bytes]) -> int:
     """Length of the longest common subsequence, the rows of the table held as bits of ``a``."""
     where: dict[bytes, int] = {}
@@ -258,9 +279,9 @@ def _search(words: list[bytes], space: _Space, leaks: Leaks) -> tuple | None:
 def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", leaks: Leaks = Leaks()) -> DataFrame:
     """``docs`` with ``leaked`` and, where true, ``leak_item``, ``leak_share``, ``leak_answer``, ``leak_cosine``.
 
-    Null and empty texts are not leaked. Items that are null, empty or too short are not
-    looked for; without any item no document is leaked. Repeated items count once, under
-    their smallest id. Of equally good matches the first in the text counts. All columns
+    Null and empty texts are not leaked; texts of any length are searched whole. Items that
+    are null or without words are not looked for, nor are short ones without an id; without
+    any item no document is leaked. Repeated items count once, under their smallest id. Of equally good matches the first in the text counts. All columns
     of ``docs`` stay; one named like a new column is replaced. Documents are judged one by
     one, so repeated rows agree and an empty table stays empty.
     """
@@ -274,12 +295,17 @@ def mark_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     passes = max(1, -(-items.count() // (leaks.block_items * leaks.pass_blocks)))
     for turn in range(passes):
         rows = items.where(F.col("place") % passes == turn).orderBy("item", "text").collect()
-        wanted = [(r["item"], w, answer_of(r["text"])) for r in rows if len(w := words_of(r["text"])) >= leaks.least_words]
+        items_of = [(r["item"], w, answer_of(r["text"])) for r in rows if (w := words_of(r["text"]))]
+        wanted = [i for i in items_of if len(i[1]) >= leaks.least_words]
+        # Of equal words the smallest id counts; items come by id, those without one first.
+        short = {tuple(w): item for item, w, _ in reversed(items_of) if len(w) < leaks.least_words and item is not None}
+        blocks = [wanted[k : k + leaks.block_items] for k in range(0, len(wanted), leaks.block_items)]
+        spaces = []
         if wanted:
             count, n = _document_frequencies(texts, sorted({t for _, w, _ in wanted for t in w}))
-            blocks = [wanted[k : k + leaks.block_items] for k in range(0, len(wanted), leaks.block_items)]
-            spaces = spark.sparkContext.broadcast([_fit(spark, block, count, n, leaks) for block in blocks])
-            out = out.mapInArrow(_marker(spaces, at, len(kept), leaks), schema)
+            spaces = [_fit(spark, block, count, n, leaks) for block in blocks]
+        if spaces or short:
+            out = out.mapInArrow(_marker(spark.sparkContext.broadcast((spaces, short)), at, len(kept), leaks), schema)
     return out.withColumn("leaked", F.col("leak_share").isNotNull())
 
 
@@ -287,12 +313,15 @@ def _marker(shared, at: int, width: int, leaks: Leaks):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             best = list(zip(*[batch.column(width + k).to_pylist() for k in range(4)]))
+            spaces, short = shared.value
             for row, value in enumerate(batch.column(at)):
                 words = words_of(value.as_py())
-                for space in shared.value:
-                    found = _search(words, space, leaks)
-                    if found and (best[row][1] is None or found[1] > best[row][1]):
-                        best[row] = found
+                found = [f for space in spaces if (f := _search(words, space, leaks))]
+                if short and (item := whole_sentences(value.as_py() or "", short, leaks.least_words)) is not None:
+                    found.append((item, 1.0, 1.0, 1.0))
+                for f in found:
+                    if best[row][1] is None or f[1] > best[row][1]:
+                        best[row] = f
             kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             more = [pa.array([b[k] for b in best], kind) for k, kind in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:width], *more], batch.schema.names)

@@ -5,12 +5,14 @@
 3. Signatures are cut into bands. A bucket holds the classes that agree on a band; buckets
    with the same members are kept once, and a large bucket is dealt over blocks, so that a
    task sees two blocks of bounded bytes, never a whole bucket.
-4. Inside a pair of blocks signatures are compared a batch at a time. With a flat prior,
-   the chance that a pair with m of n equal minima reaches the threshold is the binomial
-   tail P(Bin(n + 1, t) <= m); a pair below ``miss`` is dropped. What survives is checked
-   on the full sets. Pairs that are joined already need no check, so a task returns no
-   more links than it has members.
-5. Links give connected components.
+4. In a large bucket all members are first compared with one of them, its hub. Those that
+   link to it are joined; only the rest meets all blocks. So a bucket of thousands of near
+   copies costs a comparison a member.
+5. Signatures are compared a batch at a time. With a flat prior, the chance that a pair with
+   m of n equal minima reaches the threshold is the binomial tail P(Bin(n + 1, t) <= m); a
+   pair below ``miss`` is dropped. What survives is checked on the full sets. Pairs that are
+   joined already need no check, so a task returns no more links than it has members.
+6. Links give connected components.
 """
 
 from __future__ import annotations
@@ -112,7 +114,14 @@ def _minima(sets: np.ndarray, mul: np.ndarray, add: np.ndarray) -> np.ndarray:
     return (_mix(best) >> np.uint64(48)).astype(np.uint16)
 
 
-SIGNED = "id bigint, n_shingles bigint, n_bytes bigint, print binary, sig binary, keys array<bigint>"
+SIGNED = "id bigint, content bigint, n_bytes bigint, n_shingles bigint, print binary, sig binary, keys array<bigint>"
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, content, n_bytes, text): ``content`` tells the texts of an id apart."""
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), text.alias("text"))
+    return picked.select("id", F.xxhash64("id", "text").alias("content"), F.octet_length("text").cast("bigint").alias("n_bytes"), "text")
 
 
 def signatures(docs: DataFrame, id_col: str, text_col: str, near: Near) -> DataFrame:
@@ -126,12 +135,10 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, near: Near) -> DataF
         factors = draw.integers(0, 1 << 63, near.words, np.uint64) * np.uint64(2) + np.uint64(1)
         known, used = _Hashes(), near.bands * near.rows
         for batch in batches:
-            sizes, lengths, prints, sigs, keys = [], [], [], [], []
-            for value in batch.column(1):
-                text = value.as_py() or ""
-                hashes = _shingle_hashes(text, near.words, known, factors)
+            sizes, prints, sigs, keys = [], [], [], []
+            for value in batch.column(3):
+                hashes = _shingle_hashes(value.as_py() or "", near.words, known, factors)
                 sizes.append(len(hashes))
-                lengths.append(len(text))
                 if not len(hashes):
                     prints.append(None), sigs.append(None), keys.append(None)
                     continue
@@ -144,146 +151,229 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, near: Near) -> DataF
                 keys.append(key.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0), pa.array(sizes, pa.int64()), pa.array(lengths, pa.int64()),
+                    *batch.columns[:3], pa.array(sizes, pa.int64()),
                     pa.array(prints, pa.binary()), pa.array(sigs, pa.binary()), pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["id", "n_shingles", "n_bytes", "print", "sig", "keys"],
+                ["id", "content", "n_bytes", "n_shingles", "print", "sig", "keys"],
             )
 
-    picked = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, SIGNED)
+    return _texts(docs, id_col, text_col).mapInArrow(run, SIGNED)
 
 
-def _blocks(classes: DataFrame, near: Near) -> DataFrame:
-    """(band, key, i, j, block, id): each bucket's members, once for each pair of blocks."""
-    rows = classes.select("id", "n_bytes", F.posexplode("keys").alias("band", "key"))
+def _members(classes: DataFrame, near: Near) -> DataFrame:
+    """(band, key, parts, hub, block, c): the members of each bucket, and over how many blocks
+    it is dealt; buckets with the same members are kept once."""
+    rows = classes.select("c", "n_bytes", F.posexplode("keys").alias("band", "key"))
     buckets = (
         rows.groupBy("band", "key")
         .agg(
-            F.count("*").alias("n"), F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("n_bytes").alias("bytes"),
-            F.bit_xor(F.xxhash64("id")).alias("x1"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("x2"),
+            F.count("*").alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi"), F.sum("n_bytes").alias("bytes"),
+            F.bit_xor(F.xxhash64("c")).alias("x1"), F.bit_xor(F.xxhash64("c", F.lit(1))).alias("x2"),
         )
         .where("n > 1")
         .groupBy("n", "lo", "hi", "x1", "x2")
         .agg(F.min(F.struct("band", "key", "bytes")).alias("first"))
         .select(
-            F.col("first.band").alias("band"), F.col("first.key").alias("key"),
+            F.col("first.band").alias("band"), F.col("first.key").alias("key"), F.col("lo").alias("hub"),
             F.ceil(
                 F.greatest(F.col("n") / near.block_rows, F.col("first.bytes") / near.block_bytes)
             ).cast("int").alias("parts"),
         )
     )
-    member = rows.join(buckets, ["band", "key"]).withColumn("block", F.pmod(F.xxhash64("id"), "parts").cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")
-    return member.select("band", "key", "id", "block", other).select(
-        "band", "key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id"
+    member = rows.select("band", "key", "c", "n_bytes").join(buckets, ["band", "key"])
+    return member.withColumn("block", F.pmod(F.xxhash64("c"), "parts").cast("int"))
+
+
+#: Roles of a member in a group: it asks (is compared with all that answer), answers, or both.
+_ASKS, _ANSWERS = 1, 2
+
+
+def _dealt(member: DataFrame, rest: DataFrame, near: Near) -> DataFrame:
+    """(band, key, i, j, c, role, left): the groups in which members meet. All of a small bucket
+    meet in one; in a large one each block i of the ``rest`` asks each block j of all members."""
+    small = member.where("parts = 1").select(
+        "band", "key", F.lit(0).alias("i"), F.lit(0).alias("j"), "c", F.lit(_ASKS + _ANSWERS).alias("role"), F.lit(True).alias("left")
+    )
+    sizes = rest.groupBy("band", "key").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("bytes")).select(
+        "band", "key", F.ceil(F.greatest(F.col("n") / near.block_rows, F.col("bytes") / near.block_bytes)).cast("int").alias("asking")
+    )
+    large = member.where("parts > 1").join(sizes, ["band", "key"]).join(
+        rest.select("band", "key", "c", F.lit(True).alias("left")), ["band", "key", "c"], "left"
+    )
+    own = F.pmod(F.xxhash64("c", F.lit(2)), "asking").cast("int")
+    answers = large.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("asking") - 1))).select(
+        "band", "key", "i", F.col("block").alias("j"), "c", F.lit(_ANSWERS).alias("role"), F.coalesce("left", F.lit(False)).alias("left")
+    )
+    asks = large.where("left").withColumn("j", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
+        "band", "key", own.alias("i"), "j", "c", F.lit(_ASKS).alias("role"), "left"
     )
+    both = answers.unionByName(asks).groupBy("band", "key", "i", "j", "c").agg(F.sum("role").cast("int").alias("role"), F.max("left").alias("left"))
+    return small.unionByName(both)
 
 
-def _link_task(near: Near):
-    need, batch, words, percent = least_matches(near), near.batch, near.words, near.percent
+class _Sets(dict):
+    """Shingle sets of a group's members, made when they are first asked for."""
+
+    def __init__(self, rows: list[dict], words: int):
+        super().__init__()
+        self.rows, self.words = rows, words
+
+    def __missing__(self, k: int) -> frozenset:
+        value = self[k] = shingle_set(self.rows[k]["text"] or "", self.words)
+        return value
+
+
+def _survivors(x: int, alive: np.ndarray, sig: np.ndarray, size: np.ndarray, near: Near, need: list[int]) -> np.ndarray:
+    """Those of ``alive`` that can still reach the threshold with ``x``: by size, then a batch of
+    the signature at a time."""
+    small, large = np.minimum(size[alive], size[x]), np.maximum(size[alive], size[x])
+    alive, m = alive[100 * small >= near.percent * large], 0
+    for k, least in enumerate(need):
+        if not len(alive):
+            break
+        part = slice(k * near.batch, (k + 1) * near.batch)
+        m = m + (sig[alive, part] == sig[x, part]).sum(axis=1)
+        stay = m >= least
+        alive, m = alive[stay], m[stay]
+    return alive
+
+
+def _alike(sets: _Sets, x: int, y: int, percent: int) -> bool:
+    both = len(sets[x] & sets[y])
+    return 100 * both >= percent * (len(sets[x]) + len(sets[y]) - both)
+
+
+def _link_group(near: Near):
+    need = least_matches(near)
 
     def link(rows: list[dict]) -> list[tuple[int, int]]:
-        by_id: dict[int, dict] = {}
-        for r in rows:  # an id with several texts: the one whose set has the class's size
-            if r["id"] not in by_id or len(shingle_set(r["text"] or "", words)) == r["n_shingles"]:
-                by_id[r["id"]] = r
-        rows = sorted(by_id.values(), key=lambda r: r["id"])
+        rows = sorted(rows, key=lambda r: r["c"])
         sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1)
         size = np.array([r["n_shingles"] for r in rows])
-        block = np.array([r["block"] for r in rows])
-        band, i, j = rows[0]["band"], rows[0]["i"], rows[0]["j"]
+        role, left = np.array([r["role"] for r in rows]), np.array([r["left"] for r in rows])
+        asks, answers, band = role & _ASKS > 0, role & _ANSWERS > 0, rows[0]["band"]
         before = sig[:, : band * near.rows].reshape(len(rows), band, near.rows)
-        cluster, sets, out = np.arange(len(rows)), {}, []
-
-        def full(k: int) -> frozenset:
-            if k not in sets:
-                sets[k] = shingle_set(rows[k]["text"] or "", words)
-            return sets[k]
-
+        cluster, sets, out = np.arange(len(rows)), _Sets(rows, near.words), []
         for x in range(len(rows) - 1):
-            if i == j:
-                alive = np.arange(x + 1, len(rows))
-            else:
-                alive = x + 1 + np.flatnonzero(block[x + 1 :] != block[x])
-            alive = alive[cluster[alive] != cluster[x]]
-            small, large = np.minimum(size[alive], size[x]), np.maximum(size[alive], size[x])
-            alive, m = alive[100 * small >= percent * large], 0
-            for k, least in enumerate(need):
-                if not len(alive):
-                    break
-                m = m + (sig[alive, k * batch : (k + 1) * batch] == sig[x, k * batch : (k + 1) * batch]).sum(axis=1)
-                stay = m >= least
-                alive, m = alive[stay], m[stay]
+            y = np.arange(x + 1, len(rows))
+            # Two that are both left over meet twice; the group where the first asks counts.
+            y = y[(asks[x] & answers[y]) | (asks[y] & answers[x] & (not left[x]))]
+            alive = _survivors(x, y[cluster[y] != cluster[x]], sig, size, near, need)
             if len(alive) and band:  # a pair is checked in the first band that it shares
                 alive = alive[~(before[alive] == before[x]).all(axis=2).any(axis=1)]
             for y in alive:
-                if cluster[x] != cluster[y]:
-                    both = len(full(x) & full(y))
-                    if 100 * both >= percent * (len(full(x)) + len(full(y)) - both):
-                        cluster[cluster == cluster[y]] = cluster[x]
-                        out.append((rows[x]["id"], rows[y]["id"]))
+                if cluster[x] != cluster[y] and _alike(sets, x, y, near.percent):
+                    cluster[cluster == cluster[y]] = cluster[x]
+                    out.append((rows[x]["c"], rows[y]["c"]))
+        return out
+
+    return link
+
+
+def _link_hub(near: Near):
+    need = least_matches(near)
+
+    def link(rows: list[dict]) -> list[tuple[int, int]]:
+        rows = sorted(rows, key=lambda r: r["c"] != r["hub"])
+        sig = np.frombuffer(b"".join(r["sig"] for r in rows), np.uint16).reshape(len(rows), -1)
+        size, sets = np.array([r["n_shingles"] for r in rows]), _Sets(rows, near.words)
+        if rows[0]["c"] != rows[0]["hub"]:
+            return []
+        found = _survivors(0, np.arange(1, len(rows)), sig, size, near, need)
+        out = []
+        for y in found.tolist():
+            if _alike(sets, 0, y, near.percent):
+                out.append((rows[0]["c"], rows[y]["c"]))
+            del sets[y]
         return out
 
+    return link
+
+
+def _linked(rows: DataFrame, group: list[str], link, keep: list[str]) -> DataFrame:
+    """(keep.., a, b): what ``link`` makes of each group, whose rows come one after another."""
+    kinds = dict(rows.dtypes)
+    names = [*keep, "a", "b"]
+    schema = ", ".join([*(f"{c} {kinds[c]}" for c in keep), "a bigint, b bigint"])
+    types = [pa.int32() if kinds[c] == "int" else pa.int64() for c in keep] + [pa.int64(), pa.int64()]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, at, found = [], None, []
-        for batch_in in batches:
-            for r in batch_in.to_pylist():
-                key = (r["band"], r["key"], r["i"], r["j"])
-                if key != at and group:
-                    found += link(group) if len(group) > 1 else []
-                    group = []
-                at = key
-                group.append(r)
-            if found:
-                yield _pairs(found)
-                found = []
-        if len(group) > 1:
-            yield _pairs(link(group))
+        held, at, found = [], None, []
 
-    return run
+        def close() -> None:
+            if len(held) > 1:
+                found.extend((*[held[0][c] for c in keep], a, b) for a, b in link(held))
+            held.clear()
 
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*found)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]
-    )
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (key := tuple(r[c] for c in group)) != at:
+                    close()
+                at = key
+                held.append(r)
+            if found:
+                yield out()
+                found.clear()
+        close()
+        if found:
+            yield out()
 
+    return rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, schema)
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
-    """(id, n_shingles, component_id, kept), a row for each row of ``docs``.
 
-    Null and empty texts have no shingles, link with nothing and are their own component.
-    Rows that share an id are one vertex. A row without an id keeps its size, has a null
-    component and is kept. An empty table gives an empty table. Other columns of ``docs``
-    are not read, whatever their names.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", near: Near = Near()) -> DataFrame:
+    """(id, n_shingles, component_id, kept, content, component), a row for each row of ``docs``.
+
+    ``component`` numbers the group of linked texts and ``component_id`` is its smallest id.
+    Texts are what is linked: an id with several texts has a row for each, and they are in one
+    group only if they link. ``content`` hashes id and text. Null and empty texts have no
+    shingles, link with nothing, have no ``component`` and are their own ``component_id``.
+    A row without an id links like any other and has a ``component``, but its
+    ``component_id`` is null and it is kept. Repeated rows agree. Texts of any length are
+    read whole. An empty table gives an empty table. Other columns of ``docs`` are not read,
+    whatever their names.
     """
     signed = write_out(signatures(docs, id_col, text_col, near), "signed")
-    usable = signed.where("print is not null and id is not null")
-    classes = write_out(
-        usable.groupBy("print").agg(
-            F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.max("n_bytes").alias("n_bytes"),
-            F.first("sig").alias("sig"), F.first("keys").alias("keys"),
-        ),
-        "classes",
+    usable = signed.where("print is not null")
+    # A class is known by a number of its own; one row with its set stands for it, if it can one with an id.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("first")
+    classes = usable.groupBy("print").agg(
+        first, F.first("n_shingles").alias("n_shingles"), F.max("n_bytes").alias("n_bytes"), F.first("sig").alias("sig"), F.first("keys").alias("keys")
+    )
+    classes = write_out(classes.select("print", "first.id", "first.content", "n_shingles", "n_bytes", "sig", "keys").withColumn("c", F.monotonically_increasing_id()), "classes")
+
+    member = write_out(_members(classes.select("c", "n_bytes", "keys"), near), "members")
+    needed = member.select("c").distinct().join(classes.select("c", "id", "content"), "c")
+    # Rows that repeat a text would repeat its members, so one of them is taken.
+    texts = _texts(docs, id_col, text_col).select(F.col("id").alias("own"), F.col("content").alias("key"), "text")
+    texts = texts.join(needed, (F.col("key") == F.col("content")) & F.col("own").eqNullSafe(F.col("id"))).groupBy("content", "id", "c").agg(F.first("text").alias("text"))
+    body = write_out(texts.select("c", "text").join(classes.select("c", "n_shingles", "sig"), "c"), "bodies")
+
+    group = ["band", "key", "block"]
+    large = member.where("parts > 1").select(*group, "hub", "c", "parts")
+    hubs = large.select("band", "key", "hub", "parts").distinct().select(
+        "band", "key", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("block"), "hub", F.col("hub").alias("c")
     )
-    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    group = ["band", "key", "i", "j"]
-    rows = _blocks(classes, near).join(classes.select("id", "n_shingles", "sig"), "id").join(texts, "id")
-    links = rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_link_task(near), "a bigint, b bigint")
-    same_id = (  # an id with several different texts ties their classes together
-        usable.groupBy("id").agg(F.min(F.xxhash64("print")).alias("p"), F.max(F.xxhash64("print")).alias("q"))
-        .where("p <> q").select("id")
-        .join(usable.select("id", "print"), "id").join(classes.select("print", F.col("id").alias("b")), "print")
-        .select(F.col("id").alias("a"), "b")
+    around = large.where("c <> hub").drop("parts").unionByName(hubs).join(body, "c")
+    star = write_out(_linked(around, group, _link_hub(near), ["band", "key"]), "star")
+    joined = star.select("band", "key", F.col("b").alias("c"))
+    rest = member.where("parts > 1 and c <> hub").join(joined, ["band", "key", "c"], "left_anti")
+
+    rows = _dealt(member, rest, near).join(body, "c")
+    links = _linked(rows, ["band", "key", "i", "j"], _link_group(near), [])
+    found = components(links.unionByName(star.select("a", "b")))
+    numbered = classes.select("print", "id", "c").join(found.select(F.col("id").alias("c"), "component"), "c", "left").select(
+        "print", "id", F.coalesce("component", "c").alias("component")
     )
-    found = components(links.unionByName(same_id))
-    classes = classes.select("print", F.col("id").alias("first")).join(
-        found.select(F.col("id").alias("first"), "component"), "first", "left"
-    ).select("print", F.coalesce("component", "first").alias("component"))
-    mark = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    smallest = numbered.groupBy("component").agg(F.min("id").alias("smallest"))
+    named = numbered.select("print", "component").join(smallest, "component")
     return (
-        signed.select("id", "n_shingles", "print").join(classes, "print", "left")
-        .select("id", "n_shingles", mark.alias("component_id"))
+        signed.select("id", "n_shingles", "print", "content").join(named, "print", "left")
+        .select("id", "n_shingles", F.when(F.col("id").isNotNull(), F.coalesce("smallest", "id")).alias("component_id"), "content", "component")
         .withColumn("kept", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)))
+        .select("id", "n_shingles", "component_id", "kept", "content", "component")
     )

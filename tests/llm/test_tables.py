@@ -403,6 +403,19 @@ def test_token_counts(spark, tables, odd, empty):
     assert tokens.count_tokens(empty).collect() == []
 
 
+def test_pipeline_keeps_texts_that_share_an_id(spark):
+    """One of each group of near copies stays, and every text that is like no other."""
+    draw = np.random.default_rng(5)
+    one, two, three = ([f"p{x}" for x in draw.integers(0, 9999, 150)] for _ in range(3))
+    near = " ".join([*one[:70], "else", *one[71:]])
+    texts = [(1, " ".join(one)), (1, " ".join(two)), (1, near), (2, near), (None, " ".join(one)), (None, " ".join(three)), (5, " ".join(two)), (5, " ".join(two)), (6, None), (6, None), (7, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in texts], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    left = corpus_pipeline.near_duplicate(spark, docs, "").collect()
+    groups = Counter("one" if r.text in (" ".join(one), near) else "two" if r.text == " ".join(two) else r.text for r in left)
+    assert groups == {"one": 1, "two": 1, " ".join(three): 1, None: 1, "": 1}
+    assert all(r.doc_id == 1 for r in left if r.text in (" ".join(one), near, " ".join(two)))
+
+
 def test_pipeline_stages(spark, tables):
     folder = "/root/testdata/sf0.001"
     docs = tables("documents")

@@ -77,6 +77,52 @@ def test_near_duplicates_against_brute_force(spark, tables):
     assert len(set(truth.values())) < len(truth) - 20
 
 
+def numbered_words(seed, n=120, pool=991):
+    draw = np.random.default_rng(seed)
+    return [f"v{x}" for x in draw.integers(0, pool, n)]
+
+
+def changed(words, at):
+    return " ".join([*words[:at], "changed", *words[at + 1 :]])
+
+
+def test_an_id_with_two_texts(spark):
+    """Texts are what is linked: near copies of both texts of an id are found, and nothing else."""
+    one, two = numbered_words(1), numbered_words(2)
+    rows = [(1, " ".join(one)), (1, " ".join(two)), (2, changed(one, 50)), (3, changed(two, 60)), (4, " ".join(numbered_words(3)))]
+    rows += [(9, " ".join(one)), (9, " ".join(numbered_words(4))), (8, " ".join(numbered_words(4))), (7, " ".join(numbered_words(5)))] + [(7, " ".join(numbered_words(5)))] * 50
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(found) == len(rows)
+    assert {(r.id, r.component_id) for r in found} == {(1, 1), (2, 1), (3, 1), (4, 4), (9, 1), (9, 8), (8, 8), (7, 7)}
+    groups = {(r.id, r.content): r.component for r in found}
+    assert len(set(groups.values())) == 5
+
+
+@pytest.mark.parametrize("block_rows", [8, 50])
+def test_large_buckets(spark, block_rows):
+    """Hundreds of near copies of a text, among them chains that don't link to its first copy, and
+    others that only share much of it."""
+    base_words, draw = numbered_words(6, 300), np.random.default_rng(6)
+    rows = []
+    for k in range(160):
+        words = list(base_words)
+        for at in draw.integers(0, 300, int(draw.integers(0, 6))):
+            words[at] = f"n{k}"
+        rows.append((k, " ".join(words)))
+    for k in range(40):  # each a step further from the base
+        words = list(base_words)
+        words[: 5 * k] = [f"c{j}" for j in range(5 * k)]
+        rows.append((500 + k, " ".join(words)))
+    sets = {i: shingles(t) for i, t in rows}
+
+    def linked(a, b):
+        both = len(sets[a] & sets[b])
+        return 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both)
+
+    found = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), near=minhash.Near(block_rows=block_rows)).collect()
+    assert {r.id: r.component_id for r in found} == smallest_reachable(list(sets), linked)
+
+
 def test_near_duplicates_odd_rows(odd, empty):
     rows = minhash.near_duplicates(odd).collect()
     assert len(rows) == len(odd_rows())
@@ -139,6 +185,35 @@ def test_leaks(spark, odd, empty):
     assert not any(r.leaked for r in decontaminate.mark_leaks(odd, bench.limit(0)).collect())
 
 
+def test_short_items_are_whole_sentences(spark):
+    bench = spark.createDataFrame([(1, "What is DNA?"), (2, "Yes. No."), (3, "what IS dna"), (None, "Maybe"), (5, "a b c d e f g")], "item_id bigint, text string")
+    docs = {
+        1: "Some text. What is DNA? More.", 2: "He asked what is DNA? Then left.", 3: "oh\nyes. No!\nend", 4: "Yes. Perhaps. No.",
+        5: "Maybe.", 6: "x a b c d e f g", 7: "x\na b, c d e f g", 8: "WHAT IS DNA", 9: None, 10: "",
+    }
+    marked = decontaminate.mark_leaks(spark.createDataFrame(list(docs.items()), "doc_id bigint, text string"), bench)
+    assert {r.doc_id: r.leak_item for r in marked.where("leaked").collect()} == {1: 1, 3: 2, 7: 5, 8: 1}
+
+
+def test_leaks_against_a_dense_search(spark, tables):
+    """Every item along every document, at every quarter of its length."""
+    leaks, docs, bench = decontaminate.Leaks(), tables("documents").select("doc_id", "text"), tables("benchmark")
+    items = [(r.item_id, decontaminate.words_of(r.text), decontaminate.answer_of(r.text)) for r in bench.collect()]
+
+    def leaked(text):
+        words = decontaminate.words_of(text)
+        for _, item, answer in items:
+            for at in range(0, max(1, len(words)), max(1, len(item) // 4)):
+                region = words[at : at + 2 * len(item)]
+                share = decontaminate.common_subsequence(item, region) / len(item)
+                if share >= leaks.most or share >= leaks.some and decontaminate.common_subsequence(answer, region) >= leaks.answer * len(answer):
+                    return True
+        return False
+
+    want = {r.doc_id for r in docs.collect() if leaked(r.text)}
+    assert {r.doc_id for r in decontaminate.mark_leaks(docs, bench).where("leaked").collect()} == want != set()
+
+
 def test_common_subsequence():
     def plain(a, b):
         row = [0] * (len(b) + 1)
