@@ -34,12 +34,18 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one with the smallest id. Of repeated rows one stays,
-    and rows without an id stay all."""
+    """One document of each group of linked texts: the one with the smallest id, of several texts
+    of that id one. Unrelated texts that share an id stay both, repeated rows become one, and
+    rows without words stay, once for each id and text."""
     docs = docs.select(*COLUMNS)
-    kept = near_duplicates(docs, near=NEAR).where("kept and id is not null").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.join(kept, "doc_id").groupBy("doc_id").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
-    return named.select("doc_id", "d.*").unionByName(docs.where("doc_id is null"))
+    found = near_duplicates(docs, near=NEAR)
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content")).alias("first")
+    chosen = found.where("component is not null").groupBy("component").agg(first).select("first.id", "first.content")
+    chosen = chosen.unionByName(found.where("component is null").select("id", "content").distinct())
+    keyed = docs.withColumn("key", F.xxhash64(F.col("doc_id").cast("bigint"), F.col("text").cast("string")))
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("id")) & (F.col("key") == F.col("content"))
+    named = keyed.join(chosen, same, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct(*COLUMNS[1:])).alias("d"))
+    return named.select("doc_id", "d.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
