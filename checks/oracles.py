@@ -388,6 +388,23 @@ ORACLES["f_rf_importance_ruled"] = "SELECT * FROM (VALUES ('worth', CAST(1 AS DO
 ORACLES["f_rf_importance_deep"] = """SELECT * FROM (VALUES ('worth', true, CAST(1 AS DOUBLE)), ('other', false, CAST(1 AS DOUBLE))) t(feature, leads, total)"""
 ORACLES["m_deep_forest"] = """SELECT p_partkey, CAST(CASE WHEN p_partkey % 10 = 0 THEN p_partkey % 3 WHEN p_size <= 15 THEN 0
   WHEN p_retailprice < 950 THEN 1 ELSE 2 END AS INTEGER) AS predicted, CAST(1 AS DOUBLE) AS share FROM part"""
+def whole_profile(table: str, column: str, kind: str, value: str | None = None) -> str:
+    return f"""SELECT column_name, type, rows, rows - n AS missing, round(100.0 * (rows - n) / rows, 2) AS missing_pct, round(mean, 6) AS mean,
+  round(std, 6) AS std, round(min, 6) AS min, round(q1, 6) AS q1, round(median, 6) AS median, round(q3, 6) AS q3, round(max, 6) AS max,
+  round(skewness, 6) AS skewness, round(lo, 6) AS lower_bound, round(hi, 6) AS upper_bound, below AS outliers_below, above AS outliers_above,
+  round(100.0 * (below + above) / n, 6) AS outlier_percentage
+FROM (SELECT '{column}' AS column_name, '{kind}' AS type, any_value(q1) AS q1, any_value(q3) AS q3, any_value(median) AS median,
+  any_value(lo) AS lo, any_value(hi) AS hi, count(*) AS rows, count(x) AS n, avg(x) AS mean, stddev_samp(x) AS std, min(x)::DOUBLE AS min,
+  max(x)::DOUBLE AS max, skewness(x) AS skewness, count(*) FILTER (x < lo) AS below, count(*) FILTER (x > hi) AS above
+  FROM (SELECT {value or column} AS x FROM {table}), (SELECT *, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi FROM (
+    SELECT quantile_cont(x, 0.25)::DOUBLE AS q1, quantile_cont(x, 0.5)::DOUBLE AS median, quantile_cont(x, 0.75)::DOUBLE AS q3
+    FROM (SELECT ({value or column})::DOUBLE AS x FROM {table}))))"""
+
+
+ORACLES["a_whole_profile"] = union(
+    [whole_profile("lineitem", c, "float64") for c in LINE_NUMBERS]
+    + [whole_profile("events", "value", "float64", "CASE WHEN event_id % 9 <> 0 THEN value END"), whole_profile("events", "user_id", "int64")]
+)
 ORACLES["m_class_weights"] = """WITH n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_orderpriority, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n"""
 _classes = f"""WITH {GUESSES}, k AS (SELECT DISTINCT label AS class FROM guesses UNION SELECT DISTINCT prediction FROM guesses),

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import (
-    encode, evaluate, forest, impute, models, outliers, profile, ranking, relation, smote, split, transform,
+    encode, evaluate, forest, impute, models, outliers, profile, ranking, relation, smote, split, summary, transform,
 )
 from riskloom.plans import feature_selection, presets, training
 from riskloom.session import fresh_path, write_out
@@ -192,6 +192,14 @@ def f_outlier_detect_types(spark, folder):
     return rounded(outliers.detect_outliers(lines, lines.columns), 4)
 
 
+@query
+def a_whole_profile(spark, folder):
+    """Nulls, moments, quartiles, fences and outliers of all columns in two readings."""
+    events = table(spark, folder, "events").select(F.expr("CASE WHEN event_id % 9 <> 0 THEN value END").alias("value"), F.col("user_id"))
+    lines = summary.whole_profile(table(spark, folder, "lineitem"), LINE_NUMBERS)
+    return rounded(lines.unionByName(summary.whole_profile(events)))
+
+
 @query
 def a_distribution_stats(spark, folder):
     return rounded(profile.distribution_stats(table(spark, folder, "events"), "value"))
