@@ -405,6 +405,18 @@ ORACLES["a_whole_profile"] = union(
     [whole_profile("lineitem", c, "float64") for c in LINE_NUMBERS]
     + [whole_profile("events", "value", "float64", "CASE WHEN event_id % 9 <> 0 THEN value END"), whole_profile("events", "user_id", "int64")]
 )
+ORACLES["a_stored_moments"] = union(
+    [
+        f"""SELECT '{c}' AS column_name, count(*) AS rows, count({c}) AS n, round(min({c})::DOUBLE, 6) AS min, round(max({c})::DOUBLE, 6) AS max,
+  round(avg({c}), 6) AS mean, round(stddev_samp({c}), 6) AS std FROM orders""" for c in ("o_totalprice", "o_custkey")
+    ]
+    + ["SELECT 'o_orderstatus', count(*), count(o_orderstatus), NULL, NULL, NULL, NULL FROM orders"]
+)
+ORACLES["a_stored_quantiles"] = """SELECT p, count(*) AS n, true AS within
+FROM orders, (VALUES (0.01::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE)) t(p) GROUP BY p"""
+ORACLES["a_stored_distinct"] = union(
+    f"SELECT '{c}' AS column_name, count({c}) AS n, count(DISTINCT {c}) AS exact, true AS within FROM orders" for c in ("o_totalprice", "o_custkey", "o_orderstatus")
+)
 ORACLES["m_class_weights"] = """WITH n AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)
 SELECT o_orderpriority, n, round(sum(n) OVER () / (count(*) OVER () * n), 6) AS weight FROM n"""
 _classes = f"""WITH {GUESSES}, k AS (SELECT DISTINCT label AS class FROM guesses UNION SELECT DISTINCT prediction FROM guesses),

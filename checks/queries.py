@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from riskloom.functions import columns as C
 from riskloom.operators import (
-    encode, evaluate, forest, impute, models, outliers, profile, ranking, relation, smote, split, summary, transform,
+    encode, evaluate, forest, impute, models, outliers, profile, ranking, relation, smote, split, stored, summary, transform,
 )
 from riskloom.plans import feature_selection, presets, training
 from riskloom.session import fresh_path, write_out
@@ -200,6 +200,43 @@ def a_whole_profile(spark, folder):
     return rounded(lines.unionByName(summary.whole_profile(events)))
 
 
+def stored_orders(spark: SparkSession, folder: str) -> DataFrame:
+    """Statistics of orders, kept by priority; one priority comes later and one is loaded twice."""
+    orders, path = table(spark, folder, "orders").select("o_totalprice", "o_custkey", "o_orderstatus", "o_orderpriority"), fresh_path(spark, "stored")
+    late = F.col("o_orderpriority") == "1-URGENT"
+    stored.store_parts(orders.where(~late), path, "o_orderpriority")
+    for _ in range(2):
+        stored.store_part(orders.where(late).drop("o_orderpriority"), path, "1-URGENT")
+    return stored.stored(spark, path)
+
+
+@query
+def a_stored_moments(spark, folder):
+    """Exact statistics merged from the parts of a store."""
+    return rounded(stored.merged(stored_orders(spark, folder)).drop("quantiles", "distinct"))
+
+
+@query
+def a_stored_quantiles(spark, folder):
+    """Whether each quantile of the store has a true rank within the stated error."""
+    found = stored.approximate_quantiles(stored_orders(spark, folder).where("column_name = 'o_totalprice'"), [0.01, 0.25, 0.5, 0.9])
+    ranks = table(spark, folder, "orders").join(F.broadcast(found), F.lit(True)).groupBy("p", "n").agg(
+        F.count_if(F.col("o_totalprice") < F.col("value")).alias("below"), F.count_if(F.col("o_totalprice") <= F.col("value")).alias("upto")
+    )
+    error = stored.rank_error(stored.QUANTILE_K)
+    fits = (F.col("below") / F.col("n") <= F.col("p") + error) & (F.col("upto") / F.col("n") >= F.col("p") - error)
+    return ranks.select("p", "n", fits.alias("within"))
+
+
+@query
+def a_stored_distinct(spark, folder):
+    """Whether each number of distinct values of the store is within the stated error."""
+    found = stored.approximate_distinct(stored_orders(spark, folder))
+    exact = table(spark, folder, "orders").agg(*[F.countDistinct(c).alias(c) for c in ("o_totalprice", "o_custkey", "o_orderstatus")])
+    exact = exact.unpivot([], ["o_totalprice", "o_custkey", "o_orderstatus"], "column_name", "exact")
+    return found.join(exact, "column_name").select("column_name", "n", "exact", F.col("exact").between(F.col("low"), F.col("high")).alias("within"))
+
+
 @query
 def a_distribution_stats(spark, folder):
     return rounded(profile.distribution_stats(table(spark, folder, "events"), "value"))
