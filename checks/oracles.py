@@ -373,6 +373,7 @@ ORACLES["m_predict"] = f"""SELECT p_partkey AS id, model,
   CASE WHEN p_size <= 15 THEN 'Low' WHEN p_size <= 30 THEN 'Medium' ELSE 'High' END AS predicted FROM part, {_LONG}"""
 ORACLES["m_evaluate_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS precision,
   CAST(1 AS DOUBLE) AS recall, CAST(1 AS DOUBLE) AS f1, CAST(NULL AS VARCHAR) AS error FROM {_LONG}"""
+ORACLES["m_categories_ruled"] = ORACLES["m_evaluate_ruled"]
 ORACLES["m_cross_validate_ruled"] = f"""SELECT model, CAST(1 AS DOUBLE) AS mean_accuracy, CAST(0 AS DOUBLE) AS std_accuracy,
   CAST(1 AS DOUBLE) AS mean_f1, CAST(0 AS DOUBLE) AS std_f1, CAST(NULL AS VARCHAR) AS error FROM {_SHORT}"""
 ORACLES["m_best_model_ruled"] = """SELECT 'Logistic Regression' AS model, CAST(1 AS DOUBLE) AS accuracy, CAST(1 AS DOUBLE) AS precision,

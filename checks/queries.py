@@ -661,6 +661,15 @@ def m_train_smote_ruled(spark, folder):
     return training.train_interactive(ruled_parts(spark, folder).where(rare), "Risk_Type", "p_partkey", ["worth", "other"], settings=SMALL_MODELS)
 
 
+@query
+def m_categories_ruled(spark, folder):
+    """Models on a one-hot text column that gives the class away."""
+    rule = F.expr("CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'a' ELSE 'b' END").alias("y")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_orderpriority", rule)
+    settings = replace(SMALL_MODELS, rounds=20, balanced=False)
+    return training.train_and_evaluate(orders, "y", "o_orderkey", categories=["o_orderpriority"], settings=settings).scores
+
+
 @query
 def m_predict(spark, folder):
     """Every part's class from each model, saved and read back."""

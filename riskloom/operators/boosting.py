@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
@@ -34,19 +34,22 @@ _STATE = "n bigint, bins binary, label binary, fold binary, scores binary"
 @dataclass
 class Boosted:
     """A fitted model. Trees are complete and stored in heap order; a node that isn't split
-    has feature -1 and sends every row to its left. ``leaf`` includes the learning rate."""
+    has feature -1 and sends every row to its left. ``leaf`` includes the learning rate.
+    ``one_hot`` has the number of codes of each column that stands for as many 0/1 columns, and
+    0 for numbers; a node on such a column sends one code to its left."""
 
     classes: int
     start: list[float]
     feature: list[list[list[int]]]
     cut: list[list[list[float]]]
     leaf: list[list[list[float]]]
+    one_hot: list[int] = field(default_factory=list)
 
     def scores(self, values: np.ndarray) -> np.ndarray:
         out = np.tile(np.array(self.start), (len(values), 1))
         for features, cuts, leaves in zip(self.feature, self.cut, self.leaf):
             for s in range(out.shape[1]):
-                node = _leaf_of(values, np.array(features[s]), np.array(cuts[s]))
+                node = _leaf_of(values, np.array(features[s]), np.array(cuts[s]), one_hot=self.one_hot)
                 out[:, s] += np.array(leaves[s])[node]
         return out
 
@@ -57,13 +60,15 @@ class Boosted:
         return self.probabilities(values).argmax(axis=1) if len(values) else np.empty(0, int)
 
 
-def _leaf_of(values: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int | None = None) -> np.ndarray:
+def _leaf_of(values: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int | None = None, one_hot: Sequence[int] = ()) -> np.ndarray:
     """Where each row ends among the nodes ``levels`` below the root (all levels by default)."""
     levels = (len(feature) + 1).bit_length() - 1 if levels is None else levels
-    node, row = np.zeros(len(values), np.int64), np.arange(len(values))
+    node, row, coded = np.zeros(len(values), np.int64), np.arange(len(values)), np.array(one_hot or [0]) > 0
     for _ in range(levels):
         f = feature[node]
-        right = (f >= 0) & ~(values[row, np.maximum(f, 0)] <= cut[node])
+        value, at = values[row, np.maximum(f, 0)], cut[node]
+        left = np.where(coded[np.maximum(f, 0)], value == at, value <= at) if coded.any() else value <= at
+        right = (f >= 0) & ~left
         node = 2 * node + 1 + right
     return node - (2**levels - 1)
 
@@ -84,38 +89,72 @@ def _residuals(scores: np.ndarray, label: np.ndarray, classes: int) -> np.ndarra
     return (label[:, None] == np.arange(classes)) - p
 
 
-def best_splits(hist: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray] | None]:
-    """Per node of (node, feature, bin, [sum, curvature, count]): (feature, bin, left, right) of the
-    split that lowers the squared error most, the first of equals; None where none does."""
+@dataclass(frozen=True)
+class _Cells:
+    """The cells of a node's histogram: the bins of all columns, one column after another. The
+    last bin of a column can't be split off: of numbers it is all that is left, of codes it
+    is the rows without one."""
+
+    starts: np.ndarray
+    column: np.ndarray
+    coded: np.ndarray
+    last: np.ndarray
+
+    @staticmethod
+    def of(bins: Sequence[int], one_hot: Sequence[int]) -> _Cells:
+        starts = np.concatenate([[0], np.cumsum(bins)]).astype(np.int64)
+        column = np.repeat(np.arange(len(bins)), bins)
+        last = np.zeros(len(column), bool)
+        last[starts[1:] - 1] = True
+        return _Cells(starts, column, np.array(one_hot)[column] > 0, last)
+
+
+def best_splits(hist: np.ndarray, cells: _Cells) -> list[tuple[int, int, np.ndarray, np.ndarray] | None]:
+    """Per node of (node, cell, [sum, curvature, count]): (column, bin, left, right) of the split
+    that lowers the squared error most, the first of (nearly) equals; None where none does."""
     out = []
     for node in hist:
-        left = np.cumsum(node, axis=1)[:, :-1]
-        whole = node[0].sum(axis=0)
+        whole = node[cells.starts[0] : cells.starts[1]].sum(axis=0)
+        run = np.cumsum(node, axis=0)
+        before = np.concatenate([np.zeros((1, 3)), run])[cells.starts[:-1]]
+        left = np.where(cells.coded[:, None], node, run - before[cells.column])
         right = whole - left
         with np.errstate(divide="ignore", invalid="ignore"):
-            gain = left[..., 0] ** 2 / left[..., 2] + right[..., 0] ** 2 / right[..., 2] - whole[0] ** 2 / whole[2]
-        gain = np.where((left[..., 2] > 0) & (right[..., 2] > 0), gain, -np.inf)
+            gain = left[:, 0] ** 2 / left[:, 2] + right[:, 0] ** 2 / right[:, 2] - whole[0] ** 2 / whole[2]
+        gain = np.where((left[:, 2] > 0) & (right[:, 2] > 0) & ~cells.last, gain, -np.inf)
         if not gain.size or not gain.max() > 1e-12 * max(1.0, whole[2]):
             out.append(None)
             continue
-        f, b = np.unravel_index(int(gain.argmax()), gain.shape)
-        out.append((int(f), int(b), left[f, b], right[f, b]))
+        k = int(gain.astype(np.float32).argmax())  # sums in another order don't change the choice
+        f = int(cells.column[k])
+        out.append((f, int(k - cells.starts[f]), left[k], right[k]))
     return out
 
 
 def fit_boosting(
     df: DataFrame, columns: Sequence[str], classes: int, rounds: int, rate: float, depth: int, max_bins: int, folds: int = 0,
-    cuts: Sequence[np.ndarray] | None = None,
+    cuts: Sequence[np.ndarray] | None = None, one_hot: Sequence[int] | None = None,
 ) -> list[Boosted]:
     """Models on the number ``columns`` and ``label`` (0, 1, ..); with ``folds`` one for each
-    ``fold``, fitted to all other folds. ``cuts`` are the bins' thresholds, if already known."""
-    with scratch(df.sparkSession):
-        cuts = thresholds(df, columns, max_bins) if cuts is None else cuts
-        return _fitted(df, list(columns), classes, rounds, rate, depth, cuts, folds)
+    ``fold``, fitted to all other folds. ``cuts`` are the bins' thresholds, if already known.
 
-
-def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boosted]:
-    fits, width, bins = max(1, folds), len(columns), max((len(c) for c in cuts), default=0) + 1
+    A column with a number of codes in ``one_hot`` holds codes from 0; any other value, as
+    null, is no code. It is split as the 0/1 columns that it stands for would be.
+    """
+    columns, one_hot = list(columns), list(one_hot or [0] * len(columns))
+    with scratch(df.sparkSession):
+        if cuts is None:
+            numbers = [c for c, n in zip(columns, one_hot) if not n]
+            found = dict(zip(numbers, thresholds(df, numbers, max_bins) if numbers else []))
+            cuts = [found.get(c, np.empty(0)) for c in columns]
+        return _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds)
+
+
+def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) -> list[Boosted]:
+    fits, width = max(1, folds), len(columns)
+    sizes_of = [n + 1 if n else len(c) + 1 for n, c in zip(one_hot, cuts)]
+    cells, total = _Cells.of(sizes_of, one_hot), sum(sizes_of)
+    kind = np.uint16 if max(sizes_of) < 1 << 16 else np.uint32
     outputs = 1 if classes == 2 else classes
     rows = df if folds else df.withColumn("fold", F.lit(-1))
     sizes = held_out(fold_sizes(rows, classes) if folds else _class_sizes(rows, classes), folds)
@@ -124,11 +163,19 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
     # Where each fit's trees of this round stand; bin numbers in place of values.
     inner = 2**depth - 1
 
+    def bins_of(values: np.ndarray) -> np.ndarray:
+        out = binned(values, cuts).astype(kind)
+        for j, n in enumerate(one_hot):
+            if n:
+                known = (values[:, j] >= 0) & (values[:, j] < n)
+                out[:, j] = np.where(known, values[:, j], n)
+        return out
+
     def pack(batch: pa.RecordBatch) -> dict:
         n = batch.num_rows
         scores = np.repeat(start[:, None, :], n, axis=1)
         return {
-            "n": n, "bins": binned(matrix(batch, columns), cuts), "scores": scores,
+            "n": n, "bins": bins_of(matrix(batch, columns)), "scores": scores,
             "label": batch.column("label").to_numpy(zero_copy_only=False).astype(np.int32),
             "fold": batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int32),
         }
@@ -136,11 +183,11 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
     state = blocks(rows.select(*[quoted(c) for c in columns], "label", "fold"), _STATE, pack).persist(StorageLevel.MEMORY_AND_DISK)
     tasks = state.rdd.getNumPartitions()
     before = None
-    models = [Boosted(classes, s.tolist(), [], [], []) for s in start]
+    models = [Boosted(classes, s.tolist(), [], [], [], one_hot) for s in start]
 
     def opened(row: dict) -> tuple[np.ndarray, ...]:
         return (
-            np.frombuffer(row["bins"], np.uint16).reshape(row["n"], width), np.frombuffer(row["label"], np.int32),
+            np.frombuffer(row["bins"], kind).reshape(row["n"], width), np.frombuffer(row["label"], np.int32),
             np.frombuffer(row["fold"], np.int32), np.frombuffer(row["scores"]).reshape(fits, row["n"], outputs),
         )
 
@@ -152,14 +199,15 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
                 part, residual = values[inside], _residuals(scores[k][inside], label[inside], classes)
                 for s in range(outputs):
                     if (k, s) not in totals:
-                        totals[k, s] = np.zeros((2**level, width, bins, 3))
+                        totals[k, s] = np.zeros((2**level, total, 3))
                     r = residual[:, s]
                     weights = (r, np.abs(r) * (1 - np.abs(r)), None)
-                    node = _leaf_of(part, feature[k, s], cut[k, s], level) * bins
+                    node = _leaf_of(part, feature[k, s], cut[k, s], level, one_hot)
                     for j in range(width):
-                        at = node + part[:, j]
+                        at = node * sizes_of[j] + part[:, j]
+                        mine = totals[k, s][:, cells.starts[j] : cells.starts[j + 1]]
                         for w, weight in enumerate(weights):
-                            totals[k, s][:, j, :, w] += np.bincount(at, weight, 2**level * bins).reshape(-1, bins)
+                            mine[:, :, w] += np.bincount(at, weight, 2**level * sizes_of[j]).reshape(-1, sizes_of[j])
 
         return add
 
@@ -167,7 +215,7 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
         feature, cut = np.full((fits, outputs, inner), -1), np.zeros((fits, outputs, inner))
         values = np.zeros((fits, outputs, 2 * inner + 1, 3))
         for level in range(depth):
-            found = summed(state, tasks, histograms(level, feature, cut), (2**level, width, bins, 3), fits * outputs)
+            found = summed(state, tasks, histograms(level, feature, cut), (2**level, total, 3), fits * outputs)
             if not found:
                 break
             if before is not None:
@@ -175,8 +223,8 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
                 before = None
             for (k, s), hist in found.items():
                 if not level:
-                    values[k, s, 0] = hist[0, 0].sum(axis=0)
-                for i, split in enumerate(best_splits(hist)):
+                    values[k, s, 0] = hist[0, : cells.starts[1]].sum(axis=0)
+                for i, split in enumerate(best_splits(hist, cells)):
                     node = 2**level - 1 + i
                     if split:
                         feature[k, s, node], cut[k, s, node] = split[:2]
@@ -190,7 +238,7 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
             model.feature.append(feature[k].tolist())
             model.leaf.append(leaf[k].tolist())
             model.cut.append(
-                [[float(cuts[f][int(c)]) if f >= 0 else 0.0 for f, c in zip(feature[k, s].tolist(), cut[k, s].tolist())] for s in range(outputs)]
+                [[0.0 if f < 0 else float(c) if one_hot[f] else float(cuts[f][int(c)]) for f, c in zip(feature[k, s].tolist(), cut[k, s].tolist())] for s in range(outputs)]
             )
         if t == rounds - 1:
             break
@@ -199,11 +247,11 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, folds) -> list[Boos
             for batch in batches:
                 for at in range(batch.num_rows):
                     row = batch.slice(at, 1).to_pylist()[0]
-                    bins_of, _, _, scores = opened(row)
+                    part, _, _, scores = opened(row)
                     scores = scores.copy()
                     for k in range(fits):
                         for s in range(outputs):
-                            scores[k, :, s] += leaf[k, s][_leaf_of(bins_of, feature[k, s], cut[k, s])]
+                            scores[k, :, s] += leaf[k, s][_leaf_of(part, feature[k, s], cut[k, s], one_hot=one_hot)]
                     yield pa.RecordBatch.from_pylist([row | {"scores": scores.tobytes()}], batch.schema)
 
         following = state.mapInArrow(moved, _STATE)
@@ -244,21 +292,24 @@ class _Settings(HasInputCols, HasLabelCol, HasMaxIter, HasStepSize):
     maxDepth = Param(Params._dummy(), "maxDepth", "levels of a tree", TypeConverters.toInt)
     maxBins = Param(Params._dummy(), "maxBins", "bins of a column", TypeConverters.toInt)
     classes = Param(Params._dummy(), "classes", "number of labels", TypeConverters.toInt)
+    oneHot = Param(Params._dummy(), "oneHot", "codes of each column, 0 for numbers", TypeConverters.toListInt)
 
 
 class JointBoosting(Estimator, _Settings, DefaultParamsReadable, DefaultParamsWritable):
     """Boosting of all classes at once, as a stage of a pipeline."""
 
     @keyword_only
-    def __init__(self, *, inputCols=None, labelCol="label", classes=2, maxIter=50, stepSize=0.1, maxDepth=3, maxBins=32):
+    def __init__(self, *, inputCols=None, labelCol="label", classes=2, maxIter=50, stepSize=0.1, maxDepth=3, maxBins=32, oneHot=None):
         super().__init__()
-        self._setDefault(labelCol="label", classes=2, maxIter=50, stepSize=0.1, maxDepth=3, maxBins=32)
+        self._setDefault(labelCol="label", oneHot=[], classes=2, maxIter=50, stepSize=0.1, maxDepth=3, maxBins=32)
         self._set(**{k: v for k, v in self._input_kwargs.items() if v is not None})
 
     def _fit(self, dataset: DataFrame) -> "JointBoostingModel":
         get = self.getOrDefault
         rows = dataset.withColumn("label", F.col(get("labelCol")))
-        made = fit_boosting(rows, get("inputCols"), get("classes"), get("maxIter"), get("stepSize"), get("maxDepth"), get("maxBins"))[0]
+        made = fit_boosting(
+            rows, get("inputCols"), get("classes"), get("maxIter"), get("stepSize"), get("maxDepth"), get("maxBins"), one_hot=get("oneHot") or None
+        )[0]
         return JointBoostingModel(inputCols=get("inputCols"), fitted=json.dumps(made.__dict__))
 
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.ml import Transformer
+from pyspark.ml.feature import OneHotEncoder, VectorAssembler
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import CATEGORICAL, nan_to_null, present, quoted, string_columns, without_identifiers
 from ..session import write_out
@@ -115,6 +117,28 @@ def one_hot_sparse(df: DataFrame, columns: Sequence[str] | None = None) -> tuple
     return df, reduce(DataFrame.unionByName, layouts)
 
 
+def sparse_codes(df: DataFrame, layout: DataFrame) -> tuple[DataFrame, dict[str, int]]:
+    """The table of ``one_hot_sparse`` with ``{column}_code`` in place of each ``{column}_at``,
+    counted from 0 within its column (null for a null), and the number of codes a column."""
+    found = layout.groupBy("column_name").agg(F.min("at").alias("start"), F.count("*").alias("size")).collect()
+    sizes = {r["column_name"]: (r["start"], r["size"]) for r in sorted(found, key=lambda r: r["start"])}
+    codes = {f"{c}_code": quoted(f"{c}_at") - F.lit(start) for c, (start, _) in sizes.items()}
+    kept = [quoted(c) for c in df.columns if c not in {f"{n}_at" for n in sizes}]
+    return df.select(*kept, *[code.alias(name) for name, code in codes.items()]), {f"{c}_code": size for c, (_, size) in sizes.items()}
+
+
+def sparse_stages(spark: SparkSession, numbers: Sequence[str], sizes: dict[str, int], output: str) -> list[Transformer]:
+    """Pipeline stages that make a vector of number columns and of the 0/1 columns that codes
+    stand for, held as sparse vectors. A code that is its column's size or above is none."""
+    if not sizes:
+        return [VectorAssembler(inputCols=list(numbers), outputCol=output)]
+    vectors = [f"_{c}_vector" for c in sizes]
+    # Fitted to the largest codes alone: what it learns are the sizes.
+    largest = spark.createDataFrame([tuple(float(n - 1) for n in sizes.values())], ", ".join(f"`{c}` double" for c in sizes))
+    encoder = OneHotEncoder(inputCols=list(sizes), outputCols=vectors, dropLast=True, handleInvalid="keep").fit(largest)
+    return [encoder, VectorAssembler(inputCols=[*numbers, *vectors], outputCol=output)]
+
+
 def one_hot_summary(before: DataFrame, after: DataFrame) -> dict:
     """What an encoding has changed: the encoded columns, the new ones, and the new shape."""
     return {

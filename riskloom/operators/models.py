@@ -9,12 +9,11 @@ from multiprocessing.pool import ThreadPool
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import number, numeric_columns, quoted, with_target
 from .boosting import JointBoosting
-from .encode import label_codes, label_encode
+from .encode import label_codes, label_encode, sparse_stages
 from .evaluate import metrics
 from .forest import DeepForest
 from .impute import fit_median
@@ -57,9 +56,14 @@ def feature_names(df: DataFrame, target: str, features: Sequence[str] | None = N
 
 
 def prepare(
-    df: DataFrame, target: str, features: Sequence[str], id_col: str, fill: bool = True, max_classes: int | None = None
+    df: DataFrame, target: str, features: Sequence[str], id_col: str, fill: bool = True, max_classes: int | None = None,
+    codes_of: dict[str, int] | None = None,
 ) -> tuple[DataFrame, list]:
-    """Rows with a target as (id, f0.., label), medians filled, and the class names by label."""
+    """Rows with a target as (id, f0.., label), medians filled, and the class names by label.
+
+    The code columns ``codes_of`` (with their numbers of codes) become c0.., where a missing
+    code is the number of codes.
+    """
     rows = with_target(df, target)
     if fill:
         rows = fit_median(rows, features).apply(rows)
@@ -74,18 +78,21 @@ def prepare(
     out = coded.select(
         quoted(id_col).alias("id"),
         *[number(coded, c).alias(f"f{i}") for i, c in enumerate(features)],
+        *[F.coalesce(quoted(c), F.lit(n)).cast("double").alias(f"c{i}") for i, (c, n) in enumerate((codes_of or {}).items())],
         F.col("_label").cast("double").alias("label"),
     )
     return out, classes
 
 
-def estimators(settings: ModelSettings, features: int, classes: int, rows: int) -> dict[str, Callable[[], Estimator]]:
-    """One pipeline per model over the columns f0.., label and weight."""
-    inputs = [f"f{i}" for i in range(features)]
+def estimators(
+    settings: ModelSettings, features: int, classes: int, rows: int, codes: Sequence[int] = ()
+) -> dict[str, Callable[[], Estimator]]:
+    """One pipeline per model over the columns f0.., c0.. (``codes`` of them each), label and weight."""
+    inputs, coded = [f"f{i}" for i in range(features)], {f"c{i}": n for i, n in enumerate(codes)}
     weighted = {"weightCol": "weight"} if settings.balanced else {}
 
     def piped(classifier: Estimator) -> Estimator:
-        return Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="features"), classifier])
+        return Pipeline(stages=[*sparse_stages(SparkSession.active(), inputs, coded, "features"), classifier])
 
     def logistic() -> Estimator:
         # The penalty of weight 1 against a summed loss, as Spark averages the loss.
@@ -96,6 +103,8 @@ def estimators(settings: ModelSettings, features: int, classes: int, rows: int)
         )
 
     def forest() -> Estimator:
+        if settings.depth is None and coded:
+            raise ValueError("forests without a depth limit take number columns only")
         if settings.depth is None:
             deep = DeepForest(inputCols=inputs, classes=max(classes, 2), numTrees=settings.trees, balanced=settings.balanced, seed=settings.seed)
             return Pipeline(stages=[deep])
@@ -108,8 +117,8 @@ def estimators(settings: ModelSettings, features: int, classes: int, rows: int)
 
     def boosting() -> Estimator:
         joint = JointBoosting(
-            inputCols=inputs, classes=max(classes, 2), maxIter=settings.rounds, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH,
-            maxBins=settings.max_bins,
+            inputCols=[*inputs, *coded], classes=max(classes, 2), maxIter=settings.rounds, stepSize=BOOSTING_RATE, maxDepth=BOOSTING_DEPTH,
+            maxBins=settings.max_bins, oneHot=[0] * features + list(codes),
         )
         return Pipeline(stages=[joint])
 
@@ -133,16 +142,16 @@ def side_by_side(spark, jobs: Sequence[Callable], threads: int) -> list:
 
 
 def fit_all(
-    train: DataFrame, features: int, classes: int, settings: ModelSettings, threads: int = 3
+    train: DataFrame, features: int, classes: int, settings: ModelSettings, threads: int = 3, codes: Sequence[int] = ()
 ) -> dict[str, PipelineModel | Exception]:
     """Fit every model on the training rows; a model that fails gives its exception."""
     rows = train.count()
     # Synthetic rows have no id; their values tell them apart.
-    train = spread(train, rows, ["id", *[f"f{i}" for i in range(features)]])
+    train = spread(train, rows, ["id", *[f"f{i}" for i in range(features)], *[f"c{i}" for i in range(len(codes))]])
     if settings.balanced:
         train = with_class_weight(train, "label")
     train = hold(train)
-    builders = estimators(settings, features, classes, rows)
+    builders = estimators(settings, features, classes, rows, codes)
 
     def attempt(build: Callable[[], Estimator]) -> PipelineModel | Exception:
         try:

@@ -10,7 +10,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import TARGETS, numeric_columns, present, quoted, string_columns
-from ..operators.encode import label_codes_of, label_encode
+from ..operators.encode import label_codes_of, label_encode, one_hot_sparse, sparse_codes
 from ..operators.boosting import fit_boosting, scored
 from ..operators.evaluate import classification_report, metrics
 from ..operators.impute import fit_mean, fit_median
@@ -51,22 +51,29 @@ def train_and_evaluate(
     fit_on: str = "all",
     oversample: bool = False,
     settings: ModelSettings = DETAILED,
+    categories: Sequence[str] = (),
 ) -> Evaluation:
     """Fill medians, split at random, optionally oversample the training part, fit and score.
 
     Medians come from the whole table by default; ``fit_on="train"`` takes them from the
     training part alone, so that nothing of the test rows reaches the models. If the training
     part can't be oversampled, it is used as it is and ``info["oversampling"]`` says why.
+    Text columns in ``categories`` are one-hot encoded, whatever the number of their values.
     """
     names = feature_names(df, target, features, id_col)
-    if not names:
+    if not names and not categories:
         raise ValueError("select at least one numeric feature")
+    if categories and oversample:
+        raise ValueError("points between categories can't be made: oversampling takes numbers only")
     with scratch(df.sparkSession):
-        return _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settings)
+        return _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settings, list(categories))
 
 
-def _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settings) -> Evaluation:
-    rows, classes = prepare(df, target, names, id_col, fit_on == "all", settings.max_classes)
+def _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settings, categories) -> Evaluation:
+    codes_of: dict[str, int] = {}
+    if categories:
+        df, codes_of = sparse_codes(*one_hot_sparse(df, categories))
+    rows, classes = prepare(df, target, names, id_col, fit_on == "all", settings.max_classes, codes_of)
     columns = [f"f{i}" for i in range(len(names))]
     train, test = parts(random_split(write_out(rows, "prepared"), "id", test_share))
     if fit_on == "train":
@@ -78,7 +85,7 @@ def _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settin
             train = write_out(smote(train, columns, "label", "id"), "smote")
         except Exception as problem:  # reported, the run goes on
             shapes["oversampling"] = str(problem)[:500]
-    fitted = fit_all(train, len(names), len(classes), settings)
+    fitted = fit_all(train, len(names), len(classes), settings, codes=list(codes_of.values()))
     info = {"target": target, "classes": classes, **shapes}
     return Evaluation(score_all(fitted, test), fitted, info)
 
