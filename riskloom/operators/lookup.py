@@ -6,6 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -32,17 +33,20 @@ def _varies(kind: T.DataType) -> bool:
 
 
 def _pinned(table: DataFrame, limit: int | None, max_bytes: int) -> tuple[DataFrame | None, DataFrame]:
-    """``table`` as a local relation if it is small, and ``table``, written out if it was measured."""
+    """``table`` as a local relation if it is small, and ``table``, written out if it was measured and isn't."""
     limit = PIN_ROWS if limit is None else limit
-    if _varies(table.schema):
-        table = write_out(table, "measured")
-        rows, size = table.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
+    if not _varies(table.schema):
+        head = table.limit(limit + 1).toArrow()
+        return (None, table) if head.num_rows > limit else (table.sparkSession.createDataFrame(head, table.schema), table)
+    # Worked out once: the sum and the rows come from the same blocks, and only what is too large is written.
+    held = table.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        rows, size = held.agg(F.count("*"), F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()
         if rows > limit or (size or 0) > max_bytes:
-            return None, table
-    head = table.limit(limit + 1).toArrow()
-    if head.num_rows > limit:
-        return None, table
-    return table.sparkSession.createDataFrame(head, table.schema), table
+            return None, write_out(held, "measured")
+        return table.sparkSession.createDataFrame(held.toArrow(), table.schema), table
+    finally:
+        held.unpersist()
 
 
 def pin(table: DataFrame, limit: int | None = None, max_bytes: int = PIN_BYTES) -> DataFrame | None:

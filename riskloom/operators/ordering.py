@@ -12,7 +12,13 @@ from .lookup import attach
 
 WINDOW_ROWS = 1 << 20
 SPREAD_ROWS = 20_000  # rows of an iterative fit worth a task of their own
-SPREAD_TASKS = 4_096
+SPREAD_TASKS = 4_096  # from this many on, a task takes more rows,
+SPREAD_MOST = 2_000_000  # up to so many
+
+
+def fit_tasks(rows: int, per_task: int = SPREAD_ROWS) -> int:
+    """Tasks for the rows of a fit: as many as the rows ask for, whatever the cluster."""
+    return max(1, min(rows // per_task, SPREAD_TASKS), rows // SPREAD_MOST)
 
 
 def spread(df: DataFrame, rows: int, order: Sequence[str], per_task: int = SPREAD_ROWS) -> DataFrame:
@@ -21,8 +27,7 @@ def spread(df: DataFrame, rows: int, order: Sequence[str], per_task: int = SPREA
     The number of tasks follows from the number of rows alone and each part is sorted, so a
     seeded fit sees the same rows in the same order on any cluster.
     """
-    wanted = min(max(1, rows // per_task), SPREAD_TASKS)
-    return df.repartition(wanted, *order).sortWithinPartitions(*order)
+    return df.repartition(fit_tasks(rows, per_task), *order).sortWithinPartitions(*order)
 
 
 def running_total(

@@ -13,7 +13,7 @@ from ..functions.scalars import chi2_upper_tail, digamma, unit
 from .encode import label_encode
 from .forest import ForestSettings, fit_forest
 from .lookup import attach
-from .ordering import SPREAD_TASKS, WINDOW_ROWS, rank_rows, running_total, spread
+from .ordering import WINDOW_ROWS, fit_tasks, rank_rows, running_total, spread
 from .profile import long_form
 from .quantiles import quantile_values
 from .transform import column_stats
@@ -220,7 +220,7 @@ def forest_importance(
     n = df.count()
     if id_col is None:
         order = [quoted(c) for c in (target, *features)]
-        rows = rows.repartition(max(1, min(n // FOREST_ROWS, SPREAD_TASKS))).sortWithinPartitions(*order)
+        rows = rows.repartition(fit_tasks(n, FOREST_ROWS)).sortWithinPartitions(*order)
     else:
         rows = spread(rows, n, [quoted(id_col)], FOREST_ROWS)
     rows = label_encode(rows, target, name="_label").withColumn("_label", F.col("_label").cast("double"))

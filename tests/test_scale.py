@@ -106,3 +106,11 @@ def test_sparse_one_hot_and_summary(spark):
 
 def test_class_weights_of_an_empty_table(spark):
     assert split.class_weights(spark.range(0), "id").count() == 0
+
+
+def test_tasks_of_a_fit_follow_the_rows():
+    from riskloom.operators.ordering import fit_tasks
+
+    assert [fit_tasks(n) for n in (0, 10, 40_000, 10**9)] == [1, 1, 2, 4096]
+    assert fit_tasks(10**11) == 50_000  # no task takes more than two million rows
+    assert all(n / fit_tasks(n) <= 2_000_000 * 1.01 or n < 10**9 for n in (10**9, 10**10, 10**12))
