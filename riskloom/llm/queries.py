@@ -18,7 +18,7 @@ from .repeats import remove_repeats
 from .spelling import group_spellings
 from .tokens import count_tokens
 from .urls import judge
-from .warc import audit, warc_records
+from .warc import audit, warc_index
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -157,8 +157,8 @@ def op3_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages: one has lost some records, the other has lost others and damaged some."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     damage = F.when(F.col("page_id") % 97 == 5, F.concat(F.lit("\x00"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    first = warc_records(pages.where("page_id % 83 <> 11"))
-    second = warc_records(pages.where("page_id % 89 <> 7").withColumn("html", damage))
+    first = warc_index(pages.where("page_id % 83 <> 11"))
+    second = warc_index(pages.where("page_id % 89 <> 7").withColumn("html", damage))
     return audit(first, second)
 
 

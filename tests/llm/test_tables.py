@@ -319,6 +319,68 @@ def test_fixity(spark, tmp_path):
     assert sorted((r.uri, bytes(r.body)) for r in read) == sorted((u or "", (h or "").encode()) for _, u, h in rows)
 
 
+def replica(spark, rows):
+    """Records in files one after another: (file, id, bytes)."""
+    at, out = Counter(), []
+    for file, i, record in rows:
+        out.append((i, file, at[file], len(record), bytearray(record)))
+        at[file] += len(record)
+    return spark.createDataFrame(out, "id bigint, file int, offset bigint, length bigint, record binary")
+
+
+def test_fixity_sees_places(spark):
+    """Moved, shortened and swapped records, sparse ids, files that are missing."""
+    rows = [(k // 40, (k * 7919) << 30, b"%d" % k * 700) for k in range(200)]  # ids of 40 bits, ranges of few records
+    first = replica(spark, rows)
+    swapped = list(rows)
+    swapped[3], swapped[90] = (0, rows[90][1], rows[90][2]), (2, rows[3][1], rows[3][2])
+    shorter = [(f, i, r[:-1] if k == 50 else r) for k, (f, i, r) in enumerate(rows)]
+    damaged = [(f, i, b"x" + r[1:] if k == 120 else r) for k, (f, i, r) in enumerate(rows)]
+    ids = [i for _, i, _ in rows]
+
+    def states(other, moved=False):
+        return Counter((r.id, r.state) for r in warc.audit(first, replica(spark, other), moved).collect())
+
+    assert states(damaged, True) == {(ids[120], "changed"): 1}
+    assert states(shorter) == {(ids[50], "changed"): 1}
+    assert states(shorter, True) == {(ids[50], "changed"): 1} | {(i, "moved"): 1 for i in ids[51:80]}
+    assert states(swapped) == {} and {(ids[3], "moved"), (ids[90], "moved")} <= set(states(swapped, True))
+    assert states(rows[:40] + rows[80:]) == {(i, "missing"): 1 for i in ids[40:80]}
+    twice = rows[:10] + [rows[9]] * 3 + rows[10:]
+    found = warc.audit(first, replica(spark, twice)).collect()
+    assert [(r.id, r.state, r.length) for r in found] == [(ids[9], "extra", 3 * len(rows[9][2]))]
+
+
+def test_fixity_reads_only_what_differs(spark):
+    rows = [(k // 500, k, b"%05d" % k * 200) for k in range(4000)]
+    one, two = (warc._leaves(replica(spark, [(f, i, b"!" + r[1:] if bad and i == 777 else r) for f, i, r in rows])) for bad in (False, True))
+    a, b = warc.tree(one, 1), warc.tree(two, 1)
+    assert a[0].count() > 8 * 7 and a[1].count() == 8
+    assert warc._differing(a[0], b[0], ["file", "range"], None, []).count() == 1
+    assert [x.first()[0] for x in (a[-1], b[-1])] == [0, 0] and a[-1].first().hash != b[-1].first().hash
+
+
+def test_odd_warc_files(spark, tmp_path):
+    import gzip
+
+    def record(uri, body, length=None):
+        size = len(body) if length is None else length
+        return b"WARC/1.1\r\nWARC-Target-URI: %s\r\nContent-Length: %s\r\n\r\n%s\r\n\r\n" % (uri, str(size).encode(), body)
+
+    good = [record(b"http://a/", b"one"), record(b"http://\xff/", b"two"), record(b"http://c/", b"")]
+    (tmp_path / "plain.warc").write_bytes(good[0] + b"junk\r\n\r\n" + good[1] + record(b"u", b"x", "many") + good[2] + record(b"v", b"tail", 99))
+    (tmp_path / "zipped.warc.gz").write_bytes(b"".join(gzip.compress(g) for g in good))
+    (tmp_path / "cut.warc.gz").write_bytes(gzip.compress(good[0]) + gzip.compress(good[1])[:-9])
+    (tmp_path / "empty.warc").write_bytes(b"")
+    found = warc.read_warc(spark, str(tmp_path)).collect()
+    by = {n: [r for r in sorted(found, key=lambda r: r.offset) if r.path.endswith(n)] for n in ("plain.warc", "zipped.warc.gz", "cut.warc.gz", "empty.warc")}
+    assert [(r.uri, r.problem) for r in by["plain.warc"]] == [
+        ("http://a/", None), (None, "no record header"), ("http://\ufffd/", None), ("u", "no content length"), ("http://c/", None), ("v", "cut short")
+    ]
+    assert [bytes(r.body) for r in by["zipped.warc.gz"]] == [b"one", b"two", b""] and not any(r.problem for r in by["zipped.warc.gz"])
+    assert by["cut.warc.gz"][0].body == b"one" and by["empty.warc"] == []
+
+
 def test_token_attribution():
     ends = np.array([4, 9, 12])
     got, crossing = tokens.attribute(np.array([2, 3, 1, 2, 4]), ends)  # spans 0-2, 2-5, 5-6, 6-8, 8-12
