@@ -8,7 +8,7 @@
    first that does not fit, documents in a hashed order up to the target.
 3. A (block, pass) is a unit. The number of units of each source is split between the two
    halves of the output shards by an exact multivariate-hypergeometric draw, then each
-   half again, down to single shards. So every shard is a fair sample without replacement
+   half again, down to single shards; many sources are split group by group. So every shard is a fair sample without replacement
    of all units, and source quotas hold exactly.
 4. A shard draws its quota of each source as the next run of that source's permuted units,
    so draws are disjoint. Inside a shard documents stand in a hashed order.
@@ -117,17 +117,40 @@ def _hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) ->
     return F.when(none, F.lit(0)).otherwise(_let(start, choose)).cast("bigint")
 
 
-def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
+#: Sources that one node's row holds; more are split group by group.
+GROUP = 256
+
+
+def split_quotas(quotas: DataFrame, depth: int, seed: int, group: int = GROUP) -> DataFrame:
     """(shard, place, quota): the units of each source (``place``, ``units``) over 2^depth shards.
 
-    A node holds one entry for each source. Its left half gets half of its units, and how
-    many of each source are among them is drawn source by source, each draw from what
-    the earlier ones have left.
+    Every node's left half gets half of its units, and how many of each source are among
+    them is a multivariate hypergeometric draw. It is made in two steps where there are
+    many sources: first for groups of ``group`` sources as a whole, by the same tree (and
+    for groups of groups, where there are very many), then inside each group for what it got.
     """
-    entry = F.struct("place", F.col("units").cast("bigint").alias("units"))
-    nodes = quotas.agg(F.sort_array(F.collect_list(entry)).alias("held")).select(F.lit(0).cast("bigint").alias("node"), "held")
+    groups = quotas.select("place", F.col("units").cast("bigint").alias("units"), F.floor((F.col("place") - 1) / group).alias("group"))
+    whole = write_out(groups.groupBy("group").agg(F.sum("units").alias("units")), "groups")
+    if whole.count() <= 1:
+        return _split(groups, None, depth, seed)
+    outer = split_quotas(whole.select((F.col("group") + 1).alias("place"), "units"), depth, seed + 101, group)
+    outer = write_out(outer.select("shard", (F.col("place") - 1).alias("group"), "quota"), "group-quotas")
+    return _split(groups, outer, depth, seed)
+
+
+def _split(groups: DataFrame, outer: DataFrame | None, depth: int, seed: int) -> DataFrame:
+    """The tree of each group. ``outer`` has the units of each group in each shard; without it
+    there is one group, and a left half gets half."""
+    entry = F.struct("place", "units")
+    nodes = groups.groupBy("group").agg(F.sort_array(F.collect_list(entry)).alias("held")).select("group", F.lit(0).cast("bigint").alias("node"), "held")
     for level in range(depth):
         all_units = F.aggregate("held", F.lit(0).cast("bigint"), lambda a, h: a + h["units"])
+        if outer is None:
+            nodes = nodes.withColumn("goes", F.floor((all_units + F.lit(1)) / 2).cast("bigint"))
+        else:  # what the group's shards below the left half have
+            below = F.floor(F.col("shard") / 2 ** (depth - level - 1)).cast("bigint")
+            lefts = outer.withColumn("below", below).where("below % 2 = 0").groupBy("group", F.floor(F.col("below") / 2).alias("node")).agg(F.sum("quota").alias("goes"))
+            nodes = nodes.join(lefts, ["group", "node"], "left").withColumn("goes", F.coalesce("goes", F.lit(0).cast("bigint")))
 
         def draw(a: Column, h: Column) -> Column:
             u = _uniform(F.lit(seed), F.col("node"), F.lit(level), h["place"])  # noqa: B023  called at once
@@ -143,10 +166,8 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
             return _let(x, keep)
 
         none = F.expr("cast(array() as array<struct<place:bigint,one:bigint,two:bigint>>)")
-        start = F.struct(
-            all_units.alias("rest"), F.floor((all_units + F.lit(1)) / 2).cast("bigint").alias("left"), none.alias("out")
-        )
-        halves = nodes.select("node", F.aggregate("held", start, draw, lambda a: a["out"]).alias("halves"))
+        start = F.struct(all_units.alias("rest"), F.col("goes").alias("left"), none.alias("out"))
+        halves = nodes.select("group", "node", F.aggregate("held", start, draw, lambda a: a["out"]).alias("halves"))
 
         def half(name: str) -> Column:
             kept = F.filter("halves", lambda h: h[name] > 0)
@@ -156,14 +177,28 @@ def split_quotas(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
             F.struct((F.col("node") * 2).alias("node"), half("one").alias("held")),
             F.struct((F.col("node") * 2 + 1).alias("node"), half("two").alias("held")),
         )
-        nodes = halves.select(F.explode(pair).alias("n")).select("n.node", "n.held")
-        if level % 4 == 3:
+        nodes = halves.select("group", F.explode(pair).alias("n")).select("group", "n.node", "n.held").where(F.size("held") > 0)
+        if outer is not None:
+            nodes = write_out(nodes, "split")
+        elif level % 4 == 3:
             nodes = nodes.repartition("node")
     return nodes.select(F.col("node").alias("shard"), F.explode("held").alias("h")).select(
         "shard", F.col("h.place").alias("place"), F.col("h.units").alias("quota")
     )
 
 
+def _told_apart(sized: DataFrame) -> DataFrame:
+    """Rows that repeat an id and a text share a draw; all but the first get one of their own, so
+    that they are dealt like any other rows. Which of them gets which makes no difference."""
+    repeats = write_out(sized.groupBy("draw").agg(F.count("*").alias("n")).where("n > 1").select("draw"), "repeats")
+    if repeats.isEmpty():
+        return sized
+    again = write_out(sized.join(repeats, "draw", "left_semi"), "again")
+    ranked = rank_rows(again, ["draw"], ["size"], "rank", again.count())
+    other = F.when(F.col("rank") > 1, F.xxhash64("draw", "rank")).otherwise(F.col("draw"))
+    return write_out(sized.join(repeats, "draw", "left_anti").unionByName(ranked.withColumn("draw", other).select(sized.columns)), "apart")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), limit: int = 3, block_docs: int = 64, shard_words: int = 1_000_000, seed: int = 20, draw_col: str | None = None) -> DataFrame:
     """(id, source, size, source_size, target, taken, shards, draw), a row for each row of ``docs``.
 
@@ -181,6 +216,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         ),
         "sized",
     )
+    sized = _told_apart(sized)
     by_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col("source")))
     sources = source_targets(by_source, weights, limit)
@@ -216,8 +252,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     total = sources.agg(F.sum("target")).first()[0] or 0
     depth = max(0, math.ceil(math.log2(max(1, total / shard_words))))
     quotas = write_out(split_quotas(units.groupBy("place").agg(F.count("*").alias("units")), depth, seed), "quotas")
-    run = Window.partitionBy("place").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
-    ends = quotas.withColumn("end", F.sum("quota").over(run))
+    ends = running_total(quotas, ["place"], ["shard"], "quota", "end", quotas.count())
     taken_by = ends.select("place", "shard", F.explode(F.sequence(F.col("end") - F.col("quota") + 1, F.col("end"))).alias("rank"))
     ranked = rank_rows(units, ["place"], ["draw", "block", "turn"], "rank", units.count())
     shards = ranked.join(taken_by, ["place", "rank"]).groupBy("place", "block").agg(

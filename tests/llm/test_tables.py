@@ -137,6 +137,37 @@ def test_main_text(spark):
     assert html.extract(spark.createDataFrame([], kind)).collect() == []
 
 
+@pytest.mark.parametrize("group", [256, 5, 2])
+def test_quotas_of_many_sources(spark, group):
+    """Split in groups, and in groups of groups: quotas hold exactly, shards are even and fair."""
+    draw = np.random.default_rng(3)
+    units = {k + 1: int(n) for k, n in enumerate(draw.integers(0, 40, 30))} | {31: 3000}
+    quotas = spark.createDataFrame(list(units.items()), "place bigint, units bigint")
+    rows = mixing.split_quotas(quotas, 4, 9, group).toPandas()
+    assert rows.groupby("place").quota.sum().to_dict() == {k: n for k, n in units.items() if n}
+    shards = rows.groupby("shard").quota.sum()
+    assert len(shards) == 16 and shards.max() - shards.min() <= 2
+    total, hot = sum(units.values()), rows[rows.place == 31].set_index("shard").quota
+    share = units[31] / total
+    spread = (shards.mean() * share * (1 - share)) ** 0.5
+    assert (abs(hot - shards * share) < 5 * spread).all() and hot.std() > 0.2 * spread
+    again = mixing.split_quotas(quotas.repartition(3), 4, 9, group).toPandas()
+    assert sorted(map(tuple, again.values)) == sorted(map(tuple, rows.values))
+
+
+def test_mix_of_repeated_rows(spark):
+    """Hundreds of equal rows are dealt like any others, and reruns agree."""
+    rows = [(7, "one two three", "a")] * 400 + [(None, "x y", "b")] * 300 + [(k, "w " * (k % 9), "c") for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    found = mixing.mix(docs, block_docs=4, shard_words=500)
+    a, b = ([(r.id, r.source, r.size, r.target, r.taken) for r in m.collect()] for m in (found, mixing.mix(docs.repartition(7), block_docs=4, shard_words=500)))
+    assert sorted(a, key=repr) == sorted(b, key=repr) and len(a) == 1000
+    frame = found.toPandas()
+    assert frame.draw.nunique() == 1000
+    for _, part in frame.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= part["size"].max()
+
+
 def labelled_blocks(pages):
     """(features, labels) of pages that are lists of (label, piece)."""
     xs, ys = [], []
