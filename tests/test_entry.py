@@ -6,7 +6,6 @@ import pytest
 import __spark_entry__ as entry_points
 
 SMALL = "/root/testdata/sf0.001"
-SLOW = {"m_evaluate", "m_score_bars", "m_compare_targets", "m_cross_validate", "m_best_model", "m_train_models", "m_train_reports", "m_train_smote"}
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
@@ -31,7 +30,7 @@ def test_names_match():
     assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
 
 
-@pytest.mark.parametrize("name", [n for n in entry_points.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(entry_points.queries()))
 def test_query(spark, engine, name):
     frame = entry_points.queries()[name](spark, SMALL)
     rows = frame.collect()
