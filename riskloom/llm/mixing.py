@@ -177,9 +177,9 @@ def _split(groups: DataFrame, outer: DataFrame | None, depth: int, seed: int) ->
             F.struct((F.col("node") * 2).alias("node"), half("one").alias("held")),
             F.struct((F.col("node") * 2 + 1).alias("node"), half("two").alias("held")),
         )
-        nodes = halves.select("group", F.explode(pair).alias("n")).select("group", "n.node", "n.held").where(F.size("held") > 0)
+        nodes = halves.select("group", F.explode(pair).alias("n")).select("group", "n.node", "n.held")
         if outer is not None:
-            nodes = write_out(nodes, "split")
+            nodes = write_out(nodes.where(F.size("held") > 0), "split")
         elif level % 4 == 3:
             nodes = nodes.repartition("node")
     return nodes.select(F.col("node").alias("shard"), F.explode("held").alias("h")).select(
