@@ -1,12 +1,16 @@
 """Exact nearest neighbours within classes, through metric partitions.
 
-Equal points of a class are one point with its smallest ids. Every point has its distances
-to a few centres; points of the same nearest centre, in the order of that distance, are
-packed into cells of bounded size, whatever share of them one class or centre holds. A cell
-keeps the range of its distances to every centre. By the triangle inequality a cell has
-nothing within reach r of a point whose distance to some centre lies more than r outside
-the cell's range; ranges of two cells rule out the whole pair before any point moves. So
-the number of features plays no part, only how the points lie.
+Equal points of a class are one point with its smallest ids. A tree of median cuts, made from
+a sample, puts points that lie together into one leaf; points in the order of the leaves are
+packed into blocks of bounded size, whatever share of them one class or leaf holds, and a
+block's points into cells of at most ``cell_rows``. Blocks are what moves between tasks, so
+that small cells cost no more rows of a table. A point first searches its own block, which
+gives it a reach; it is then sent to the blocks alone that may have something within it.
+
+By the triangle inequality a cell or block has nothing within reach r of a point whose
+distance to some centre lies more than r outside the range of its points' distances to that
+centre; ranges of two blocks rule out the whole pair before any point moves. So the number
+of features plays no part, only how the points lie.
 """
 
 from __future__ import annotations
@@ -20,9 +24,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..session import write_out
 
 CENTRES = 32
-SAMPLE_ROWS = 4_000  # points the centres are chosen from; the result doesn't depend on them
-CELLS_A_TASK = 16
-LANES = 64  # a class's cells meet in as many joins of their own
+SAMPLE_ROWS = 4_000  # points the tree and centres are made from, and
+SAMPLE_SHARE, SAMPLE_MOST = 200, 50_000  # one of so many of large tables; the result doesn't depend on them
+LEAF_SAMPLES = 8
+BLOCK_ROWS = 2_000  # points of a block of small cells
+BLOCKS_A_TASK = 2
+ASKED_ROWS = 256  # points compared at once
+OTHERS_A_ROW = 2_000  # blocks that one row lists
+LANES = 64  # a class's blocks meet in as many joins of their own
 SLACK = 1e-9  # of a distance: more than rounding can amount to
 
 
@@ -57,153 +66,250 @@ def distinct_points(points: DataFrame, most: int) -> DataFrame:
     return lowest.groupBy("_c", "_v").agg(F.sort_array(F.collect_list("_id")).alias("ids"))
 
 
-def cells_of(distinct: DataFrame, sizes: DataFrame, width: int, cell_rows: int) -> DataFrame:
-    """(cell, _c, n, ids, v, dist, lo, hi): points packed by nearest centre and distance.
-
-    ``sizes`` has the number of points ``_n`` a class; one that fits a cell isn't divided.
-    """
-    sample = distinct.select("_v").orderBy(F.xxhash64("_v")).limit(SAMPLE_ROWS).collect()
-    centres = _centres(np.array([r["_v"] for r in sample], float).reshape(len(sample), width))
-    count = len(centres)
+class _Tree:
+    """Median cuts of the widest feature, in heap order, all leaves at the same depth."""
+
+    def __init__(self, sample: np.ndarray):
+        self.depth = max(0, (len(sample) // LEAF_SAMPLES).bit_length() - 1)
+        self.feature, self.cut = np.zeros(2**self.depth - 1, np.int64), np.full(2**self.depth - 1, np.inf)
+        parts = {0: sample}
+        for node in range(2**self.depth - 1):
+            mine = parts.pop(node)
+            if len(mine):
+                f = int(np.argmax(mine.max(axis=0) - mine.min(axis=0)))
+                self.feature[node], self.cut[node] = f, np.median(mine[:, f])
+            left = mine[:, self.feature[node]] <= self.cut[node]
+            parts[2 * node + 1], parts[2 * node + 2] = mine[left], mine[~left]
+
+    def leaf(self, values: np.ndarray) -> np.ndarray:
+        node, row = np.zeros(len(values), np.int64), np.arange(len(values))
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (values[row, self.feature[node]] > self.cut[node])
+        return node - (2**self.depth - 1)
+
+
+def _cell_order(values: np.ndarray, most: int) -> tuple[np.ndarray, list[int]]:
+    """The points in an order in which cells of at most ``most`` lie together, and their sizes."""
+    order, sizes, open_ = [], [], [np.arange(len(values))]
+    while open_:
+        mine = open_.pop()
+        if len(mine) <= most:
+            order.append(mine)
+            sizes.append(len(mine))
+            continue
+        part = values[mine]
+        f = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
+        by = np.argsort(part[:, f], kind="stable")
+        open_ += [mine[by[len(by) // 2 :]], mine[by[: len(by) // 2]]]
+    return np.concatenate(order), sizes
+
+
+def _lists(values: pa.Array, sizes) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
+
+
+def blocks_of(distinct: DataFrame, width: int, cell_rows: int) -> tuple[DataFrame, np.ndarray]:
+    """(block, _c, ids, v, cells, lo, hi), the points packed in the order of the tree's leaves with
+    the sizes of their cells, and the centres that ``lo`` and ``hi`` are distances to."""
+    rows = min(SAMPLE_MOST, max(SAMPLE_ROWS, distinct.count() // SAMPLE_SHARE))
+    found = distinct.select("_v").orderBy(F.xxhash64("_v")).limit(rows).toArrow()
+    sample = _matrix(found.column("_v"), width)
+    sample = sample[np.isfinite(sample).all(axis=1)]
+    centres = _centres(sample[:SAMPLE_ROWS]) if len(sample) else np.zeros((1, width))
+    tree, most = _Tree(sample), max(cell_rows, BLOCK_ROWS)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d = np.sqrt(_distances(_matrix(batch.column("_v"), width), centres))
-            own = d.argmin(axis=1).astype(np.int32)
-            dist = pa.ListArray.from_arrays(pa.array(np.arange(len(d) + 1) * count, pa.int32()), pa.array(d.ravel()))
-            extra = [dist, pa.array(own), pa.array(d[np.arange(len(d)), own])]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *extra], [*batch.schema.names, "dist", "own", "ring"])
+            values = _matrix(batch.column("_v"), width)
+            leaf = tree.leaf(values)
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(leaf, pa.int32()), pa.array(np.sqrt(_distances(values, centres[:1])[:, 0]))],
+                [*batch.schema.names, "leaf", "ring"],
+            )
 
     kinds = dict(distinct.dtypes)
-    head = f"_c {kinds['_c']}, _v array<double>, ids {kinds['ids']}"
-    placed = distinct.select("_c", "_v", "ids").mapInArrow(place, f"{head}, dist array<double>, own int, ring double")
-    whole = F.col("_n") <= cell_rows
-    placed = placed.join(sizes.select(F.col("_c").alias("_k"), "_n"), F.col("_c") == F.col("_k")).select(
-        "_c", "_v", "ids", "dist", F.when(whole, -1).otherwise(F.col("own")).alias("own"), F.when(whole, 0.0).otherwise(F.col("ring")).alias("ring")
-    )
-    ordered = placed.repartitionByRange("_c", "own", "ring", F.xxhash64("_v")).sortWithinPartitions("_c", "own", "ring")
+    placed = distinct.select("_c", "_v", "ids").mapInArrow(place, f"_c {kinds['_c']}, _v array<double>, ids {kinds['ids']}, leaf int, ring double")
+    ordered = placed.repartitionByRange("_c", "leaf", "ring", F.xxhash64("_v")).sortWithinPartitions("_c", "leaf", "ring", "_v")
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows, at = 0, None
 
-        def cell() -> pa.RecordBatch:
+        def block() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks()
-            dist = _matrix(t.column("dist"), count)
-            lists = [t.column(c).combine_chunks() for c in ("ids", "_v", "dist")]
-            one = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in lists[:1]]
-            flat = [pa.ListArray.from_arrays(pa.array([0, len(x.flatten())], pa.int32()), x.flatten()) for x in lists[1:]]
-            ends = [pa.array([x.tolist()], pa.list_(pa.float64())) for x in (dist.min(axis=0), dist.max(axis=0))]
+            values = _matrix(t.column("_v"), width)
+            order, sizes = _cell_order(values, cell_rows)
+            ids, v = (t.column(c).combine_chunks().take(pa.array(order)) for c in ("ids", "_v"))
+            dist = np.sqrt(_distances(values, centres))
+            ends = [_lists(pa.array(f.reduce(dist, axis=0)), [len(centres)]) for f in (np.fmin, np.fmax)]
             return pa.RecordBatch.from_arrays(
-                [t.column("_c").combine_chunks().slice(0, 1), pa.array([len(t)], pa.int64()), *one, *flat, *ends], ["_c", "n", "ids", "v", "dist", "lo", "hi"]
+                [t.column("_c").combine_chunks().slice(0, 1), _lists(ids, [len(ids)]), _lists(v.flatten(), [len(v) * width]),
+                 _lists(pa.array(sizes, pa.int32()), [len(sizes)]), *ends], ["_c", "ids", "v", "cells", "lo", "hi"],
             )
 
         for batch in batches:
-            keys = list(zip(batch.column("_c").to_pylist(), batch.column("own").to_pylist()))
             start = 0
-            for k, key in enumerate(keys):
-                if rows and (key != at or rows >= cell_rows):
+            for k, key in enumerate(batch.column("_c").to_pylist()):
+                if rows and (key != at or rows >= most):
                     if k > start:
                         held.append(batch.slice(start, k - start))
-                    yield cell()
+                    yield block()
                     held.clear()
                     rows, start = 0, k
                 rows, at = rows + 1, key
             held.append(batch.slice(start))
         if rows:
-            yield cell()
-
-    kind = f"_c {kinds['_c']}, n bigint, ids array<{kinds['ids']}>, v array<double>, dist array<double>, lo array<double>, hi array<double>"
-    return write_out(ordered.mapInArrow(pack, kind).withColumn("cell", F.monotonically_increasing_id()), "cells")
-
-
-class _Cell:
-    """A cell's points in a task. ``places`` and ``names`` list all ids with their points."""
-
-    def __init__(self, row: dict, width: int):
-        n = row["n"]
-        self.v = np.array(row["v"], float).reshape(n, width)
-        self.dist = np.array(row["dist"], float).reshape(n, -1)
-        self.lo, self.hi = self.dist.min(axis=0), self.dist.max(axis=0)
-        self.names = [x for ids in row["ids"] for x in ids]
-        self.places = np.repeat(np.arange(n), [len(ids) for ids in row["ids"]])
-
-
-class _Nearest:
-    """The first k (distance, id) of every point of a cell, as far as cells were searched."""
-
-    def __init__(self, own: _Cell, k: int):
-        self.own, self.k = own, k
-        self.found: list[list[tuple]] = [[] for _ in own.v]
-        self.reach = np.full(len(own.v), np.inf)
-        self.compared = np.zeros(len(own.v), np.int64)
-
-    def search(self, other: _Cell) -> None:
-        """Compare the points that the other cell could have something for; as near ones count too."""
-        if other is self.own:
-            ask = np.arange(len(self.own.v))
-        else:
-            reach = np.sqrt(self.reach)[:, None] * (1 + SLACK) + SLACK * self.own.dist
-            ask = np.flatnonzero(((self.own.dist - reach <= other.hi) & (self.own.dist + reach >= other.lo)).all(axis=1))
-        for at in range(0, len(ask), 256):
-            part = ask[at : at + 256]
-            d = _distances(self.own.v[part], other.v)
-            self.compared[part] += len(other.v)
-            most = min(self.k, d.shape[1])
-            limit = np.minimum(np.partition(d, most - 1, axis=1)[:, most - 1], self.reach[part])
-            for i, x in enumerate(part.tolist()):
-                near = np.flatnonzero(d[i] <= limit[i])
-                if not len(near):
-                    continue
-                several = np.flatnonzero(np.isin(other.places, near))
-                new = [(float(d[i, other.places[s]]), other.names[s], other.v[other.places[s]]) for s in several.tolist()]
-                self.found[x] = sorted([*self.found[x], *new], key=lambda f: f[:2])[: self.k]
-                if len(self.found[x]) == self.k:
-                    self.reach[x] = self.found[x][-1][0]
-
-
-def _reaches(width: int, k: int):
+            yield block()
+
+    kind = f"_c {kinds['_c']}, ids array<{kinds['ids']}>, v array<double>, cells array<int>, lo array<double>, hi array<double>"
+    return write_out(ordered.mapInArrow(pack, kind).withColumn("block", F.monotonically_increasing_id()), "blocks"), centres
+
+
+class _Block:
+    """A block's points in a task. ``names`` lists all ids, ``ranks`` their order."""
+
+    def __init__(self, row: pa.RecordBatch, width: int, centres: np.ndarray):
+        self.lists = row.column("ids").flatten()
+        self.names, self.kept = self.lists.flatten(), row.column("v").flatten()
+        self.v = self.kept.to_numpy(zero_copy_only=False).reshape(-1, width)
+        self.dist = np.sqrt(_distances(self.v, centres))
+        self.cells = row.column("cells").flatten().to_numpy()
+        starts = np.cumsum(self.cells) - self.cells
+        self.lo, self.hi = np.fmin.reduceat(self.dist, starts), np.fmax.reduceat(self.dist, starts)
+        self.several = np.diff(self.lists.offsets.to_numpy())
+        self.first = np.cumsum(self.several) - self.several
+        names = self.names.to_pylist()
+        self.ranks = np.empty(len(names), np.int64)
+        self.ranks[sorted(range(len(names)), key=names.__getitem__)] = np.arange(len(names))
+
+    def first_reach(self, k: int) -> np.ndarray:
+        """Squared distances within which each point has k ids, from a few points beside it."""
+        out, step = np.full(len(self.v), np.inf), 4 * k
+        for at in range(0, len(self.v), step):
+            part = slice(at, at + step)
+            d = np.repeat(_distances(self.v[part], self.v[part]), self.several[part], axis=1)
+            if d.shape[1] >= k:
+                out[part] = np.partition(d, k - 1, axis=1)[:, k - 1]
+        return np.where(np.isnan(out), np.inf, out)
+
+    def nearest(self, v: np.ndarray, dist: np.ndarray, reach: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(asking point, squared distance, id) of the first k ids within the squared reach, by
+        point, distance and id, and with how many points each was compared."""
+        got, compared = [], np.zeros(len(v), np.int64)
+        for at in range(0, len(v), ASKED_ROWS):
+            part = slice(at, at + ASKED_ROWS)
+            hits = within(dist[part], reach[part], self.lo, self.hi)
+            i, j = np.nonzero(np.repeat(hits, self.cells, axis=1))
+            compared[part] = hits @ self.cells
+            mine, d = v[part], np.zeros(len(i))
+            for f in range(v.shape[1]):
+                d += (mine[i, f] - self.v[j, f]) ** 2
+            near = np.flatnonzero(d <= reach[part][i])
+            i, j, d = i[near], j[near], d[near]
+            several = self.several[j]
+            name = np.repeat(self.first[j] - np.cumsum(several) + several, several) + np.arange(several.sum())
+            i, d = np.repeat(i, several), np.repeat(d, several)
+            order = np.lexsort((self.ranks[name], d, i))
+            i, d, name = i[order], d[order], name[order]
+            leading = np.arange(len(i)) - np.searchsorted(i, i) < k
+            got.append((i[leading] + at, d[leading], name[leading]))
+        return *(np.concatenate(x) for x in zip(*got)), compared
+
+    def entries(self, d: np.ndarray, name: np.ndarray) -> pa.StructArray:
+        """What ``nearest`` found as Arrow structs of d, id and v."""
+        width, place = self.v.shape[1], np.searchsorted(self.first, name, "right") - 1
+        v = _lists(pa.array(self.v[place].ravel()), np.full(len(place), width))
+        return pa.StructArray.from_arrays([pa.array(d), self.names.take(pa.array(name)), v], ["d", "id", "v"])
+
+
+def within(dist: np.ndarray, reach: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """(point, range): whether a range of distances to centres may hold something within the squared reach."""
+    out = np.ones((len(dist), len(lo)), bool)
+    r = np.sqrt(reach)
+    for c in range(dist.shape[1]):
+        spare = r * (1 + SLACK) + SLACK * dist[:, c]
+        out &= ((dist[:, c] - spare)[:, None] <= hi[None, :, c]) & ((dist[:, c] + spare)[:, None] >= lo[None, :, c])
+    return out
+
+
+def _own(width: int, k: int, centres: np.ndarray):
+    """Every point's nearest of its own block."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(batch.num_rows):
-                row = batch.slice(at, 1).to_pylist()[0]
-                near = _Nearest(_Cell(row, width), k)
-                near.search(near.own)
-                yield pa.RecordBatch.from_pylist([{"cell": row["cell"], "reach": float(np.sqrt(near.reach.max()))}])
+                row = batch.slice(at, 1)
+                own = _Block(row, width, centres)
+                n = len(own.v)
+                i, d, name, compared = own.nearest(own.v, own.dist, own.first_reach(k), k)
+                counts = np.bincount(i, minlength=n)
+                reach, full = np.full(n, np.inf), counts >= k
+                reach[full] = d[np.cumsum(counts)[full] - 1]
+                reach[np.isnan(own.dist).any(axis=1)] = 0.0  # near to nothing
+                points = pa.StructArray.from_arrays(
+                    [_lists(own.kept, np.full(n, width)), _lists(own.entries(d, name), counts), pa.array(compared)], ["v", "near", "compared"]
+                )
+                yield pa.RecordBatch.from_arrays(
+                    [row.column("block"), row.column("_c"), _lists(points, [n]), _lists(pa.array(reach), [n]), pa.array([float(np.sqrt(reach.max()))])],
+                    ["block", "_c", "points", "reach", "most"],
+                )
 
     return run
 
 
-def cell_pairs(cells: DataFrame, width: int, k: int) -> DataFrame:
-    """(cell, other, gap): the cells of its class that may hold a neighbour of one of a cell's points."""
-    reach = cells.select("cell", "n", "ids", "v", "dist").mapInArrow(_reaches(width, k), "cell bigint, reach double")
-    left = cells.select("cell", "_c", "lo", "hi").join(reach, "cell").withColumn("lane", F.pmod(F.xxhash64("cell"), F.lit(LANES)))
-    right = cells.select(
-        F.col("cell").alias("other"), F.col("_c").alias("_k"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"),
+def block_pairs(blocks: DataFrame, most: DataFrame) -> DataFrame:
+    """(block, other, olo, ohi): the blocks of its class that may hold a neighbour of one of a block's points."""
+    left = blocks.select("block", "_c", "lo", "hi").join(most, "block").withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(LANES)))
+    right = blocks.select(
+        F.col("block").alias("other"), F.col("_c").alias("_k"), F.col("lo").alias("olo"), F.col("hi").alias("ohi"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(LANES - 1).cast("bigint"))).alias("on"),
     )
-    both = left.join(right, (F.col("_c") == F.col("_k")) & (F.col("lane") == F.col("on"))).where("cell <> other")
+    both = left.join(right, (F.col("_c") == F.col("_k")) & (F.col("lane") == F.col("on"))).where("block <> other")
     apart = F.greatest(
         F.array_max(F.zip_with("olo", "hi", lambda x, y: x - y)), F.array_max(F.zip_with("lo", "ohi", lambda x, y: x - y)), F.lit(0.0)
     )
-    spare = SLACK * (F.col("reach") + F.array_max("hi") + F.array_max("ohi"))
-    return both.select("cell", "other", apart.alias("gap"), (F.col("reach") + spare).alias("most")).where("gap <= most").drop("most")
+    spare = SLACK * (F.col("most") + F.array_max("hi") + F.array_max("ohi"))
+    return both.where(apart <= F.col("most") + spare).select("block", "other", "olo", "ohi")
+
+
+def _asks(width: int, centres: np.ndarray):
+    """A block's points for each other block that may have something within their reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                row = batch.slice(at, 1)
+                v = row.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+                reach, dist = row.column("reach").flatten().to_numpy(), np.sqrt(_distances(v, centres))
+                others = row.column("others").flatten()
+                lo, hi = (_matrix(others.field(c), len(centres)) for c in ("olo", "ohi"))
+                for to, hits in zip(others.field("other").to_pylist(), within(dist, reach, lo, hi).T):
+                    place = np.flatnonzero(hits)
+                    if len(place):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array([to]), row.column("block"), _lists(pa.array(place), [len(place)]),
+                             _lists(pa.array(v[place].ravel()), [len(place) * width]), _lists(pa.array(reach[place]), [len(place)])],
+                            ["other", "block", "place", "v", "reach"],
+                        )
 
+    return run
 
-def _searched(width: int, k: int):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+
+def _answers(width: int, k: int, centres: np.ndarray, schema: pa.Schema):
+    def run(asked: pa.Table, body: pa.Table) -> pa.Table:
         out = []
-        for row in left.to_pylist():
-            near = _Nearest(_Cell(row, width), k)
-            near.search(near.own)
-            order = np.argsort(right.column("gap").to_numpy(), kind="stable") if len(right) else []
-            for at in order:
-                near.search(_Cell(right.slice(int(at), 1).to_pylist()[0], width))
-            for x, found in enumerate(near.found):
-                out.append({"near": [{"d": d, "id": i, "v": v.tolist()} for d, i, v in found], "place": x, "cell": row["cell"], "compared": int(near.compared[x])})
-        ids = left.schema.field("ids").type.value_type.value_type
-        near_kind = pa.list_(pa.struct([("d", pa.float64()), ("id", ids), ("v", pa.list_(pa.float64()))]))
-        return pa.Table.from_pylist(out, pa.schema([("cell", pa.int64()), ("place", pa.int64()), ("near", near_kind), ("compared", pa.int64())]))
+        if len(body):
+            other = _Block(body.combine_chunks().to_batches()[0].slice(0, 1), width, centres)
+            for row in asked.select(["block", "place", "v", "reach"]).to_batches():
+                for at in range(row.num_rows):
+                    one = row.slice(at, 1)
+                    place, flat, reach = (one.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("place", "v", "reach"))
+                    v = flat.reshape(-1, width)
+                    i, d, name, compared = other.nearest(v, np.sqrt(_distances(v, centres)), reach, k)
+                    counts = np.bincount(i, minlength=len(v))
+                    columns = [pa.array(np.full(len(v), one.column("block")[0].as_py())), pa.array(place), _lists(other.entries(d, name), counts), pa.array(compared)]
+                    out.append(pa.Table.from_arrays(columns, ["block", "place", "near", "compared"]).cast(schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     return run
 
@@ -212,22 +318,41 @@ def nearest_lists(points: DataFrame, width: int, k: int, cell_rows: int) -> Data
     """(_c, _v, near, compared): for each distinct point the k + 1 nearest (d, id, v) of its
     class, its own ids among them, and with how many points it was compared."""
     distinct = write_out(distinct_points(points, k + 1), "distinct")
-    sizes = distinct.groupBy("_c").agg(F.count("*").alias("_n"))
-    cells = cells_of(distinct, sizes, width, cell_rows)
-    kind = dict(cells.dtypes)["ids"][len("array<array<") : -len(">>")]
-    parts = max(1, -(-cells.count() // CELLS_A_TASK))
-    pairs = write_out(cell_pairs(cells, width, k + 1), "cell-pairs")
-    body = cells.select("cell", "n", "ids", "v", "dist")
-    dealt = pairs.select("cell", "other", "gap", F.pmod(F.xxhash64("other"), F.lit(parts)).alias("part"))
-    asked = dealt.select("cell", "part").unionByName(cells.select("cell", F.lit(0).cast("bigint").alias("part"))).distinct()
-    right = dealt.select(F.col("cell").alias("x"), F.col("part").alias("y"), "other", "gap").join(body.withColumnRenamed("cell", "other"), "other")
-    found = (
-        asked.join(body, "cell").groupBy("cell", "part").cogroup(right.groupBy("x", "y"))
-        .applyInArrow(_searched(width, k + 1), f"cell bigint, place bigint, near array<struct<d: double, id: {kind}, v: array<double>>>, compared bigint")
+    blocks, centres = blocks_of(distinct, width, cell_rows)
+    kinds = dict(blocks.dtypes)
+    kind = kinds["ids"][len("array<array<") : -len(">>")]
+    near = f"array<struct<d: double, id: {kind}, v: array<double>>>"
+    parts = max(1, -(-blocks.count() // BLOCKS_A_TASK))
+    body = blocks.select("block", "_c", "ids", "v", "cells")
+    own = write_out(
+        body.repartition(parts, "block").mapInArrow(
+            _own(width, k + 1, centres),
+            f"block bigint, _c {kinds['_c']}, points array<struct<v: array<double>, near: {near}, compared: bigint>>, reach array<double>, most double",
+        ), "own",
+    )
+    pairs = block_pairs(blocks, own.select("block", "most")).withColumn("_part", F.pmod(F.xxhash64("other"), F.lit(-(-parts * BLOCKS_A_TASK // OTHERS_A_ROW))))
+    listed = pairs.groupBy("block", "_part").agg(F.collect_list(F.struct("other", "olo", "ohi")).alias("others"))
+    asking = listed.join(own.select("block", "reach"), "block").join(blocks.select("block", "v"), "block")
+    asks = asking.repartition(parts, "block", "_part").select("block", "v", "reach", "others").mapInArrow(
+        _asks(width, centres), "other bigint, block bigint, place array<bigint>, v array<double>, reach array<double>"
+    )
+    asks = write_out(asks.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(parts))), "asks")
+    asked = asks.select(F.col("other").alias("x"), F.col("lane").alias("y")).distinct().join(body.withColumnRenamed("block", "x"), "x")
+    ids = pa.string() if kind == "string" else pa.int64()
+    schema = pa.schema([
+        ("block", pa.int64()), ("place", pa.int64()),
+        ("near", pa.list_(pa.struct([("d", pa.float64()), ("id", ids), ("v", pa.list_(pa.float64()))]))), ("compared", pa.int64()),
+    ])
+    answers = (
+        asks.repartition(parts, "other", "lane").groupBy("other", "lane").cogroup(asked.repartition(parts, "x", "y").groupBy("x", "y"))
+        .applyInArrow(_answers(width, k + 1, centres, schema), f"block bigint, place bigint, near {near}, compared bigint")
     )
-    # Every part starts with the cell itself, so its own ids come from each.
-    merged = found.groupBy("cell", "place").agg(
-        F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k + 1).alias("near"), F.sum("compared").alias("compared")
+    at_home = own.select("block", "_c", F.posexplode("points").alias("place", "p")).select(
+        "block", F.col("place").cast("bigint").alias("place"), "_c", F.col("p.v").alias("_v"), F.col("p.near").alias("near"), F.col("p.compared").alias("compared")
     )
-    start = F.col("place") * width + 1
-    return merged.join(cells.select("cell", "_c", "v"), "cell").select("_c", F.slice("v", start.cast("int"), F.lit(width)).alias("_v"), "near", "compared")
+    every = at_home.unionByName(answers, allowMissingColumns=True)
+    # A point lies in one block, so what the blocks give can be put together as it is.
+    return every.groupBy("block", "place").agg(
+        F.max("_c").alias("_c"), F.max("_v").alias("_v"),
+        F.array_distinct(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k + 1)).alias("near"), F.sum("compared").alias("compared"),
+    ).select("_c", "_v", "near", "compared")

@@ -212,6 +212,31 @@ def test_neighbours_in_many_features(spark):
     assert all(np.allclose(found[p], w) for p, w in want.items())
 
 
+def test_small_cells_compare_few_points(spark):
+    """Cells of 8 points: a point is compared with those beside it, however many cells there are."""
+    r = np.random.default_rng(5)
+    rows = [("x", i, [float(x) for x in p]) for i, p in enumerate(r.uniform(0, 1, (3000, 2)))]
+    points = spark.createDataFrame(rows, "_c string, _id bigint, _v array<double>")
+    lists = metric.nearest_lists(points, 2, 5, 8).toPandas()
+    assert len(lists) == 3000 and lists.compared.mean() < 300
+    v = np.array([p for _, _, p in rows])
+    place = {tuple(p): i for i, p in enumerate(v)}
+    for x, near in zip(lists._v[:300], lists.near[:300]):
+        assert np.allclose([n["d"] for n in near], np.sort(((v - v[place[tuple(x)]]) ** 2).sum(axis=1))[:6])
+
+
+def test_neighbours_across_blocks(spark, monkeypatch):
+    """Blocks of 16 points with ties and copies, and points with a missing value, which are near to nothing."""
+    monkeypatch.setattr(metric, "BLOCK_ROWS", 16)
+    r = np.random.default_rng(6)
+    rows = [("a", i, [float(x) for x in r.integers(0, 12, 2)]) for i in range(200)]
+    rows += [("b", 300 + i, [float(x) for x in r.normal(0, 1, 2)]) for i in range(100)]
+    odd = [("a", 500, [None, 1.0]), ("b", 501, [0.5, None])]
+    points = spark.createDataFrame(rows + odd, "_c string, _id bigint, _v array<double>")
+    near = {r["_id"]: [(n["d"], n["id"]) for n in r["near"]] for r in smote.nearest_in_class(points, 2, 5, 4).collect()}
+    assert near == brute_neighbours(rows, 5) | {500: [], 501: []}
+
+
 @pytest.mark.parametrize("pinned", [True, False])
 @pytest.mark.parametrize("id_kind", ["long", "string"])
 def test_smote_balances(spark, cloud, monkeypatch, pinned, id_kind):
