@@ -114,3 +114,26 @@ def test_tasks_of_a_fit_follow_the_rows():
     assert [fit_tasks(n) for n in (0, 10, 40_000, 10**9)] == [1, 1, 2, 4096]
     assert fit_tasks(10**11) == 50_000  # no task takes more than two million rows
     assert all(n / fit_tasks(n) <= 2_000_000 * 1.01 or n < 10**9 for n in (10**9, 10**10, 10**12))
+
+
+def test_tasks_of_a_fit_grow_slower_than_small_tables_ask():
+    """A hundred passes cost a fixed share a task: some million rows are dealt to few tasks."""
+    from riskloom.operators.ordering import fit_tasks
+    from riskloom.operators.ranking import FOREST_ROWS
+
+    assert fit_tasks(20_000, FOREST_ROWS) == 8 and fit_tasks(900_000) == 45  # as many as before
+    assert fit_tasks(7_200_000, FOREST_ROWS) <= 64 and fit_tasks(6_000_000) <= 64 and fit_tasks(43_000_000) <= 200
+    assert all(n / fit_tasks(n) <= 250_000 for n in range(10**6, 10**9, 10**7 - 1))
+
+
+def test_small_slices_share_partitions(spark, monkeypatch):
+    """Ten thousand slices of seven rows in four partitions: right totals, few tasks."""
+    from riskloom.operators import ordering
+
+    monkeypatch.setattr(ordering, "FEW_TASKS", 4)
+    parts, write = [], ordering.write_out
+    monkeypatch.setattr(ordering, "write_out", lambda df, *a: parts.append(df.rdd.getNumPartitions()) or write(df, *a))
+    rows = spark.range(70_000).select((F.col("id") % 3).alias("g"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("x"), "id", (F.col("id") % 11).alias("w"))
+    got = ordering.running_total(rows, ["g"], ["x", "id"], "w", "upto", 70_000, window_rows=7).toPandas()
+    want = got.sort_values(["g", "x", "id"]).groupby("g").w.cumsum()
+    assert len(got) == 70_000 and (want == got.upto).all() and parts[0] == 4
