@@ -111,7 +111,7 @@ def estimators(
         return piped(
             RandomForestClassifier(
                 numTrees=settings.trees, seed=settings.seed, maxDepth=settings.depth, maxBins=settings.max_bins,
-                featureSubsetStrategy="sqrt", **weighted
+                featureSubsetStrategy="sqrt", cacheNodeIds=True, **weighted
             )
         )
 

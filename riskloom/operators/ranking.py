@@ -233,7 +233,7 @@ def forest_importance(
     rows = rows.select("_label", *[quoted(c).alias(p) for c, p in zip(features, plain)])
     vectors = VectorAssembler(inputCols=plain, outputCol="_features").transform(rows).select("_features", "_label")
     forest = RandomForestClassifier(
-        featuresCol="_features", labelCol="_label", numTrees=trees, seed=seed, maxDepth=max_depth
+        featuresCol="_features", labelCol="_label", numTrees=trees, seed=seed, maxDepth=max_depth, cacheNodeIds=True
     ).fit(vectors)
     scores = [(c, float(s)) for c, s in zip(features, forest.featureImportances.toArray())]
     return df.sparkSession.createDataFrame(scores, "feature string, importance double")
