@@ -5,12 +5,17 @@ class to the residuals ``label - probability``; a level of all its trees is one
 sums residual histograms over the tasks. Leaves take a Newton step. Two classes share one
 score and one tree a round. Cross-validation fits all folds in the same passes: a block
 holds a score for each fit, and a row adds nothing to the fit that leaves its fold out.
+
+Rows of the same bins, label and fold are one row to every tree, with the same scores. Where
+the table has many rows for each such cell that its columns allow, the cells with their
+numbers of rows are fitted in place of the rows: the passes then cost what the cells do.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,10 +30,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.columns import quoted
 from ..session import scratch, write_out
+from .ordering import spread
 from .packed import binned, blocks, fold_sizes, held_out, matrix, summed, thresholds
 
 CUT_ROUNDS = 10  # rounds between two written copies of the scores, which keep lineage short
-_STATE = "n bigint, bins binary, label binary, fold binary, scores binary"
+CELL_ROWS = 4  # rows for each possible cell from which on cells are fitted in place of rows
+_STATE = "n bigint, bins binary, label binary, fold binary, times binary, scores binary"
 
 
 @dataclass
@@ -157,7 +164,8 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) ->
     kind = np.uint16 if max(sizes_of) < 1 << 16 else np.uint32
     outputs = 1 if classes == 2 else classes
     rows = df if folds else df.withColumn("fold", F.lit(-1))
-    sizes = held_out(fold_sizes(rows, classes) if folds else _class_sizes(rows, classes), folds)
+    counted = fold_sizes(rows, classes) if folds else _class_sizes(rows, classes)
+    sizes = held_out(counted, folds)
     share = np.clip(sizes / np.maximum(sizes.sum(axis=1, keepdims=True), 1), 1e-7, 1 - 1e-7)
     start = np.log(share[:, 1:] / share[:, :1]) if classes == 2 else np.log(share)
     # Where each fit's trees of this round stand; bin numbers in place of values.
@@ -171,16 +179,26 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) ->
                 out[:, j] = np.where(known, values[:, j], n)
         return out
 
+    plain = rows.select(*[quoted(c) for c in columns], "label", "fold")
+    shared = math.prod(sizes_of) * classes * fits * CELL_ROWS <= counted.sum()
+    if shared:
+        plain = _shared(plain, columns, bins_of, sizes_of)
+
     def pack(batch: pa.RecordBatch) -> dict:
         n = batch.num_rows
         scores = np.repeat(start[:, None, :], n, axis=1)
+        if shared:
+            bins = np.stack(np.unravel_index(batch.column("cell").to_numpy(), sizes_of), axis=1).astype(kind)
+            times = batch.column("times").to_numpy().astype(float)
+        else:
+            bins, times = bins_of(matrix(batch, columns)), b""
         return {
-            "n": n, "bins": bins_of(matrix(batch, columns)), "scores": scores,
+            "n": n, "bins": bins, "times": times, "scores": scores,
             "label": batch.column("label").to_numpy(zero_copy_only=False).astype(np.int32),
             "fold": batch.column("fold").to_numpy(zero_copy_only=False).astype(np.int32),
         }
 
-    state = blocks(rows.select(*[quoted(c) for c in columns], "label", "fold"), _STATE, pack).persist(StorageLevel.MEMORY_AND_DISK)
+    state = blocks(plain, _STATE, pack).persist(StorageLevel.MEMORY_AND_DISK)
     tasks = state.rdd.getNumPartitions()
     before = None
     models = [Boosted(classes, s.tolist(), [], [], [], one_hot) for s in start]
@@ -189,11 +207,12 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) ->
         return (
             np.frombuffer(row["bins"], kind).reshape(row["n"], width), np.frombuffer(row["label"], np.int32),
             np.frombuffer(row["fold"], np.int32), np.frombuffer(row["scores"]).reshape(fits, row["n"], outputs),
+            np.frombuffer(row["times"]) if shared else None,
         )
 
     def histograms(level: int, feature: np.ndarray, cut: np.ndarray):
         def add(row: dict, totals: dict) -> None:
-            values, label, fold, scores = opened(row)
+            values, label, fold, scores, times = opened(row)
             for k in range(fits):
                 inside = np.flatnonzero(fold != k)
                 part, residual = values[inside], _residuals(scores[k][inside], label[inside], classes)
@@ -202,6 +221,8 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) ->
                         totals[k, s] = np.zeros((2**level, total, 3))
                     r = residual[:, s]
                     weights = (r, np.abs(r) * (1 - np.abs(r)), None)
+                    if shared:
+                        weights = (weights[0] * times[inside], weights[1] * times[inside], times[inside])
                     node = _leaf_of(part, feature[k, s], cut[k, s], level, one_hot)
                     for j in range(width):
                         at = node * sizes_of[j] + part[:, j]
@@ -247,7 +268,7 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) ->
             for batch in batches:
                 for at in range(batch.num_rows):
                     row = batch.slice(at, 1).to_pylist()[0]
-                    part, _, _, scores = opened(row)
+                    part, _, _, scores, _ = opened(row)
                     scores = scores.copy()
                     for k in range(fits):
                         for s in range(outputs):
@@ -264,6 +285,22 @@ def _fitted(df, columns, classes, rounds, rate, depth, cuts, one_hot, folds) ->
     return models
 
 
+def _shared(rows: DataFrame, columns: Sequence[str], bins_of: Callable[[np.ndarray], np.ndarray], sizes: Sequence[int]) -> DataFrame:
+    """(cell, label, fold, times): how many rows share their bins, label and fold. ``cell`` numbers the bins of all columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bins = bins_of(matrix(batch, columns)).astype(np.int64)
+            cell = pa.array(np.ravel_multi_index(tuple(bins.T), sizes), pa.int64())
+            whole = [batch.column(c).cast(pa.int32()) for c in ("label", "fold")]
+            yield pa.RecordBatch.from_arrays([cell, *whole], ["cell", "label", "fold"])
+
+    keys = ["cell", "label", "fold"]
+    cells = rows.mapInArrow(run, "cell bigint, label int, fold int").groupBy(*keys).agg(F.count("*").alias("times"))
+    cells = write_out(cells, "cells")
+    return spread(cells, cells.count(), keys)
+
+
 def _class_sizes(df: DataFrame, classes: int) -> np.ndarray:
     return fold_sizes(df.withColumn("fold", F.lit(0)), classes)
 

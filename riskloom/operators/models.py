@@ -12,12 +12,14 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import number, numeric_columns, quoted, with_target
+from ..session import write_out
 from .boosting import JointBoosting
 from .encode import label_codes, label_encode, sparse_stages
-from .evaluate import metrics
+from .evaluate import confusion, metrics, metrics_of
 from .forest import DeepForest
 from .impute import fit_median
-from .ordering import spread
+from .lookup import pin
+from .ordering import fit_tasks, spread
 from .split import SEED, with_class_weight
 
 # Names, iterations, trees and boosting settings of the compared models.
@@ -84,6 +86,13 @@ def prepare(
     return out, classes
 
 
+def write_prepared(rows: DataFrame) -> DataFrame:
+    """The rows of ``prepare`` as a copy in parts that follow from their number: a small file of a
+    long table is read by a task or two, and so would be every pass over a copy in its parts."""
+    order = [c for c in rows.columns if c != "label"]
+    return write_out(rows.repartition(fit_tasks(rows.count()), *order), "prepared")
+
+
 def estimators(
     settings: ModelSettings, features: int, classes: int, rows: int, codes: Sequence[int] = ()
 ) -> dict[str, Callable[[], Estimator]]:
@@ -176,13 +185,24 @@ def predict_classes(model: Model, rows: DataFrame, classes: list) -> DataFrame:
     return model.transform(rows).select("id", F.get(names, F.col("prediction").cast("int")).alias("predicted"))
 
 
-def score_all(fitted: dict, test: DataFrame) -> DataFrame:
-    """One row per model: weighted metrics on the test rows, or the error that stopped it."""
+def confusions(fitted: dict, test: DataFrame) -> dict[str, DataFrame]:
+    """The confusion table of each fitted model, for all measures of it: the test rows are predicted once."""
+    tables = {}
+    for name, model in fitted.items():
+        if not isinstance(model, Exception):
+            table = confusion(predict(model, test), "label", "prediction")
+            tables[name] = pin(table) or write_out(table, "confusion")
+    return tables
+
+
+def score_all(fitted: dict, test: DataFrame, tables: dict[str, DataFrame] | None = None) -> DataFrame:
+    """One row per model: weighted metrics on the test rows, or the error that stopped it. ``tables``
+    are the ``confusions``, if already known."""
     rows = []
     for name, model in fitted.items():
         if isinstance(model, Exception):
             rows.append((name, None, None, None, None, str(model)[:500]))
             continue
-        m = metrics(predict(model, test)).first()
+        m = (metrics(predict(model, test)) if tables is None else metrics_of(tables[name])).first()
         rows.append((name, m["accuracy"], m["precision"], m["recall"], m["f1"], None) if m else (name, *[None] * 4, "no test rows"))
     return test.sparkSession.createDataFrame(rows, SCORE_SCHEMA)

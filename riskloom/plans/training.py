@@ -12,12 +12,12 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.columns import TARGETS, numeric_columns, present, quoted, string_columns
 from ..operators.encode import label_codes_of, label_encode, one_hot_sparse, sparse_codes
 from ..operators.boosting import fit_boosting, scored
-from ..operators.evaluate import classification_report, metrics
+from ..operators.evaluate import metrics, report_of
 from ..operators.impute import fit_mean, fit_median
 from ..operators.linear import fit_logistic
 from ..operators.models import (
-    BOOSTING_DEPTH, BOOSTING_RATE, SHORT_NAMES, ModelSettings, estimators, feature_names, fit_all, hold, predict, prepare, score_all,
-    side_by_side,
+    BOOSTING_DEPTH, BOOSTING_RATE, SHORT_NAMES, ModelSettings, confusions, estimators, feature_names, fit_all, hold, predict, prepare,
+    score_all, side_by_side, write_prepared,
 )
 from ..operators.lookup import attach_local, pin
 from ..operators.ordering import spread
@@ -75,7 +75,7 @@ def _evaluated(df, target, id_col, names, test_share, fit_on, oversample, settin
         df, codes_of = sparse_codes(*one_hot_sparse(df, categories))
     rows, classes = prepare(df, target, names, id_col, fit_on == "all", settings.max_classes, codes_of)
     columns = [f"f{i}" for i in range(len(names))]
-    train, test = parts(random_split(write_out(rows, "prepared"), "id", test_share))
+    train, test = parts(random_split(write_prepared(rows), "id", test_share))
     if fit_on == "train":
         fill = fit_median(train, columns)
         train, test = fill.apply(train), fill.apply(test)
@@ -131,7 +131,7 @@ def cross_validate(
 
 def _cross_validated(df, target, id_col, folds, names, settings, threads) -> DataFrame:
     rows, classes = prepare(df, target, names, id_col, max_classes=settings.max_classes)
-    rows = write_out(rows, "prepared")
+    rows = write_prepared(rows)
     dealt = hold(spread(assign_folds(rows, "id", "label", folds), rows.count(), ["id"]))
     spark, columns, count = df.sparkSession, [f"f{i}" for i in range(len(names))], max(len(classes), 2)
     sizes = held_out(fold_sizes(dealt, count), folds)
@@ -224,13 +224,12 @@ def _trained(df, target, id_col, settings, test_share) -> Training:
         raise ValueError("the target needs at least two classes")
     features = [c for c in clean.columns if c not in (target, id_col)]
     rows, classes = prepare(clean, target, features, id_col, False, settings.max_classes)
-    train, test = parts(stratified_split(write_out(rows, "prepared"), "id", "label", test_share))
+    train, test = parts(stratified_split(write_prepared(rows), "id", "label", test_share))
     fitted = fit_all(train, len(features), len(classes), settings)
-    scores = score_all(fitted, test)
+    tables = confusions(fitted, test)
+    scores = score_all(fitted, test, tables)
     good = {name: model for name, model in fitted.items() if not isinstance(model, Exception)}
-    reports = [
-        classification_report(predict(model, test)).withColumn("model", F.lit(name)) for name, model in good.items()
-    ]
+    reports = [report_of(table).withColumn("model", F.lit(name)) for name, table in tables.items()]
     reports = reduce(DataFrame.unionByName, reports) if reports else None
     if reports is not None:
         reports = pin(reports) or write_out(reports, "reports", keep=True)

@@ -86,6 +86,36 @@ def test_boosting_of_all_folds_equals_fold_by_fold(spark, monkeypatch):
         assert np.allclose(alone.probabilities(x), made.probabilities(x), atol=1e-9)
 
 
+@pytest.mark.parametrize("classes, folds", [(2, 0), (3, 0), (3, 3)])
+def test_boosting_by_cells_equals_boosting_by_rows(spark, monkeypatch, classes, folds):
+    """Two columns of four bins: cells are far fewer than rows, and give the same trees."""
+    pdf = frame(n=900, classes=classes)
+    pdf.loc[pdf.id % 50 == 0, "f0"] = None
+    df = spark.createDataFrame(pdf).repartition(3, "id")
+    cuts, passed, blocks = [np.array([-0.7, 0.0, 0.7]), np.array([-0.5, 0.1, 0.6])], [], boosting.blocks
+    monkeypatch.setattr(boosting, "blocks", lambda df, *rest: passed.append(df.count()) or blocks(df, *rest))
+    monkeypatch.setattr(boosting, "CUT_ROUNDS", 2)
+
+    def fitted():
+        return boosting.fit_boosting(df, COLUMNS[:2], classes, 5, 0.3, 3, 4, folds=folds, cuts=cuts)
+
+    cells = fitted()
+    monkeypatch.setattr(boosting, "CELL_ROWS", len(pdf) + 1)
+    rows = fitted()
+    assert passed[0] <= 16 * classes * max(1, folds) and passed[1] == len(pdf)
+    for a, b in zip(cells, rows, strict=True):
+        assert (a.feature, a.cut) == (b.feature, b.cut)
+        x = pdf[COLUMNS[:2]].to_numpy()
+        assert np.allclose(a.probabilities(x), b.probabilities(x), atol=1e-9)
+
+
+def test_boosting_by_cells_of_codes(spark):
+    """A column of codes with a missing one, and a number column, in few cells."""
+    pdf = pd.DataFrame({"f0": np.arange(600) % 3 * 1.0, "c0": [float(k) if k < 2 else None for k in np.arange(600) % 5], "label": (np.arange(600) % 5 == 1) * 1.0})
+    made = boosting.fit_boosting(spark.createDataFrame(pdf), ["f0", "c0"], 2, 20, 0.5, 2, 4, one_hot=[0, 2])[0]
+    assert (made.predict(pdf[["f0", "c0"]].to_numpy()) == pdf.label).all()
+
+
 def test_sums_are_the_same_through_executors(spark, monkeypatch):
     df = spark.createDataFrame(frame()).repartition(4, "id")
     direct = boosting.fit_boosting(df, COLUMNS, 3, 3, 0.1, 3, 16)[0]

@@ -129,6 +129,23 @@ def test_end_to_end_and_saved_model(spark, labelled, tmp_path):
     assert models.predict(loaded, rows).collect() == same
 
 
+def test_trainer_predicts_the_test_rows_once_a_model(labelled, monkeypatch):
+    light, predict, asked = models.ModelSettings(names=tuple(models.SHORT_NAMES), balanced=False, trees=3, rounds=2, depth=3), models.predict, []
+    for place in (models, training):
+        monkeypatch.setattr(place, "predict", lambda model, df: asked.append(model) or predict(model, df))
+    run = training.train_models(labelled, "y", "p_partkey", settings=light)
+    shares = {r["model"]: r["f1"] for r in run.reports.filter("class = 'accuracy'").collect()}
+    assert shares == {r["model"]: r["accuracy"] for r in run.scores.collect()}
+    assert len(asked) == 3
+
+
+def test_prepared_copy_follows_from_the_rows(spark):
+    """One part of a table becomes as many as its rows ask for, with nothing lost."""
+    rows = spark.range(0, 60_000, 1, 1).select(F.when(F.col("id") % 9 > 0, F.col("id")).alias("id"), F.col("id").cast("double").alias("f0"), F.lit(0.0).alias("label"))
+    copy = models.write_prepared(rows)
+    assert len(copy.inputFiles()) == 3 and copy.exceptAll(rows).count() == 0 and copy.count() == 60_000
+
+
 def test_guards(spark, labelled):
     with pytest.raises(ValueError):
         training.train_models(labelled.withColumn("y", F.lit("one")), "y", "p_partkey")
